@@ -201,23 +201,25 @@ def theta_part(gamma: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     )
 
 
-def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame | None = None) -> DataFrame:
+def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame | None = None, keys=("doc_id",)) -> DataFrame:
     """Entries -> one row per document with its bag. ``with_eb`` (join
     strategy) attaches each entry's ``eb`` vector first. Documents listed in
-    ``docs`` but without entries get an empty bag."""
-    e = entries.select("doc_id", "type_id", "term_id", "cnt")
+    ``docs`` but without entries get an empty bag. ``keys`` may carry
+    per-document columns such as ``chunk_id`` along."""
+    keys = list(keys)
+    e = entries.select(*keys, "type_id", "term_id", "cnt")
     if with_eb is not None:
         e = e.join(with_eb.select("type_id", "term_id", "eb"), ["type_id", "term_id"])
         item = F.struct("type_id", "term_id", "cnt", "eb")
     else:
         item = F.struct("type_id", "term_id", "cnt")
-    bag = e.groupBy("doc_id").agg(F.collect_list(item).alias("bag"))
+    bag = e.groupBy(*keys).agg(F.collect_list(item).alias("bag"))
     if docs is None:
         return bag
     return (
-        docs.select("doc_id")
-        .join(bag, "doc_id", "left")
-        .select("doc_id", F.coalesce("bag", F.array().cast(bag.schema["bag"].dataType)).alias("bag"))
+        docs.select(*keys)
+        .join(bag, keys, "left")
+        .select(*keys, F.coalesce("bag", F.array().cast(bag.schema["bag"].dataType)).alias("bag"))
     )
 
 

@@ -204,3 +204,211 @@ QUERIES = {
     "estep_convergence": q_estep_convergence,
     "phinorm": q_phinorm,
 }
+
+
+# ------------------------------------------------------------ functions
+def q_fn_digamma(spark, sf):
+    from ..functions.special import digamma_sql
+
+    lam = model_a(spark, sf).lam()
+    return _long(lam.select("type_id", "term_id", F.expr(f"transform(lam, x -> {digamma_sql('x')})").alias("v")), "v", "digamma", ["type_id", "term_id"], 8)
+
+
+def q_fn_trigamma(spark, sf):
+    from ..functions.special import trigamma_sql
+
+    lam = model_a(spark, sf).lam()
+    return _long(lam.select("type_id", "term_id", F.expr(f"transform(lam, x -> {trigamma_sql('x')})").alias("v")), "v", "trigamma", ["type_id", "term_id"], 8)
+
+
+def q_fn_lgamma(spark, sf):
+    from ..functions.special import lgamma_sql
+
+    lam = model_a(spark, sf).lam()
+    return _long(lam.select("type_id", "term_id", F.expr(f"transform(lam, x -> {lgamma_sql('x')})").alias("v")), "v", "lgamma", ["type_id", "term_id"], 6)
+
+
+# ------------------------------------------------------------ state ops
+@cached("model_b")
+def model_b(spark, sf):
+    return TopicModel.create(purchases(spark, sf), k=K, init="assign", assign_rule="div", iterations=ITER, gamma_threshold=THR)
+
+
+@cached("sstats_a")
+def sstats_a(spark, sf):
+    ss, elog, n, m = model_a(spark, sf).sstats(purchases(spark, sf).entries)
+    return materialize(ss, "sstats"), elog, n, m
+
+
+def q_state_merge(spark, sf):
+    st = S.merge(model_a(spark, sf).state, model_b(spark, sf).state, K)
+    return _long(st, "s", "s", ["type_id", "term_id"], 6)
+
+
+def q_state_blend(spark, sf):
+    ss = sstats_a(spark, sf)[0]
+    return _long(S.blend(model_a(spark, sf).state, ss, 0.75, 0.25), "s", "s", ["type_id", "term_id"], 4)
+
+
+def q_state_blend2(spark, sf):
+    ss = sstats_a(spark, sf)[0]
+    return _long(S.blend(model_a(spark, sf).state, ss, 1.0, 1.0), "s", "s", ["type_id", "term_id"], 4)
+
+
+def q_prior_init(spark, sf):
+    """M2 on the purchases vocabulary: asymmetric alpha (K values) and the
+    symmetric per-term eta of every type."""
+    from .model import init_alpha
+
+    a, _ = init_alpha("asymmetric", K)
+    m = model_a(spark, sf)
+    eta = m.state.select(F.lit("eta").alias("prior"), "type_id", F.col("term_id").alias("idx"), rnd("eta", 8).alias("value"))
+    al = spark.createDataFrame([("alpha", -1, i, float(round(v, 8))) for i, v in enumerate(a)], "prior STRING, type_id INT, idx INT, value DOUBLE")
+    return eta.unionByName(al.select("prior", "type_id", "idx", rnd("value", 8).alias("value")))
+
+
+# ------------------------------------------------------------ hyper-parameters
+def q_alpha_logphat(spark, sf):
+    _, elog, n, _ = sstats_a(spark, sf)
+    rows = [(i, float(v / n)) for i, v in enumerate(elog)]
+    return spark.createDataFrame(rows, "topic INT, logphat DOUBLE").select("topic", rnd("logphat", 8).alias("logphat"))
+
+
+def q_alpha_update(spark, sf):
+    from ..operators.hyper import alpha_update
+
+    _, elog, n, _ = sstats_a(spark, sf)
+    a = alpha_update(model_a(spark, sf).alpha, elog, n, 1.0)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(a)], "topic INT, alpha DOUBLE").select("topic", rnd("alpha", 8).alias("alpha"))
+
+
+def q_eta_logphat(spark, sf):
+    from ..operators.hyper import eta_logphat
+
+    return eta_logphat(model_a(spark, sf).state, K).select("type_id", "term_id", rnd("logphat", 8).alias("logphat"))
+
+
+def q_eta_newton(spark, sf):
+    from ..operators.hyper import eta_newton_table
+
+    return eta_newton_table(model_a(spark, sf).state, K, 1.0).select("type_id", "term_id", rnd("eta", 8).alias("eta"))
+
+
+# ------------------------------------------------------------ training
+def fresh_model(spark, sf, **kw) -> TopicModel:
+    m = TopicModel.create(purchases(spark, sf), k=K, init="assign", iterations=ITER, gamma_threshold=THR, **kw)
+    return m
+
+
+def q_learning_rate(spark, sf):
+    from .train import rho_schedule
+
+    n = purchases(spark, sf).entries.select("doc_id").distinct().count()
+    rows = rho_schedule(n, CHUNK, 1, 2)
+    return spark.createDataFrame([(p, u, float(r)) for p, u, r in rows], "pass INT, update_no INT, rho DOUBLE").select(
+        "pass", "update_no", rnd("rho", 8).alias("rho")
+    )
+
+
+def q_mstep_lambda(spark, sf):
+    from .train import do_mstep
+
+    m = fresh_model(spark, sf)
+    ss, _, n, _ = sstats_a(spark, sf)
+    m.numdocs = 2 * n
+    do_mstep(m, 0.5, ss, n)
+    return _long(m.lam(), "lam", "lam", ["type_id", "term_id"], 4)
+
+
+def q_mstep_topic_diff(spark, sf):
+    from .train import do_mstep
+
+    m = fresh_model(spark, sf, track_topic_diff=True)
+    ss, _, n, _ = sstats_a(spark, sf)
+    m.numdocs = 2 * n
+    info = do_mstep(m, 0.5, ss, n)
+    return spark.createDataFrame([(float(info["topic_diff"]),)], "topic_diff DOUBLE").select(rnd("topic_diff", 8).alias("topic_diff"))
+
+
+def _chunked(spark, sf, size):
+    c = purchases(spark, sf)
+    ch = C.chunk_assignment(c.entries, size)
+    e = c.entries.join(ch.select("doc_id", "chunk_id"), "doc_id")
+    return e
+
+
+def q_train_batch_1pass(spark, sf):
+    from .train import update
+
+    m = fresh_model(spark, sf)
+    update(m, purchases(spark, sf).entries, update_every=0, passes=1, eval_every=0)
+    return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
+
+
+def q_train_online_2chunks(spark, sf):
+    from .train import update
+
+    m = fresh_model(spark, sf)
+    update(m, purchases(spark, sf).entries, chunksize=750, update_every=1, passes=1, eval_every=0)
+    return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
+
+
+def q_train_incremental(spark, sf):
+    from .train import update
+
+    m = fresh_model(spark, sf)
+    e = _chunked(spark, sf, 750)
+    for c in (0, 1):
+        update(m, e.where(F.col("chunk_id") == c).drop("chunk_id"), update_every=0, passes=1, eval_every=0)
+    return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
+
+
+# ------------------------------------------------------------ bound
+def q_bound_docs(spark, sf):
+    m = model_a(spark, sf)
+    return m.bound_docs(purchases(spark, sf).entries).select("doc_id", rnd("score", 4).alias("score"))
+
+
+def q_bound(spark, sf):
+    from .evaluate import bound
+
+    b = bound(model_a(spark, sf), purchases(spark, sf).entries)
+    return spark.createDataFrame([(float(b),)], "bound DOUBLE").select(rnd("bound", 3).alias("bound"))
+
+
+def q_log_perplexity(spark, sf):
+    from .evaluate import doc_part, beta_part
+
+    m = model_a(spark, sf)
+    prep = m.prepare(purchases(spark, sf).entries)
+    s, words, n = doc_part(m, prep)
+    pw = (s + beta_part(m)) / words
+    return spark.createDataFrame([(float(pw), float(2.0 ** (-pw)), int(n), float(words))], "perwordbound DOUBLE, perplexity DOUBLE, n_docs BIGINT, n_words DOUBLE").select(
+        rnd("perwordbound", 8).alias("perwordbound"), rnd("perplexity", 6).alias("perplexity"), "n_docs", rnd("n_words", 4).alias("n_words")
+    )
+
+
+QUERIES.update(
+    {
+        "fn_digamma": q_fn_digamma,
+        "fn_trigamma": q_fn_trigamma,
+        "fn_lgamma": q_fn_lgamma,
+        "state_merge": q_state_merge,
+        "state_blend": q_state_blend,
+        "state_blend2": q_state_blend2,
+        "prior_init": q_prior_init,
+        "alpha_logphat": q_alpha_logphat,
+        "alpha_update": q_alpha_update,
+        "eta_logphat": q_eta_logphat,
+        "eta_newton": q_eta_newton,
+        "learning_rate": q_learning_rate,
+        "mstep_lambda": q_mstep_lambda,
+        "mstep_topic_diff": q_mstep_topic_diff,
+        "train_batch_1pass": q_train_batch_1pass,
+        "train_online_2chunks": q_train_online_2chunks,
+        "train_incremental": q_train_incremental,
+        "bound_docs": q_bound_docs,
+        "bound": q_bound,
+        "log_perplexity": q_log_perplexity,
+    }
+)

@@ -88,6 +88,15 @@ def init_eta(prior, k: int):
     raise ValueError("eta must be a scalar, a per-type dict, a DataFrame or a known string")
 
 
+@dataclass
+class Prepared:
+    entries: DataFrame  # (doc_id, type_id, term_id, cnt, chunk_id) of the normal documents
+    docs: DataFrame | None  # (doc_id, chunk_id) of all normal documents, also empty ones
+    nested: DataFrame | None  # (doc_id, bag, chunk_id), broadcast strategy only
+    hot: DataFrame | None  # (doc_id, chunk_id) of hot documents
+    hot_entries: DataFrame | None
+
+
 @dataclass
 class TopicModel:
     spark: SparkSession
@@ -209,6 +218,34 @@ class TopicModel:
         self._eb_bc = None
 
     # ------------------------------------------------------------ E step
+    def prepare(self, entries: DataFrame, docs: DataFrame | None = None, chunks: DataFrame | None = None) -> "Prepared":
+        """Split hot documents off, attach ``chunk_id`` (``chunks``:
+        ``(doc_id, chunk_id)``) and, for the broadcast strategy, nest the
+        documents once; everything is written to the checkpoint folder so
+        all later E steps reuse it (no re-shuffle of the corpus)."""
+        e = entries.select("doc_id", "type_id", "term_id", "cnt")
+        d = docs.select("doc_id") if docs is not None else None
+        if chunks is not None:
+            c = chunks.select("doc_id", "chunk_id")
+            e = e.join(c, "doc_id")
+            d = (d.join(c, "doc_id") if d is not None else None)
+        else:
+            e = e.withColumn("chunk_id", F.lit(0).cast("bigint"))
+            d = d.withColumn("chunk_id", F.lit(0).cast("bigint")) if d is not None else None
+        hot = self.hot_docs(e)
+        if hot is not None:
+            normal = e.join(F.broadcast(hot), "doc_id", "left_anti")
+            hot_entries = materialize(e.join(F.broadcast(hot), "doc_id"), "hot-entries")
+            hot = materialize(hot_entries.select("doc_id", "chunk_id").distinct(), "hot-docs")
+            d = d.join(F.broadcast(hot.select("doc_id")), "doc_id", "left_anti") if d is not None else None
+        else:
+            normal, hot_entries = e, None
+        normal = materialize(normal, "entries")
+        nested = None
+        if self.use_broadcast():
+            nested = materialize(E.nest(normal, d, keys=("doc_id", "chunk_id")), "nested")
+        return Prepared(normal, d, nested, hot, hot_entries)
+
     def hot_docs(self, entries: DataFrame) -> DataFrame | None:
         """Documents with more entries than one task should hold; at most
         total_entries / limit of them, so the id list has a proven bound."""
@@ -218,44 +255,48 @@ class TopicModel:
             return None
         return materialize(hot, "hot-docs")
 
-    def estep_rows(self, entries: DataFrame, mode: str, docs: DataFrame | None = None, min_phi: float = 0.0,
-                   hot: DataFrame | None | bool = True) -> DataFrame:
-        """Kernel-union rows (see :mod:`operators.estep`) for every document of
-        ``entries`` (plus empty documents listed in ``docs``)."""
+    def rows(self, prep: "Prepared", mode: str, lo: int | None = None, hi: int | None = None, min_phi: float = 0.0) -> DataFrame:
+        """Kernel-union rows (see :mod:`operators.estep`) for the documents of
+        ``prep`` whose chunk lies in ``[lo, hi)`` (all when ``lo`` is None)."""
         p = self.params
-        if hot is True:
-            hot = self.hot_docs(entries)
-        elif hot is False:
-            hot = None
-        normal = entries if hot is None else entries.join(F.broadcast(hot), "doc_id", "left_anti")
-        ndocs = docs if (docs is None or hot is None) else docs.join(F.broadcast(hot), "doc_id", "left_anti")
+
+        def flt(df):
+            return df if lo is None else df.where((F.col("chunk_id") >= lo) & (F.col("chunk_id") < hi))
+
         if self.use_broadcast():
             fn = E.make_kernel(mode, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon,
                                self.eb_broadcast(), self.type_offsets(), min_phi)
-            rows = E.run(E.nest(normal, ndocs), fn)
+            rows = E.run(flt(prep.nested), fn)
         else:
             fn = E.make_kernel(mode, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, min_phi=min_phi)
-            rows = E.run(E.nest(normal, ndocs, with_eb=self.exp_elogbeta()), fn)
-        if hot is not None:
-            eb = self.exp_elogbeta()
-            eb = F.broadcast(eb) if self.use_broadcast() else eb
-            hot_entries = materialize(entries.join(F.broadcast(hot), "doc_id").join(eb, ["type_id", "term_id"]), "hot-entries")
-            rows = rows.unionByName(
-                E.hot_estep(hot_entries, hot, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, mode,
-                            materialize, min_phi=min_phi)
-            )
+            d = flt(prep.docs) if prep.docs is not None else None
+            rows = E.run(E.nest(flt(prep.entries), d, with_eb=self.exp_elogbeta(), keys=("doc_id", "chunk_id")), fn)
+        if prep.hot is not None:
+            hot = flt(prep.hot).select("doc_id")
+            if hot.limit(1).count():
+                eb = self.exp_elogbeta()
+                eb = F.broadcast(eb) if self.use_broadcast() else eb
+                he = materialize(flt(prep.hot_entries).join(eb, ["type_id", "term_id"]), "hot-entries-eb")
+                rows = rows.unionByName(
+                    E.hot_estep(he, hot, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, mode,
+                                materialize, min_phi=min_phi)
+                )
         return rows
 
+    def estep_rows(self, entries: DataFrame, mode: str, docs: DataFrame | None = None, min_phi: float = 0.0) -> DataFrame:
+        return self.rows(self.prepare(entries, docs), mode, min_phi=min_phi)
+
     def gamma(self, entries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         """M4: ``(doc_id, gamma, iters, converged)``."""
         r = self.estep_rows(entries, "gamma", docs)
         return r.where(F.col("kind") == E.GAMMA).select("doc_id", F.col("vec").alias("gamma"), "iters", "converged")
 
-    def sstats(self, entries: DataFrame, hot=True):
+    def sstats(self, entries: DataFrame | None = None, prep: "Prepared | None" = None, lo=None, hi=None):
         """M5/A1: summed sufficient statistics ``(type_id, term_id, vec)``
         and the task statistics (sum E[log theta], docs, converged), in one
         kernel pass: the kernel output is written once and read twice."""
-        rows = materialize(self.estep_rows(entries, "train", hot=hot), "estep")
+        prep = prep if prep is not None else self.prepare(entries)
+        rows = materialize(self.rows(prep, "train", lo, hi), "estep")
         ss = E.sum_vectors(rows.where(F.col("kind") == E.SSTATS), ["type_id", "term_id"], self.k)
         st = rows.where(F.col("kind") == E.STATS).select("vec", "n", "m").collect()
         elog = np.sum([np.asarray(r["vec"]) for r in st], axis=0) if st else np.zeros(self.k)

@@ -71,8 +71,9 @@ def vocab_entries() -> list[str]:
 
 
 # ------------------------------------------------------------------- model
-def model_ctes(k: int, eta: float | None = None, rule: str = "mod", prefix: str = "") -> list[str]:
-    """topics, assign state ``st``, ``lam``, ``mass``, ``elog``, ``eb`` (long)."""
+def assign_ctes(k: int, eta: float | None = None, rule: str = "mod", prefix: str = "") -> list[str]:
+    """``{prefix}topics`` and the deterministic 'assign' state ``{prefix}st``
+    (type_id, term_id, topic, s, eta0)."""
     eta = 1.0 / k if eta is None else eta
     topic = f"(((doc_id % {k}) + {k}) % {k})" if rule == "mod" else f"(((floor(doc_id / {k})::BIGINT % {k}) + {k}) % {k})"
     p = prefix
@@ -81,15 +82,34 @@ def model_ctes(k: int, eta: float | None = None, rule: str = "mod", prefix: str
         f"{p}sa AS (SELECT type_id, term_id, {topic}::INT AS topic, sum(cnt) AS s FROM entries GROUP BY 1, 2, 3)",
         f"{p}st AS (SELECT v.type_id, v.term_id, k.topic, coalesce(sa.s, 0.0)::DOUBLE AS s, {eta!r}::DOUBLE AS eta0 "
         f"FROM vocab v CROSS JOIN {p}topics k LEFT JOIN {p}sa sa ON sa.type_id = v.type_id AND sa.term_id = v.term_id AND sa.topic = k.topic)",
+    ]
+
+
+def derive_ctes(prefix: str = "") -> list[str]:
+    """From ``{prefix}st``: ``lam``, ``mass``, ``pmass``, ``elog``, ``eb``."""
+    p = prefix
+    return [
         f"{p}lam AS (SELECT type_id, term_id, topic, s + eta0 AS lam, eta0 FROM {p}st)",
         f"{p}mass AS (SELECT type_id, topic, sum(lam) AS mass FROM {p}lam GROUP BY 1, 2)",
         f"{p}pmass AS (SELECT type_id, topic, {psi('mass')} AS pm FROM {p}mass)",
-        f"{p}elog AS (SELECT l.type_id, l.term_id, l.topic, {psi('l.lam')} - p.pm AS elogbeta "
+        f"{p}elog AS MATERIALIZED (SELECT l.type_id, l.term_id, l.topic, {psi('l.lam')} - p.pm AS elogbeta "
         f"FROM {p}lam l JOIN {p}pmass p ON l.type_id = p.type_id AND l.topic = p.topic)",
         f"{p}eb AS (SELECT type_id, term_id, topic, exp(elogbeta) AS eb FROM {p}elog)",
     ]
 
 
+def model_ctes(k: int, eta: float | None = None, rule: str = "mod", prefix: str = "") -> list[str]:
+    return assign_ctes(k, eta, rule, prefix) + derive_ctes(prefix)
+
+
+def mstep_ctes(prev: str, new: str, sst: str, w_old: float, w_new: float) -> list[str]:
+    """``{new}st`` = w_old * ``{prev}st`` + w_new * sstats, then derived tables."""
+    return [
+        f"{new}st AS MATERIALIZED (SELECT a.type_id, a.term_id, a.topic, {w_old!r} * a.s + {w_new!r} * coalesce(b.sstat, 0.0) AS s, a.eta0 "
+        f"FROM {prev}st a LEFT JOIN {sst} b ON a.type_id = b.type_id AND a.term_id = b.term_id AND a.topic = b.topic)"
+    ] + derive_ctes(new)
+
+
 def estep_ctes(k: int, num_types: int, rounds: int, thr: float, eps: float, alpha=None, tag: str = "", eb: str = "eb",
                entries: str = "entries", docs: str | None = None) -> list[str]:
     """Unrolled E step; the last CTE ``{tag}g{rounds}`` holds (doc_id, topic,
@@ -202,3 +222,149 @@ ORACLE: dict[str, str] = {
         "FROM entries e JOIN eb b ON b.type_id = e.type_id AND b.term_id = e.term_id GROUP BY 1, 2, 3",
     ),
 }
+
+
+# ------------------------------------------------------------ wave 2
+def _ab() -> list[str]:
+    return PV + assign_ctes(K) + derive_ctes() + assign_ctes(K, rule="div", prefix="b_")
+
+
+def _newton_alpha_sql(rho: float = 1.0) -> str:
+    """One Newton step of alpha from the E step of model A (driver values
+    in the engine, plain SQL here)."""
+    return (
+        "gs AS (SELECT doc_id, sum(gamma) AS gs FROM gf GROUP BY 1), "
+        f"lp AS (SELECT g.topic, avg({psi('g.gamma')} - {psi('s.gs')}) AS logphat, count(*)::DOUBLE AS n "
+        "FROM gf g JOIN gs s ON s.doc_id = g.doc_id GROUP BY 1), "
+        "asum AS (SELECT sum(alpha) AS sa FROM alpha), "
+        f"nw AS (SELECT l.topic, a.alpha, l.n * ({psi('x.sa')} - {psi('a.alpha')} + l.logphat) AS g, "
+        f"-l.n * {trigamma_sql('a.alpha')} AS q, l.n * {trigamma_sql('x.sa')} AS c "
+        "FROM lp l JOIN alpha a ON a.topic = l.topic CROSS JOIN asum x), "
+        "bb AS (SELECT sum(g / q) / (1.0 / max(c) + sum(1.0 / q)) AS b FROM nw), "
+        f"upd AS (SELECT n.topic, n.alpha + {rho!r} * (-(n.g - bb.b) / n.q) AS na, n.alpha FROM nw n CROSS JOIN bb)"
+    )
+
+
+_ETA_NEWTON = (
+    "lp AS (SELECT type_id, term_id, avg(elogbeta) AS logphat FROM elog GROUP BY 1, 2), "
+    "base AS (SELECT l.type_id, l.term_id, l.logphat, s.eta0 AS eta FROM lp l JOIN (SELECT DISTINCT type_id, term_id, eta0 FROM st) s "
+    "ON s.type_id = l.type_id AND s.term_id = l.term_id), "
+    "tot AS (SELECT type_id, sum(eta) AS se FROM base GROUP BY 1), "
+    f"x AS (SELECT b.*, {K}.0 * ({psi('t.se')} - {psi('b.eta')} + b.logphat) AS g, -{K}.0 * {trigamma_sql('b.eta')} AS q, "
+    f"{K}.0 * {trigamma_sql('t.se')} AS c FROM base b JOIN tot t ON t.type_id = b.type_id), "
+    "bb AS (SELECT type_id, sum(g / q) / (1.0 / max(c) + sum(1.0 / q)) AS b FROM x GROUP BY 1), "
+    "y AS (SELECT x.type_id, x.term_id, x.eta, x.eta + 1.0 * (-(x.g - bb.b) / x.q) AS upd FROM x JOIN bb ON bb.type_id = x.type_id), "
+    "ok AS (SELECT type_id, min(upd) > 0 AS ok FROM y GROUP BY 1)"
+)
+
+_DOC_BOUND = [
+    "phd AS (SELECT e.doc_id, e.type_id, e.term_id, e.cnt, sum(g.et * b.eb) AS dot FROM entries e JOIN gf g ON g.doc_id = e.doc_id "
+    "JOIN eb b ON b.type_id = e.type_id AND b.term_id = e.term_id AND b.topic = g.topic GROUP BY 1, 2, 3, 4)",
+    "ll AS (SELECT doc_id, sum(cnt * ln(dot)) AS ll FROM phd GROUP BY 1)",
+    "gs AS (SELECT doc_id, sum(gamma) AS gs FROM gf GROUP BY 1)",
+    f"tp AS (SELECT g.doc_id, sum((a.alpha - g.gamma) * ({psi('g.gamma')} - {psi('s.gs')})) + sum(lgamma(g.gamma) - lgamma(a.alpha)) "
+    "+ lgamma(sum(a.alpha)) - lgamma(sum(g.gamma)) AS tp FROM gf g JOIN alpha a ON a.topic = g.topic JOIN gs s ON s.doc_id = g.doc_id GROUP BY 1)",
+    "docb AS (SELECT t.doc_id, t.tp + coalesce(l.ll, 0.0) AS score FROM tp t LEFT JOIN ll l ON l.doc_id = t.doc_id)",
+    "bp AS (SELECT sum((l.eta0 - l.lam) * e.elogbeta + lgamma(l.lam) - lgamma(l.eta0)) AS bp FROM lam l JOIN elog e "
+    "ON e.type_id = l.type_id AND e.term_id = l.term_id AND e.topic = l.topic)",
+    f"bt AS (SELECT sum(x.kl) AS bt FROM (SELECT m.type_id, {K}.0 * lgamma(max(w.se)) - sum(lgamma(m.mass)) AS kl FROM mass m JOIN "
+    "(SELECT type_id, sum(eta0) AS se FROM (SELECT DISTINCT type_id, term_id, eta0 FROM st) GROUP BY 1) w ON w.type_id = m.type_id GROUP BY 1) x)",
+    "tb AS (SELECT (SELECT sum(score) FROM docb) + (SELECT bp FROM bp) + (SELECT bt FROM bt) AS bound)",
+]
+
+_RHO1 = (1.0 + 0 + 750 / 750) ** -0.5
+_AVG_ELOGTHETA = f"avg({psi('g.gamma')} - {psi('s.gs')})"
+
+ORACLE.update(
+    {
+        "fn_digamma": with_(PM, f"SELECT type_id, term_id, topic, {rnd(psi('lam'), 8)} AS digamma FROM lam"),
+        "fn_trigamma": with_(PM, f"SELECT type_id, term_id, topic, {rnd(trigamma_sql('lam'), 8)} AS trigamma FROM lam"),
+        "fn_lgamma": with_(PM, f"SELECT type_id, term_id, topic, {rnd('lgamma(lam)', 6)} AS lgamma FROM lam"),
+        "state_merge": with_(
+            _ab(), f"SELECT a.type_id, a.term_id, a.topic, {rnd('a.s + b.s')} AS s FROM st a JOIN b_st b "
+            "ON a.type_id = b.type_id AND a.term_id = b.term_id AND a.topic = b.topic"
+        ),
+        "state_blend": with_(
+            PE, f"SELECT a.type_id, a.term_id, a.topic, {rnd('0.75 * a.s + 0.25 * coalesce(b.sstat, 0.0)', 4)} AS s FROM st a LEFT JOIN sst b "
+            "ON a.type_id = b.type_id AND a.term_id = b.term_id AND a.topic = b.topic"
+        ),
+        "state_blend2": with_(
+            PE, f"SELECT a.type_id, a.term_id, a.topic, {rnd('a.s + coalesce(b.sstat, 0.0)', 4)} AS s FROM st a LEFT JOIN sst b "
+            "ON a.type_id = b.type_id AND a.term_id = b.term_id AND a.topic = b.topic"
+        ),
+        "prior_init": with_(
+            PM,
+            f"SELECT 'eta' AS prior, type_id, term_id AS idx, {rnd('eta0', 8)} AS value FROM (SELECT DISTINCT type_id, term_id, eta0 FROM st) "
+            f"UNION ALL SELECT 'alpha', -1, topic, {rnd(f'(1.0 / (topic + sqrt({K}))) / (SELECT sum(1.0 / (range + sqrt({K}))) FROM range({K}))', 8)} FROM topics",
+        ),
+        "alpha_logphat": with_(
+            PE + ["gs AS (SELECT doc_id, sum(gamma) AS gs FROM gf GROUP BY 1)"],
+            f"SELECT g.topic, {rnd(_AVG_ELOGTHETA, 8)} AS logphat "
+            "FROM gf g JOIN gs s ON s.doc_id = g.doc_id GROUP BY 1",
+        ),
+        "alpha_update": with_(
+            PE + [_newton_alpha_sql(1.0)],
+            f"SELECT topic, {rnd('CASE WHEN (SELECT min(na) FROM upd) > 0 THEN na ELSE alpha END', 8)} AS alpha FROM upd",
+        ),
+        "eta_logphat": with_(PM, f"SELECT type_id, term_id, {rnd('avg(elogbeta)', 8)} AS logphat FROM elog GROUP BY 1, 2"),
+        "eta_newton": with_(
+            PM + [_ETA_NEWTON],
+            f"SELECT y.type_id, y.term_id, {rnd('CASE WHEN ok.ok THEN y.upd ELSE y.eta END', 8)} AS eta FROM y JOIN ok ON ok.type_id = y.type_id",
+        ),
+        "learning_rate": with_(
+            PV
+            + [
+                f"ch AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // {CHUNK} AS chunk_id FROM (SELECT DISTINCT doc_id FROM entries))",
+                "cs AS (SELECT chunk_id, count(*) AS n FROM ch GROUP BY 1)",
+                "cum AS (SELECT chunk_id, coalesce(sum(n) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, "
+                "sum(n) OVER () AS total FROM cs)",
+            ],
+            f"SELECT p.range::INT AS pass, chunk_id::INT AS update_no, {rnd(f'pow(1.0 + p.range + (CASE WHEN p.range = 0 THEN before ELSE total END) / least(total, {CHUNK}), -0.5)', 8)} AS rho "
+            "FROM cum CROSS JOIN range(2) p",
+        ),
+        "mstep_lambda": with_(
+            PE + mstep_ctes("", "m1_", "sst", 0.5, 1.0), f"SELECT type_id, term_id, topic, {rnd('lam', 4)} AS lam FROM m1_lam"
+        ),
+        "mstep_topic_diff": with_(
+            PE + mstep_ctes("", "m1_", "sst", 0.5, 1.0),
+            f"SELECT {rnd('avg(d)', 8)} AS topic_diff FROM (SELECT a.type_id, avg(abs(a.elogbeta - b.elogbeta)) AS d FROM elog a JOIN m1_elog b "
+            "ON a.type_id = b.type_id AND a.term_id = b.term_id AND a.topic = b.topic GROUP BY 1)",
+        ),
+        "train_batch_1pass": with_(
+            PE + mstep_ctes("", "m1_", "sst", 0.0, 1.0), f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m1_st"
+        ),
+        "train_online_2chunks": with_(
+            PM
+            + [
+                "dix AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 750 AS chunk_id FROM (SELECT DISTINCT doc_id FROM entries))",
+                "e0 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 0)",
+                "e1 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 1)",
+            ]
+            + estep_ctes(K, T, ITER, THR, EPS, tag="a_", entries="e0")
+            + mstep_ctes("", "m1_", "a_sst", 0.0, 2.0)
+            + estep_ctes(K, T, ITER, THR, EPS, tag="b_", entries="e1", eb="m1_eb")
+            + mstep_ctes("m1_", "m2_", "b_sst", 1.0 - _RHO1, 2.0 * _RHO1),
+            f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m2_st",
+        ),
+        "train_incremental": with_(
+            PM
+            + [
+                "dix AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 750 AS chunk_id FROM (SELECT DISTINCT doc_id FROM entries))",
+                "e0 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 0)",
+                "e1 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 1)",
+            ]
+            + estep_ctes(K, T, ITER, THR, EPS, tag="a_", entries="e0")
+            + mstep_ctes("", "m1_", "a_sst", 0.0, 1.0)
+            + estep_ctes(K, T, ITER, THR, EPS, tag="b_", entries="e1", eb="m1_eb")
+            + mstep_ctes("m1_", "m2_", "b_sst", 1.0 - _RHO1, 2.0 * _RHO1),
+            f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m2_st",
+        ),
+        "bound_docs": with_(PE + _DOC_BOUND, f"SELECT doc_id, {rnd('score', 4)} AS score FROM docb"),
+        "bound": with_(PE + _DOC_BOUND, f"SELECT {rnd('bound', 3)} AS bound FROM tb"),
+        "log_perplexity": with_(
+            PE + _DOC_BOUND + ["wd AS (SELECT sum(cnt) AS w, count(DISTINCT doc_id)::BIGINT AS n FROM entries)"],
+            f"SELECT {rnd('tb.bound / wd.w', 8)} AS perwordbound, {rnd('pow(2.0, -(tb.bound / wd.w))', 6)} AS perplexity, wd.n AS n_docs, "
+            f"{rnd('wd.w', 4)} AS n_words FROM tb CROSS JOIN wd",
+        ),
+    }
+)
