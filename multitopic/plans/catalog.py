@@ -412,3 +412,119 @@ QUERIES.update(
         "log_perplexity": q_log_perplexity,
     }
 )
+
+
+# ------------------------------------------------------------ topics
+def q_topic_terms(spark, sf):
+    from ..operators.topics import topic_terms
+
+    return topic_terms(model_a(spark, sf), 10).select("topic", "type_id", "rank", "term_id", rnd("p", 8).alias("p"))
+
+
+def q_show_topic(spark, sf):
+    from ..operators.topics import show_topic
+
+    return show_topic(model_a(spark, sf), 0, 10).select("topic", "type_id", "rank", "term", rnd("p", 8).alias("p"))
+
+
+def q_show_topics(spark, sf):
+    from ..operators.topics import show_topics
+
+    return show_topics(model_a(spark, sf), 10, 10, formatted=False).select("topic", "type_id", "rank", "term", rnd("p", 8).alias("p"))
+
+
+def q_show_topics_formatted(spark, sf):
+    from ..operators.topics import show_topics
+
+    return show_topics(model_a(spark, sf), 10, 10, formatted=True)
+
+
+def q_show_topics_subset(spark, sf):
+    from ..operators.topics import show_topics
+
+    return show_topics(model_a(spark, sf), 3, 10, formatted=False).select("topic", "type_id", "rank", "term", rnd("p", 8).alias("p"))
+
+
+def q_term_topics(spark, sf):
+    from ..operators.topics import term_topics
+
+    return term_topics(model_a(spark, sf)).select("type_id", "term_id", "topic", rnd("value", 8).alias("value"))
+
+
+def q_word_phi(spark, sf):
+    return model_a(spark, sf).word_phi(purchases(spark, sf).entries).select(
+        "doc_id", "type_id", "term_id", "topic", rnd("nphi", 4).alias("nphi")
+    )
+
+
+def q_word_topics(spark, sf):
+    from ..operators.topics import word_topics
+
+    return word_topics(model_a(spark, sf), purchases(spark, sf).entries)
+
+
+def q_topic_wordset(spark, sf):
+    from ..operators.topics import topic_wordsets
+
+    return topic_wordsets(model_a(spark, sf), 30).select("topic", F.array_join("words", "|").alias("words"))
+
+
+# ------------------------------------------------------------ comparison
+def _diff(spark, sf, distance, **kw):
+    from ..operators.compare import diff
+
+    d = diff(model_a(spark, sf), model_b(spark, sf), distance, annotation=kw.pop("annotation", False), **kw)
+    cols = [F.col("topic1"), F.col("topic2"), rnd("z", 6).alias("z")]
+    if "pos" in d.columns:
+        cols += [F.array_join("pos", "|").alias("pos"), F.array_join("neg", "|").alias("neg")]
+    return d.select(*cols)
+
+
+def q_topic_diff_kl(spark, sf):
+    return _diff(spark, sf, "kullback_leibler")
+
+
+def q_topic_diff_hellinger(spark, sf):
+    return _diff(spark, sf, "hellinger")
+
+
+def q_topic_diff_jaccard(spark, sf):
+    return _diff(spark, sf, "jaccard")
+
+
+def q_topic_diff_js(spark, sf):
+    return _diff(spark, sf, "jensen_shannon")
+
+
+def q_topic_diff_rescaled_dot(spark, sf):
+    return _diff(spark, sf, "rescale_dot")
+
+
+def q_topic_diff_diagonal(spark, sf):
+    return _diff(spark, sf, "kullback_leibler", diagonal=True)
+
+
+def q_topic_diff_annotation(spark, sf):
+    return _diff(spark, sf, "hellinger", annotation=True, normed=False)
+
+
+QUERIES.update(
+    {
+        "topic_terms": q_topic_terms,
+        "show_topic": q_show_topic,
+        "show_topics": q_show_topics,
+        "show_topics_formatted": q_show_topics_formatted,
+        "show_topics_subset": q_show_topics_subset,
+        "term_topics": q_term_topics,
+        "word_phi": q_word_phi,
+        "word_topics": q_word_topics,
+        "topic_wordset": q_topic_wordset,
+        "topic_diff_kl": q_topic_diff_kl,
+        "topic_diff_hellinger": q_topic_diff_hellinger,
+        "topic_diff_jaccard": q_topic_diff_jaccard,
+        "topic_diff_js": q_topic_diff_js,
+        "topic_diff_rescaled_dot": q_topic_diff_rescaled_dot,
+        "topic_diff_diagonal": q_topic_diff_diagonal,
+        "topic_diff_annotation": q_topic_diff_annotation,
+    }
+)

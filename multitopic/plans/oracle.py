@@ -368,3 +368,98 @@ ORACLE.update(
         ),
     }
 )
+
+
+# ------------------------------------------------------------ wave 3: topics and comparison
+_P = ["pa AS (SELECT l.type_id, l.term_id, l.topic, l.lam / m.mass AS p FROM lam l JOIN mass m ON m.type_id = l.type_id AND m.topic = l.topic)"]
+_TOPN = (
+    "tt AS (SELECT topic, type_id, term_id, p, row_number() OVER (PARTITION BY topic, type_id ORDER BY p DESC, term_id ASC) AS rank FROM pa)"
+)
+_TW = "tw AS (SELECT t.topic, t.type_id, t.rank, v.term, t.p FROM tt t JOIN vocab v ON v.type_id = t.type_id AND v.term_id = t.term_id WHERE t.rank <= 10)"
+_AB_P = (
+    PV + assign_ctes(K) + derive_ctes() + assign_ctes(K, rule="div", prefix="b_") + derive_ctes("b_") + _P
+    + ["pb AS (SELECT l.type_id, l.term_id, l.topic, l.lam / m.mass AS p FROM b_lam l JOIN b_mass m ON m.type_id = l.type_id AND m.topic = l.topic)",
+       "psa AS (SELECT topic, sum(p) AS s FROM pa GROUP BY 1)", "psb AS (SELECT topic, sum(p) AS s FROM pb GROUP BY 1)",
+       "pr AS MATERIALIZED (SELECT a.topic AS topic1, b.topic AS topic2, a.p AS p, b.p AS q, x.s AS sp, y.s AS sq FROM pa a JOIN pb b "
+       "ON a.type_id = b.type_id AND a.term_id = b.term_id JOIN psa x ON x.topic = a.topic JOIN psb y ON y.topic = b.topic)",
+       "ws_a AS (SELECT topic, list_sort(list(DISTINCT term)) AS w FROM (SELECT t.topic, v.term FROM (SELECT topic, type_id, term_id, "
+       "row_number() OVER (PARTITION BY topic, type_id ORDER BY p DESC, term_id ASC) AS rank FROM pa) t JOIN vocab v ON v.type_id = t.type_id "
+       "AND v.term_id = t.term_id WHERE t.rank <= 30) GROUP BY 1)",
+       "ws_b AS (SELECT topic, list_sort(list(DISTINCT term)) AS w FROM (SELECT t.topic, v.term FROM (SELECT topic, type_id, term_id, "
+       "row_number() OVER (PARTITION BY topic, type_id ORDER BY p DESC, term_id ASC) AS rank FROM pb) t JOIN vocab v ON v.type_id = t.type_id "
+       "AND v.term_id = t.term_id WHERE t.rank <= 30) GROUP BY 1)"]
+)
+
+
+def _normed(zsql: str, d: int = 6) -> str:
+    return (f"SELECT topic1, topic2, {rnd('CASE WHEN abs(mx) > 1e-8 THEN z / mx ELSE z END', d)} AS z FROM "
+            f"(SELECT *, max(z) OVER () AS mx FROM ({zsql}))")
+
+
+_KL = "SELECT topic1, topic2, sum((p / sp) * ln((p / sp) / (q / sq))) AS z FROM pr GROUP BY 1, 2"
+_HEL = "SELECT topic1, topic2, sqrt(0.5 * sum(pow(sqrt(p) - sqrt(q), 2))) AS z FROM pr GROUP BY 1, 2"
+_JS = (
+    "SELECT topic1, topic2, 0.5 * sum((p / sp) * ln((p / sp) / ((p + q) / (sp + sq))) + (q / sq) * ln((q / sq) / ((p + q) / (sp + sq)))) AS z "
+    "FROM pr GROUP BY 1, 2"
+)
+_JAC = (
+    "SELECT a.topic AS topic1, b.topic AS topic2, CASE WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 1.0 "
+    "ELSE 1.0 - len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END AS z FROM ws_a a CROSS JOIN ws_b b"
+)
+_RDOT = (
+    "SELECT d.topic1, d.topic2, (d.dot - mn.d) / (mx.d - mn.d) AS z FROM (SELECT topic1, topic2, sum(p * q) AS dot FROM pr GROUP BY 1, 2) d "
+    "JOIN (SELECT a.topic AS topic1, b.topic AS topic2, sum(a.p * b.p) AS d FROM ra a JOIN rb b ON a.r = b.r GROUP BY 1, 2) mx "
+    "ON mx.topic1 = d.topic1 AND mx.topic2 = d.topic2 "
+    "JOIN (SELECT a.topic AS topic1, b.topic AS topic2, sum(a.p * b.p) AS d FROM ra a CROSS JOIN nw JOIN rb b ON a.r = nw.n - 1 - b.r GROUP BY 1, 2) mn "
+    "ON mn.topic1 = d.topic1 AND mn.topic2 = d.topic2"
+)
+_RANKS = [
+    "ra AS (SELECT topic, p, row_number() OVER (PARTITION BY topic ORDER BY p) - 1 AS r FROM pa)",
+    "rb AS (SELECT topic, p, row_number() OVER (PARTITION BY topic ORDER BY p) - 1 AS r FROM pb)",
+    "nw AS (SELECT count(*) AS n FROM vocab)",
+]
+
+ORACLE.update(
+    {
+        "topic_terms": with_(PM + _P + [_TOPN], f"SELECT topic, type_id, rank::INT AS rank, term_id, {rnd('p', 8)} AS p FROM tt WHERE rank <= 10"),
+        "show_topic": with_(PM + _P + [_TOPN, _TW], f"SELECT topic, type_id, rank::INT AS rank, term, {rnd('p', 8)} AS p FROM tw WHERE topic = 0"),
+        "show_topics": with_(PM + _P + [_TOPN, _TW], f"SELECT topic, type_id, rank::INT AS rank, term, {rnd('p', 8)} AS p FROM tw"),
+        "show_topics_formatted": with_(
+            PM + _P + [_TOPN, _TW],
+            "SELECT topic, type_id, string_agg(printf('%.3f*\"%s\"', p, term), ' + ' ORDER BY rank) AS repr FROM tw GROUP BY 1, 2",
+        ),
+        "show_topics_subset": with_(
+            PM + _P + [_TOPN, _TW, f"al AS (SELECT topic, row_number() OVER (ORDER BY {1.0 / K!r}, topic) AS r FROM topics)"],
+            f"SELECT t.topic, t.type_id, t.rank::INT AS rank, t.term, {rnd('t.p', 8)} AS p FROM tw t JOIN al a ON a.topic = t.topic "
+            f"WHERE a.r <= 3 // 2 OR a.r > {K} - (3 + 1) // 2",
+        ),
+        "term_topics": with_(PM, f"SELECT type_id, term_id, topic, {rnd('eb', 8)} AS value FROM eb WHERE eb >= 0.01"),
+        "word_phi": with_(
+            PE,
+            f"SELECT p.doc_id, p.type_id, p.term_id, g.topic, {rnd('g.et * p.cnt / p.phinorm * b.eb', 4)} AS nphi FROM phf p "
+            "JOIN gf g ON g.doc_id = p.doc_id JOIN eb b ON b.type_id = p.type_id AND b.term_id = p.term_id AND b.topic = g.topic "
+            "WHERE g.et * p.cnt / p.phinorm * b.eb >= 0.01",
+        ),
+        "word_topics": with_(
+            PE,
+            "SELECT doc_id, type_id, term_id, row_number() OVER (PARTITION BY doc_id, type_id, term_id ORDER BY nphi DESC, topic DESC)::INT AS rank, "
+            "topic FROM (SELECT p.doc_id, p.type_id, p.term_id, g.topic, g.et * p.cnt / p.phinorm * b.eb AS nphi FROM phf p "
+            "JOIN gf g ON g.doc_id = p.doc_id JOIN eb b ON b.type_id = p.type_id AND b.term_id = p.term_id AND b.topic = g.topic) "
+            "WHERE nphi >= 0.01",
+        ),
+        "topic_wordset": with_(_AB_P, "SELECT topic, array_to_string(w, '|') AS words FROM ws_a"),
+        "topic_diff_kl": with_(_AB_P, _normed(_KL)),
+        "topic_diff_hellinger": with_(_AB_P, _normed(_HEL)),
+        "topic_diff_jaccard": with_(_AB_P, _normed(_JAC)),
+        "topic_diff_js": with_(_AB_P, _normed(_JS)),
+        "topic_diff_rescaled_dot": with_(_AB_P + _RANKS, _normed(_RDOT)),
+        "topic_diff_diagonal": with_(_AB_P, _normed(_KL.replace("FROM pr GROUP BY", "FROM pr WHERE topic1 = topic2 GROUP BY"))),
+        "topic_diff_annotation": with_(
+            _AB_P,
+            f"SELECT h.topic1, h.topic2, {rnd('h.z')} AS z, array_to_string(list_sort(list_intersect(a.w, b.w))[1:10], '|') AS pos, "
+            "array_to_string(list_sort(list_concat(list_filter(a.w, lambda x: NOT list_contains(b.w, x)), "
+            "list_filter(b.w, lambda x: NOT list_contains(a.w, x))))[1:10], '|') AS neg "
+            f"FROM ({_HEL}) h JOIN ws_a a ON a.topic = h.topic1 JOIN ws_b b ON b.topic = h.topic2",
+        ),
+    }
+)
