@@ -528,3 +528,147 @@ QUERIES.update(
         "topic_diff_annotation": q_topic_diff_annotation,
     }
 )
+
+
+# ------------------------------------------------------------ visualisation tables
+def q_vis_topic_term(spark, sf):
+    from ..operators.vis import topic_term
+
+    return topic_term(model_a(spark, sf)).select("topic", "type_id", "term_id", rnd("p", 8).alias("p"), rnd("p_joint", 8).alias("p_joint"))
+
+
+def q_vis_doc_topic(spark, sf):
+    from ..operators.vis import doc_topic_dists
+
+    m = model_a(spark, sf)
+    g = m.gamma(purchases(spark, sf).entries).select("doc_id", F.posexplode("gamma").alias("topic", "gamma"))
+    return doc_topic_dists(m, supplied=g).select("doc_id", "topic", rnd("theta", 6).alias("theta"))
+
+
+def q_doc_topic_dists_supplied(spark, sf):
+    """Document-topic weights supplied as a long table (here the
+    quantity-weighted purchase counts per assigned topic), normalised."""
+    from ..operators.vis import doc_topic_dists
+
+    e = purchases(spark, sf).entries
+    sup = e.groupBy("doc_id", F.pmod(F.col("term_id"), F.lit(K)).alias("topic")).agg(F.sum("cnt").alias("w"))
+    return doc_topic_dists(model_a(spark, sf), supplied=sup).select("doc_id", "topic", rnd("theta", 8).alias("theta"))
+
+
+def q_vis_vocab(spark, sf):
+    return purchases(spark, sf).vocab.select("type_id", "term_id", "term")
+
+
+def _tp(spark, sf):
+    from ..operators.vis import doc_topic_dists, topic_proportion
+
+    m = model_a(spark, sf)
+    e = purchases(spark, sf).entries
+    g = m.gamma(e).select("doc_id", F.posexplode("gamma").alias("topic", "gamma"))
+    return topic_proportion(doc_topic_dists(m, supplied=g), C.doc_lengths(e))
+
+
+def q_vis_topic_proportion(spark, sf):
+    tp = _tp(spark, sf)
+    return tp.select("topic", rnd("topic_freq", 4).alias("topic_freq"), rnd("proportion", 8).alias("proportion"), "order")
+
+
+def q_vis_saliency(spark, sf):
+    from ..operators.vis import saliency, topic_term
+
+    s = saliency(topic_term(model_a(spark, sf)), materialize(_tp(spark, sf), "tp"))
+    return s.select("type_id", "term_id", rnd("distinctiveness", 8).alias("distinctiveness"), rnd("saliency", 8).alias("saliency"))
+
+
+def q_vis_relevance(spark, sf):
+    from ..operators.vis import relevance, topic_term
+
+    r = relevance(topic_term(model_a(spark, sf)), materialize(_tp(spark, sf), "tp"), 0.6, 30)
+    return r.select("topic", "rank", "type_id", "term_id", rnd("relevance", 6).alias("relevance"))
+
+
+def q_vis_topic_distance(spark, sf):
+    from ..operators.vis import topic_distance
+
+    return topic_distance(model_a(spark, sf)).select("topic1", "topic2", rnd("z", 8).alias("js"))
+
+
+# ------------------------------------------------------------ persistence, streaming, no-SQL checks
+def q_model_roundtrip(spark, sf):
+    from ..session import scratch_path
+    from ..sources import model_io
+
+    path = model_io.save(model_a(spark, sf), scratch_path(spark, "model"))
+    m = model_io.load(spark, path)
+    return _long(m.lam(), "lam", "lam", ["type_id", "term_id"])
+
+
+def q_state_init(spark, sf):
+    """M3: random start, Gamma(100, 1/100) per (type, term, topic)."""
+    m = TopicModel.create(purchases(spark, sf), k=K, init="random", seed=7)
+    return _long(m.state, "s", "s", ["type_id", "term_id"], 8)
+
+
+def q_train_online(spark, sf):
+    """M1/M11 default path: random start, online updates, two passes, with
+    perplexity evaluation; returns the learnt document mixtures."""
+    from .train import update
+
+    c = purchases(spark, sf)
+    m = TopicModel.create(c, k=K, init="random", seed=11, iterations=ITER, eval_every=1)
+    update(m, c.entries, chunksize=CHUNK, passes=2, update_every=1)
+    return m.document_topics(c.entries).select("doc_id", "topic", rnd("p").alias("p"))
+
+
+def q_training_metrics(spark, sf):
+    from .train import metrics_frame, update
+
+    c = purchases(spark, sf)
+    m = TopicModel.create(c, k=K, init="assign", iterations=ITER, eval_every=1, track_topic_diff=True, alpha="auto")
+    update(m, c.entries, chunksize=CHUNK, passes=1, update_every=1)
+    return metrics_frame(m)
+
+
+def q_corpus_from_vectors(spark, sf):
+    """An MLlib count-vector column (documents' words) -> long corpus."""
+    from pyspark.ml.feature import CountVectorizer
+
+    d = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select("doc_id", C.tokens(F.col("text")).alias("words"))
+    cv = CountVectorizer(inputCol="words", outputCol="v", minDF=1.0).fit(d)
+    return C.corpus_from_vectors(cv.transform(d), "doc_id", "v", 0)
+
+
+def q_stream_user_days(spark, sf):
+    """2.11: events arrive as a stream; every micro-batch of user-day
+    documents is one online update of the model."""
+    from ..session import scratch_path
+    from ..streaming.online import events_stream, train_stream, user_day_terms
+
+    ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    terms = C.user_days(ev)
+    vocab = materialize(C.vocabulary(terms), "ud-vocab")
+    corpus = C.Corpus(C.encode(terms, vocab, strict=False), vocab, 2)
+    m = TopicModel.create(corpus, k=K, init="assign", iterations=ITER)
+    train_stream(m, events_stream(spark, f"{sf.rstrip('/')}/events.parquet"), user_day_terms, scratch_path(spark, "stream-model"),
+                 scratch_path(spark, "stream-ckpt"), update_every=0)
+    return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
+
+
+QUERIES.update(
+    {
+        "vis_topic_term": q_vis_topic_term,
+        "vis_doc_topic": q_vis_doc_topic,
+        "doc_topic_dists_supplied": q_doc_topic_dists_supplied,
+        "vis_vocab": q_vis_vocab,
+        "vis_topic_proportion": q_vis_topic_proportion,
+        "vis_saliency": q_vis_saliency,
+        "vis_relevance": q_vis_relevance,
+        "vis_topic_distance": q_vis_topic_distance,
+        "model_roundtrip": q_model_roundtrip,
+        "state_init": q_state_init,
+        "train_online": q_train_online,
+        "training_metrics": q_training_metrics,
+        "corpus_from_vectors": q_corpus_from_vectors,
+        "stream_user_days": q_stream_user_days,
+    }
+)

@@ -463,3 +463,69 @@ ORACLE.update(
         ),
     }
 )
+
+
+# ------------------------------------------------------------ wave 4: visualisation, persistence, streaming
+_TP = [
+    "gs2 AS (SELECT doc_id, sum(gamma) AS gs FROM gf GROUP BY 1)",
+    "th AS (SELECT g.doc_id, g.topic, g.gamma / s.gs AS theta FROM gf g JOIN gs2 s ON s.doc_id = g.doc_id)",
+    "dl AS (SELECT doc_id, sum(cnt) AS doc_length FROM entries GROUP BY 1)",
+    "tfq AS (SELECT t.topic, sum(t.theta * d.doc_length) AS topic_freq FROM th t JOIN dl d ON d.doc_id = t.doc_id GROUP BY 1)",
+    "tp AS (SELECT topic, topic_freq, topic_freq / sum(topic_freq) OVER () AS proportion, "
+    "row_number() OVER (ORDER BY topic_freq DESC, topic ASC) AS ord FROM tfq)",
+    f"ttj AS (SELECT l.topic, l.type_id, l.term_id, l.lam / m.mass / {T}.0 AS pj FROM lam l JOIN mass m ON m.type_id = l.type_id AND m.topic = l.topic)",
+    "tmg AS (SELECT type_id, term_id, freq, freq / sum(freq) OVER () AS p_w FROM (SELECT t.type_id, t.term_id, sum(t.pj * p.topic_freq) AS freq "
+    "FROM ttj t JOIN tp p ON p.topic = t.topic GROUP BY 1, 2))",
+]
+
+_UD_TERMS = [
+    "ev AS (SELECT user_id::BIGINT * 100000 + date_diff('day', DATE '1970-01-01', ts::DATE) AS doc_id, event_type, value FROM events)",
+    "terms AS (SELECT doc_id, 0 AS type_id, event_type AS term, count(*)::DOUBLE AS cnt FROM ev WHERE event_type IS NOT NULL GROUP BY 1, 2, 3 "
+    "UNION ALL SELECT doc_id, 1, 'v' || floor(value / 100)::BIGINT::VARCHAR, count(*)::DOUBLE FROM ev WHERE value IS NOT NULL GROUP BY 1, 2, 3)",
+]
+
+ORACLE.update(
+    {
+        "vis_topic_term": with_(
+            PM,
+            f"SELECT l.topic, l.type_id, l.term_id, {rnd('l.lam / m.mass', 8)} AS p, {rnd(f'l.lam / m.mass / {T}.0', 8)} AS p_joint "
+            "FROM lam l JOIN mass m ON m.type_id = l.type_id AND m.topic = l.topic",
+        ),
+        "vis_doc_topic": with_(PE + _TP, f"SELECT doc_id, topic, {rnd('theta')} AS theta FROM th"),
+        "doc_topic_dists_supplied": with_(
+            PV,
+            f"SELECT doc_id, topic, {rnd('w / sum(w) OVER (PARTITION BY doc_id)', 8)} AS theta FROM "
+            f"(SELECT doc_id, ((term_id % {K}) + {K}) % {K} AS topic, sum(cnt) AS w FROM entries GROUP BY 1, 2)",
+        ),
+        "vis_vocab": with_(PV, "SELECT type_id, term_id, term FROM vocab"),
+        "vis_topic_proportion": with_(
+            PE + _TP, f"SELECT topic, {rnd('topic_freq', 4)} AS topic_freq, {rnd('proportion', 8)} AS proportion, ord::INT AS \"order\" FROM tp"
+        ),
+        "vis_saliency": with_(
+            PE + _TP + ["cs AS (SELECT type_id, term_id, sum(pj) AS cs FROM ttj GROUP BY 1, 2)"],
+            f"SELECT d.type_id, d.term_id, {rnd('d.dist', 8)} AS distinctiveness, {rnd('m.p_w * d.dist', 8)} AS saliency FROM "
+            "(SELECT t.type_id, t.term_id, sum((t.pj / c.cs) * ln((t.pj / c.cs) / p.proportion)) AS dist FROM ttj t "
+            "JOIN cs c ON c.type_id = t.type_id AND c.term_id = t.term_id JOIN tp p ON p.topic = t.topic GROUP BY 1, 2) d "
+            "JOIN tmg m ON m.type_id = d.type_id AND m.term_id = d.term_id",
+        ),
+        "vis_relevance": with_(
+            PE + _TP,
+            f"SELECT topic, rank::INT AS rank, type_id, term_id, {rnd('rel')} AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY topic "
+            "ORDER BY rel DESC, type_id, term_id) AS rank FROM (SELECT t.topic, t.type_id, t.term_id, 0.6 * ln(t.pj) + 0.4 * ln(t.pj / m.p_w) AS rel "
+            "FROM ttj t JOIN tmg m ON m.type_id = t.type_id AND m.term_id = t.term_id)) WHERE rank <= 30",
+        ),
+        "vis_topic_distance": with_(
+            PM + _P + [
+                "psa AS (SELECT topic, sum(p) AS s FROM pa GROUP BY 1)",
+                "pr AS (SELECT a.topic AS topic1, b.topic AS topic2, a.p AS p, b.p AS q, x.s AS sp, y.s AS sq FROM pa a JOIN pa b "
+                "ON a.type_id = b.type_id AND a.term_id = b.term_id JOIN psa x ON x.topic = a.topic JOIN psa y ON y.topic = b.topic)",
+            ],
+            f"SELECT topic1, topic2, {rnd('z', 8)} AS js FROM ({_JS})",
+        ),
+        "model_roundtrip": with_(PM, _long_sql("lam", "lam", "lam", "type_id, term_id")),
+        "stream_user_days": with_(
+            _UD_TERMS + vocab_entries() + model_ctes(K) + estep_ctes(K, 2, ITER, THR, EPS) + mstep_ctes("", "m1_", "sst", 0.0, 1.0),
+            f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m1_st",
+        ),
+    }
+)
