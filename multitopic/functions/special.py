@@ -27,9 +27,10 @@ SHIFT = 8
 #   digamma(y)  ~ ln y - 1/(2y) - 1/(12 y^2) + 1/(120 y^4) - 1/(252 y^6) + 1/(240 y^8) - 1/(132 y^10)
 #   trigamma(y) ~ 1/y + 1/(2 y^2) + 1/(6 y^3) - 1/(30 y^5) + 1/(42 y^7) - 1/(30 y^9) + 5/(66 y^11)
 #   lgamma(y)   ~ (y - 1/2) ln y - y + ln(2 pi)/2 + 1/(12 y) - 1/(360 y^3) + 1/(1260 y^5) - 1/(1680 y^7)
+#                 + 1/(1188 y^9) - 691/(360360 y^11)
 _DIGAMMA_EVEN = [(2, -1.0 / 12), (4, 1.0 / 120), (6, -1.0 / 252), (8, 1.0 / 240), (10, -1.0 / 132)]
 _TRIGAMMA_ODD = [(3, 1.0 / 6), (5, -1.0 / 30), (7, 1.0 / 42), (9, -1.0 / 30), (11, 5.0 / 66)]
-_LGAMMA_ODD = [(1, 1.0 / 12), (3, -1.0 / 360), (5, 1.0 / 1260), (7, -1.0 / 1680)]
+_LGAMMA_ODD = [(1, 1.0 / 12), (3, -1.0 / 360), (5, 1.0 / 1260), (7, -1.0 / 1680), (9, 1.0 / 1188), (11, -691.0 / 360360)]
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 
 
@@ -122,7 +123,7 @@ def lgamma_np(a) -> np.ndarray:
     y = x + SHIFT
     inv = 1.0 / y
     inv2 = inv * inv
-    s = inv * (1.0 / 12 + inv2 * (-1.0 / 360 + inv2 * (1.0 / 1260 + inv2 * (-1.0 / 1680))))
+    s = inv * (1.0 / 12 + inv2 * (-1.0 / 360 + inv2 * (1.0 / 1260 + inv2 * (-1.0 / 1680 + inv2 * (1.0 / 1188 + inv2 * (-691.0 / 360360))))))
     return (y - 0.5) * np.log(y) - y + _HALF_LOG_2PI + s - logprod
 
 

@@ -345,21 +345,29 @@ def q_train_batch_1pass(spark, sf):
     return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
 
 
+def _half(spark, sf) -> int:
+    n = purchases(spark, sf).entries.select("doc_id").distinct().count()
+    return max(1, -(-n // 2))
+
+
 def q_train_online_2chunks(spark, sf):
+    """Online updates over the documents cut into two chunks (M step after each)."""
     from .train import update
 
     m = fresh_model(spark, sf)
-    update(m, purchases(spark, sf).entries, chunksize=750, update_every=1, passes=1, eval_every=0)
+    update(m, purchases(spark, sf).entries, chunksize=_half(spark, sf), update_every=1, passes=1, eval_every=0)
     return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
 
 
 def q_train_incremental(spark, sf):
+    """A second ``update()`` with new documents (the second half)."""
     from .train import update
 
     m = fresh_model(spark, sf)
-    e = _chunked(spark, sf, 750)
+    e = _chunked(spark, sf, _half(spark, sf))
     for c in (0, 1):
-        update(m, e.where(F.col("chunk_id") == c).drop("chunk_id"), update_every=0, passes=1, eval_every=0)
+        part = e.where(F.col("chunk_id") == c).drop("chunk_id")
+        update(m, part, update_every=0, passes=1, eval_every=0)
     return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
 
 

@@ -102,10 +102,11 @@ def model_ctes(k: int, eta: float | None = None, rule: str = "mod", prefix: str
     return assign_ctes(k, eta, rule, prefix) + derive_ctes(prefix)
 
 
-def mstep_ctes(prev: str, new: str, sst: str, w_old: float, w_new: float) -> list[str]:
-    """``{new}st`` = w_old * ``{prev}st`` + w_new * sstats, then derived tables."""
+def mstep_ctes(prev: str, new: str, sst: str, w_old, w_new) -> list[str]:
+    """``{new}st`` = w_old * ``{prev}st`` + w_new * sstats, then derived
+    tables (weights: numbers or scalar SQL expressions)."""
     return [
-        f"{new}st AS MATERIALIZED (SELECT a.type_id, a.term_id, a.topic, {w_old!r} * a.s + {w_new!r} * coalesce(b.sstat, 0.0) AS s, a.eta0 "
+        f"{new}st AS MATERIALIZED (SELECT a.type_id, a.term_id, a.topic, ({w_old}) * a.s + ({w_new}) * coalesce(b.sstat, 0.0) AS s, a.eta0 "
         f"FROM {prev}st a LEFT JOIN {sst} b ON a.type_id = b.type_id AND a.term_id = b.term_id AND a.topic = b.topic)"
     ] + derive_ctes(new)
 
@@ -272,7 +273,14 @@ _DOC_BOUND = [
     "tb AS (SELECT (SELECT sum(score) FROM docb) + (SELECT bp FROM bp) + (SELECT bt FROM bt) AS bound)",
 ]
 
-_RHO1 = (1.0 + 0 + 750 / 750) ** -0.5
+# documents in doc_id order, cut into two halves of ceil(D / 2)
+_HALVES = [
+    "dix AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // ceil(count(*) OVER () / 2.0)::BIGINT AS chunk_id "
+    "FROM (SELECT DISTINCT doc_id FROM entries))",
+    "hv AS (SELECT count(*)::DOUBLE AS d, count(*) FILTER (WHERE chunk_id = 0)::DOUBLE AS n0, count(*) FILTER (WHERE chunk_id = 1)::DOUBLE AS n1 FROM dix)",
+    "e0 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 0)",
+    "e1 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 1)",
+]
 _AVG_ELOGTHETA = f"avg({psi('g.gamma')} - {psi('s.gs')})"
 
 ORACLE.update(
@@ -334,29 +342,21 @@ ORACLE.update(
             PE + mstep_ctes("", "m1_", "sst", 0.0, 1.0), f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m1_st"
         ),
         "train_online_2chunks": with_(
-            PM
-            + [
-                "dix AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 750 AS chunk_id FROM (SELECT DISTINCT doc_id FROM entries))",
-                "e0 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 0)",
-                "e1 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 1)",
-            ]
+            PM + _HALVES
             + estep_ctes(K, T, ITER, THR, EPS, tag="a_", entries="e0")
-            + mstep_ctes("", "m1_", "a_sst", 0.0, 2.0)
+            + mstep_ctes("", "m1_", "a_sst", 0.0, "(SELECT d / n0 FROM hv)")
             + estep_ctes(K, T, ITER, THR, EPS, tag="b_", entries="e1", eb="m1_eb")
-            + mstep_ctes("m1_", "m2_", "b_sst", 1.0 - _RHO1, 2.0 * _RHO1),
+            + mstep_ctes("m1_", "m2_", "b_sst", "(SELECT CASE WHEN n1 > 0 THEN 1.0 - pow(2.0, -0.5) ELSE 1.0 END FROM hv)",
+                         "(SELECT CASE WHEN n1 > 0 THEN pow(2.0, -0.5) * d / n1 ELSE 0.0 END FROM hv)"),
             f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m2_st",
         ),
         "train_incremental": with_(
-            PM
-            + [
-                "dix AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 750 AS chunk_id FROM (SELECT DISTINCT doc_id FROM entries))",
-                "e0 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 0)",
-                "e1 AS (SELECT e.* FROM entries e JOIN dix d ON d.doc_id = e.doc_id WHERE d.chunk_id = 1)",
-            ]
+            PM + _HALVES
             + estep_ctes(K, T, ITER, THR, EPS, tag="a_", entries="e0")
             + mstep_ctes("", "m1_", "a_sst", 0.0, 1.0)
             + estep_ctes(K, T, ITER, THR, EPS, tag="b_", entries="e1", eb="m1_eb")
-            + mstep_ctes("m1_", "m2_", "b_sst", 1.0 - _RHO1, 2.0 * _RHO1),
+            + mstep_ctes("m1_", "m2_", "b_sst", "(SELECT CASE WHEN n1 > 0 THEN 1.0 - pow(1.0 + n0 / least(n1, 2000), -0.5) ELSE 1.0 END FROM hv)",
+                         "(SELECT CASE WHEN n1 > 0 THEN pow(1.0 + n0 / least(n1, 2000), -0.5) * d / n1 ELSE 0.0 END FROM hv)"),
             f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m2_st",
         ),
         "bound_docs": with_(PE + _DOC_BOUND, f"SELECT doc_id, {rnd('score', 4)} AS score FROM docb"),
