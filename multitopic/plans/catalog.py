@@ -680,3 +680,31 @@ QUERIES.update(
         "stream_user_days": q_stream_user_days,
     }
 )
+
+
+# ------------------------------------------------------------ strategies under the gate
+@cached("texts")
+def text_corpus(spark, sf):
+    terms = materialize(C.texts(spark, sf), "text-terms")
+    vocab = materialize(C.vocabulary(terms), "text-vocab")
+    return C.Corpus(materialize(C.encode(terms, vocab, strict=False), "text-entries"), vocab, 3)
+
+
+def q_estep_text_join(spark, sf):
+    """E step over whole document texts (large vocabulary) with the join
+    strategy: the topic table is joined to the words, never broadcast."""
+    c = text_corpus(spark, sf)
+    m = TopicModel.create(c, k=K, init="assign", iterations=ITER, gamma_threshold=THR, strategy="join")
+    return m.document_topics(c.entries).select("doc_id", "topic", rnd("p").alias("p"))
+
+
+def q_estep_hot_docs(spark, sf):
+    """E step where every document above 40 entries is treated as hot
+    (distributed rounds instead of one task per document)."""
+    m = model_a(spark, sf).with_params(max_doc_terms=40)
+    m._eb, m._eb_bc = None, None
+    g = m.gamma(purchases(spark, sf).entries)
+    return _long(g, "gamma", "gamma", ["doc_id"], 4)
+
+
+QUERIES.update({"estep_text_join": q_estep_text_join, "estep_hot_docs": q_estep_hot_docs})

@@ -529,3 +529,15 @@ ORACLE.update(
         ),
     }
 )
+
+
+ORACLE.update(
+    {
+        "estep_text_join": with_(
+            text_terms() + vocab_entries() + model_ctes(K) + estep_ctes(K, T, ITER, THR, EPS),
+            f"SELECT doc_id, topic, {rnd('p')} AS p FROM (SELECT doc_id, topic, gamma / sum(gamma) OVER (PARTITION BY doc_id) AS p FROM gf) "
+            "WHERE p >= 0.01",
+        ),
+        "estep_hot_docs": ORACLE["estep_gamma"],
+    }
+)

@@ -82,19 +82,30 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted by quantity, supplier nation (count) and web event type (count)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_type").alias("product"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    sn = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     ev = table(spark, sf_dir, "events").select("user_id", "event_type")
-    lo = li.join(o, li.l_orderkey == o.o_orderkey)
-    t0 = corpus_from_table(
-        lo.join(p, lo.l_partkey == p.p_partkey), "o_custkey", F.concat_ws("|", "p_brand", "p_type"), 0, "l_quantity"
+    # one pass over lineitem: each line item yields its product term and its
+    # supplier-nation term; (left joins: a missing part or supplier drops only
+    # that term, as two separate inner joins would)
+    lo = (
+        li.join(o, li.l_orderkey == o.o_orderkey)
+        .join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
+        .join(sn, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     )
-    t1 = corpus_from_table(
-        lo.join(s, lo.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == F.col("n_nationkey")), "o_custkey", "n_name", 1
+    items = lo.select(
+        F.col("o_custkey").alias("doc"),
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("t"), F.col("product").alias("w"), F.col("l_quantity").alias("c")),
+                F.struct(F.lit(1).alias("t"), F.col("n_name").alias("w"), F.lit(1.0).alias("c")),
+            )
+        ).alias("x"),
     )
-    t2 = corpus_from_table(ev, "user_id", "event_type", 2)
-    return union_types(t0, t1, t2)
+    lines = corpus_from_table(items, "doc", F.col("x.w"), F.col("x.t"), F.col("x.c"))
+    return union_types(lines, corpus_from_table(ev, "user_id", "event_type", 2))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
