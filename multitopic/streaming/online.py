@@ -87,3 +87,40 @@ def events_stream(spark, events_path: str, max_files: int = 1) -> DataFrame:
 
 def user_day_terms(batch: DataFrame) -> DataFrame:
     return C.user_days(batch)
+
+
+def score_stream(model, stream: DataFrame, to_terms, sink_path: str, checkpoint: str, trigger_once: bool = True,
+                 minimum_probability: float | None = None):
+    """Streaming scoring (stream-static): every micro-batch of documents is
+    scored with the fixed model and appended as ``(doc_id, topic, p,
+    batch_id)`` Parquet rows; unknown terms are dropped (D12)."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        entries = C.encode(to_terms(batch), model.vocab, strict=False)
+        out = model.document_topics(entries, minimum_probability).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        # overwrite of this batch's own partition keeps a replayed batch exactly-once
+        out.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
+
+    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if trigger_once else w
+    q = w.start()
+    if trigger_once:
+        q.awaitTermination()
+    return q
+
+
+def closed_user_days(events: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """Event counts per (user, day, term) emitted only once the day is closed
+    by the watermark (append mode): complete user-day documents for
+    training from an unbounded stream. Input ``ts`` must be TIMESTAMP."""
+    ev = events.withWatermark("ts", watermark)
+    bucket = F.concat(F.lit("v"), F.floor(F.col("value") / 100).cast("bigint").cast("string"))
+    terms = ev.select(
+        "ts", "user_id",
+        F.explode(F.array(F.struct(F.lit(0).alias("t"), F.col("event_type").alias("w")), F.struct(F.lit(1).alias("t"), bucket.alias("w")))).alias("x"),
+    ).where(F.col("x.w").isNotNull())
+    g = terms.groupBy(F.window("ts", "1 day"), "user_id", F.col("x.t").alias("type_id"), F.col("x.w").alias("term")).agg(
+        F.count("*").cast("double").alias("cnt")
+    )
+    day = F.datediff(F.to_date(F.col("window.start")), F.lit("1970-01-01").cast("date"))
+    return g.select((F.col("user_id") * F.lit(100000) + day).cast("bigint").alias("doc_id"), F.col("type_id").cast("int"), "term", "cnt")

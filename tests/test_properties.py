@@ -130,3 +130,38 @@ def test_dense_index_is_dense(spark):
     df = spark.range(0, 1000, 7).withColumnRenamed("id", "doc_id")
     idx = sorted((r.doc_id, r.idx) for r in C.dense_index(df, ["doc_id"], "idx", partitions=5).collect())
     assert [i for _, i in idx] == list(range(len(idx)))
+
+
+def test_reset_and_small_shapes(spark, purchases):
+    z = S.zero_state(purchases.vocab, 3, 0.1)
+    assert z.select(F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("t")).agg(F.max("t")).collect()[0][0] == 0.0
+    # K = 1: every document is all topic 0
+    m1 = TopicModel.create(purchases, k=1, init="assign", iterations=3)
+    assert {tuple(r.theta) for r in m1.transform(purchases.entries).collect()} == {(1.0,)}
+    # T = 1 (one type only) runs as plain online LDA
+    one = purchases.entries.where(F.col("type_id") == 0)
+    c1 = C.Corpus(one, purchases.vocab.where(F.col("type_id") == 0), 1)
+    m = TopicModel.create(c1, k=2, init="assign", iterations=3)
+    assert m.num_types == 1 and m.gamma(one).count() == one.select("doc_id").distinct().count()
+
+
+def test_too_few_updates_warns(spark):
+    from multitopic.plans.train import update
+
+    from .fixtures import g2_model
+
+    m = g2_model(spark)
+    with pytest.warns(UserWarning, match="too few updates"):
+        update(m, entries(spark), docs=docs_df(spark), chunksize=4, passes=1, eval_every=0)
+
+
+def test_custom_distance(spark, purchases):
+    from multitopic.operators.compare import register_distance
+
+    def same(m1, m2):
+        return m1.spark.range(m1.k * m2.k).select((F.col("id") / m2.k).cast("int").alias("topic1"),
+                                                  F.pmod("id", F.lit(m2.k)).cast("int").alias("topic2"), F.lit(1.0).alias("z"))
+
+    register_distance("ones", same)
+    m = TopicModel.create(purchases, k=2, init="assign")
+    assert {r.z for r in diff(m, m, "ones", annotation=False).collect()} == {1.0}

@@ -33,3 +33,22 @@ def test_stream_equals_batch_and_replay_is_noop(spark):
     before = m_stream.version
     sink(ev, 0)  # batch 0 again: already committed
     assert m_stream.version == before and m_stream.numdocs == m_batch.numdocs
+
+
+def test_stream_scoring_and_closed_days(spark):
+    from multitopic.streaming.online import closed_user_days, score_stream
+
+    ev, corp = _model(spark)
+    m = TopicModel.create(corp, k=3, init="assign", iterations=5)
+    out = scratch_path(spark, "t-scores")
+    score_stream(m, events_stream(spark, f"{SF}/events.parquet"), user_day_terms, out, scratch_path(spark, "t-ckpt2"))
+    got = spark.read.parquet(out)
+    assert got.select("doc_id").distinct().count() == corp.entries.select("doc_id").distinct().count()
+
+    q = (closed_user_days(events_stream(spark, f"{SF}/events.parquet")).writeStream.outputMode("append")
+         .format("memory").queryName("closed_days").trigger(availableNow=True)
+         .option("checkpointLocation", scratch_path(spark, "t-ckpt3")).start())
+    q.awaitTermination()
+    emitted = {(r.doc_id, r.type_id, r.term): r.cnt for r in spark.sql("SELECT * FROM closed_days").collect()}
+    batch = {(r.doc_id, r.type_id, r.term): r.cnt for r in C.user_days(ev).collect()}
+    assert emitted and all(batch[k] == v for k, v in emitted.items())  # emitted days are complete
