@@ -114,6 +114,8 @@ class TopicModel:
     metrics: list = field(default_factory=list)
     _eb: DataFrame | None = None
     _eb_bc: object = None
+    _scratch: list = field(default_factory=list)  # intermediate tables of the current window
+    _owned_state: bool = False  # state written by this model's own M step (may be dropped when superseded)
 
     # ----------------------------------------------------------- creation
     @classmethod
@@ -156,8 +158,10 @@ class TopicModel:
         return len(self.num_terms)
 
     def with_params(self, **kw) -> "TopicModel":
-        m = replace(self, params=replace(self.params, **kw))
-        return m
+        """A copy with other parameters; it shares the current state, which
+        therefore neither copy will delete."""
+        self._owned_state = False
+        return replace(self, params=replace(self.params, **kw), metrics=list(self.metrics), _scratch=[], _eb=None, _eb_bc=None)
 
     # ------------------------------------------------------- derived tables
     def lam(self) -> DataFrame:
@@ -205,9 +209,23 @@ class TopicModel:
             self._eb_bc = self.spark.sparkContext.broadcast(arr)
         return self._eb_bc
 
-    def new_version(self, state: DataFrame) -> None:
-        """Install a new state (already materialised) and drop caches."""
-        self.state = state
+    def new_version(self, state: DataFrame, owned: bool = False) -> None:
+        """Install a new state (already materialised) and drop caches. The
+        superseded state and the window's intermediates are deleted when this
+        model wrote them itself (never a state shared with another model)."""
+        from ..session import drop_path, source_path
+
+        old, old_owned = self.state, self._owned_state
+        self.state, self._owned_state = state, owned
+        for t in self._scratch:
+            p = source_path(t)
+            if p:
+                drop_path(self.spark, p)
+        self._scratch = []
+        if old_owned:
+            p = source_path(old)
+            if p:
+                drop_path(self.spark, p)
         self.version += 1
         self.eb_from_s = False
         if self._eb is not None:
@@ -234,10 +252,14 @@ class TopicModel:
             d = d.withColumn("chunk_id", F.lit(0).cast("bigint")) if d is not None else None
         hot = self.hot_docs(e)
         if hot is not None:
-            normal = e.join(F.broadcast(hot), "doc_id", "left_anti")
-            hot_entries = materialize(e.join(F.broadcast(hot), "doc_id"), "hot-entries")
+            # at most total_entries / limit ids; broadcast only when their
+            # counted size fits the limit, else a shuffle join
+            small = hot.count() * 16 <= self.params.broadcast_limit_bytes
+            b = F.broadcast if small else (lambda x: x)
+            normal = e.join(b(hot), "doc_id", "left_anti")
+            hot_entries = materialize(e.join(b(hot), "doc_id"), "hot-entries")
             hot = materialize(hot_entries.select("doc_id", "chunk_id").distinct(), "hot-docs")
-            d = d.join(F.broadcast(hot.select("doc_id")), "doc_id", "left_anti") if d is not None else None
+            d = d.join(b(hot.select("doc_id")), "doc_id", "left_anti") if d is not None else None
         else:
             normal, hot_entries = e, None
         normal = materialize(normal, "entries")
@@ -279,7 +301,7 @@ class TopicModel:
                 he = materialize(flt(prep.hot_entries).join(eb, ["type_id", "term_id"]), "hot-entries-eb")
                 rows = rows.unionByName(
                     E.hot_estep(he, hot, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, mode,
-                                materialize, min_phi=min_phi)
+                                materialize, broadcast_rows=p.broadcast_limit_bytes // (16 * self.k + 16), min_phi=min_phi)
                 )
         return rows
 
@@ -297,6 +319,7 @@ class TopicModel:
         kernel pass: the kernel output is written once and read twice."""
         prep = prep if prep is not None else self.prepare(entries)
         rows = materialize(self.rows(prep, "train", lo, hi), "estep")
+        self._scratch.append(rows)
         ss = E.sum_vectors(rows.where(F.col("kind") == E.SSTATS), ["type_id", "term_id"], self.k)
         st = rows.where(F.col("kind") == E.STATS).select("vec", "n", "m").collect()
         elog = np.sum([np.asarray(r["vec"]) for r in st], axis=0) if st else np.zeros(self.k)

@@ -65,3 +65,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library wrote below the checkpoint folder (an
+    intermediate or superseded model version)."""
+    if "/multitopic/" not in path:
+        return
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def source_path(df: DataFrame) -> str | None:
+    """The folder a materialised DataFrame was read from (None otherwise)."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    return files[0].rsplit("/", 1)[0]
