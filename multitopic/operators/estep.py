@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.special import dirichlet_expectation_np, lgamma_np
-from .kernel import SparseAccumulator, infer, seg_sum
+from .kernel import SparseAccumulator, infer, reduce_rows, seg_sum
 
 OUT_SCHEMA = T.StructType(
     [
@@ -280,8 +280,6 @@ def hot_estep(entries_eb: DataFrame, hot_docs: DataFrame, alpha, num_types: int,
                 continue
             _, eb, w = _entry_weights(b, k, eps)
             ids = b.column(b.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            from .kernel import reduce_rows
-
             keys, vals = reduce_rows(ids.astype(np.int64), w[:, None] * eb)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _vec_array(vals)], names=["doc_id", "vec"])
 
@@ -343,13 +341,9 @@ def hot_estep(entries_eb: DataFrame, hot_docs: DataFrame, alpha, num_types: int,
             t = b.column(b.schema.get_field_index("type_id")).to_numpy(zero_copy_only=False).astype(np.int64)
             tm = b.column(b.schema.get_field_index("term_id")).to_numpy(zero_copy_only=False).astype(np.int64)
             if mode == "train":
-                from .kernel import reduce_rows
-
                 keys, vals = reduce_rows((t << 32) | tm, part)
                 yield _batch(SSTATS, len(keys), type_id=keys >> 32, term_id=keys & 0xFFFFFFFF, vec=vals)
             elif mode == "bound":
-                from .kernel import reduce_rows
-
                 ids = b.column(b.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
                 cnt = b.column(b.schema.get_field_index("cnt")).to_numpy(zero_copy_only=False).astype(np.float64)
                 ll = cnt * np.log(np.einsum("nk,nk->n", et, eb))

@@ -21,10 +21,6 @@ from ..functions.special import digamma_sql
 LAMBDA_SQL = "transform(s, x -> x + eta0)"
 
 
-def _arr_lit(v) -> "F.Column":
-    return F.array(*[F.lit(float(x)).cast("double") for x in v])
-
-
 def lam(state: DataFrame) -> DataFrame:
     """lambda = eta0 + S."""
     return state.select("type_id", "term_id", F.expr(LAMBDA_SQL).alias("lam"))

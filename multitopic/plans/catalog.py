@@ -11,8 +11,6 @@ K = 5, symmetric priors (1/K), 'assign' start, gamma starting at ones,
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -16,7 +16,6 @@ from dataclasses import asdict
 
 import numpy as np
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 
 def save(model, path: str, batch_id: int | None = None, mode: str = "overwrite") -> str:
@@ -73,4 +72,4 @@ def last_batch_id(spark: SparkSession, path: str) -> int:
         return -1
 
 
-__all__ = ["save", "load", "read_metadata", "last_batch_id", "F"]
+__all__ = ["save", "load", "read_metadata", "last_batch_id"]
