@@ -636,12 +636,13 @@ def q_training_metrics(spark, sf):
 
 
 def q_corpus_from_vectors(spark, sf):
-    """An MLlib count-vector column (documents' words) -> long corpus."""
-    from pyspark.ml.feature import CountVectorizer
+    """The documents' words stored as MLlib sparse count vectors, read
+    back into a long corpus (term = vocabulary id)."""
+    from ..session import scratch_path
 
-    d = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select("doc_id", C.tokens(F.col("text")).alias("words"))
-    cv = CountVectorizer(inputCol="words", outputCol="v", minDF=1.0).fit(d)
-    return C.corpus_from_vectors(cv.transform(d), "doc_id", "v", 0)
+    c = text_corpus(spark, sf)
+    vec = C.to_vectors(c.entries, c.vocab, 0, scratch_path(spark, "vectors"))
+    return C.corpus_from_vectors(vec, "doc_id", "vec", 0).select("doc_id", "type_id", "term", rnd("cnt").alias("cnt"))
 
 
 def q_stream_user_days(spark, sf):

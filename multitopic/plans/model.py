@@ -321,9 +321,13 @@ class TopicModel:
         rows = materialize(self.rows(prep, "train", lo, hi), "estep")
         self._scratch.append(rows)
         ss = E.sum_vectors(rows.where(F.col("kind") == E.SSTATS), ["type_id", "term_id"], self.k)
-        st = rows.where(F.col("kind") == E.STATS).select("vec", "n", "m").collect()
-        elog = np.sum([np.asarray(r["vec"]) for r in st], axis=0) if st else np.zeros(self.k)
-        return ss, elog, int(sum(r["n"] for r in st)), int(sum(r["m"] for r in st))
+        # per-task statistics summed on the cluster: one K-vector reaches the driver
+        st = rows.where(F.col("kind") == E.STATS).agg(
+            *[F.sum(F.col("vec")[i]).alias(f"e{i}") for i in range(self.k)],
+            F.sum("n").alias("n"), F.sum("m").alias("m"),
+        ).collect()[0]
+        elog = np.array([st[f"e{i}"] or 0.0 for i in range(self.k)])
+        return ss, elog, int(st["n"] or 0), int(st["m"] or 0)
 
     # ------------------------------------------------------------- scoring
     def transform(self, entries: DataFrame, docs: DataFrame | None = None) -> DataFrame:

@@ -180,6 +180,10 @@ ORACLE: dict[str, str] = {
     "corpus_purchases": with_(purchases_terms(), f"SELECT doc_id, type_id, term, {rnd('cnt')} AS cnt FROM terms"),
     "corpus_conversations": with_(conversation_terms(), f"SELECT doc_id, type_id, term, {rnd('cnt')} AS cnt FROM terms"),
     "corpus_text": with_(text_terms(), f"SELECT doc_id, type_id, term, {rnd('cnt')} AS cnt FROM terms"),
+    "corpus_from_vectors": with_(
+        text_terms() + vocab_entries(),
+        f"SELECT doc_id, type_id, CAST(term_id AS VARCHAR) AS term, {rnd('cnt')} AS cnt FROM entries WHERE type_id = 0",
+    ),
     "vocabulary": with_(PV, f"SELECT type_id, term_id, term, doc_freq, {rnd('coll_freq')} AS coll_freq FROM vocab"),
     "num_terms": with_(PV, "SELECT type_id, count(*)::BIGINT AS num_terms FROM vocab GROUP BY 1"),
     "corpus_size": with_(

@@ -62,10 +62,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda w: F.length(w) > 0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan with fewer partitions than task slots (a small
+    table, or one Parquet row group read by one task) over all slots before
+    heavy per-row work. A large scan already has more partitions than
+    slots and is left alone: no shuffle of the raw input at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def corpus_from_text(df: DataFrame, doc: str, text: str, type_id: int | str | Column = 0) -> DataFrame:
     """S2 doc2bow over whole texts: explode tokens, count per term."""
     c = F.lit(type_id) if isinstance(type_id, int) else (F.col(type_id) if isinstance(type_id, str) else type_id)
-    words = df.select(
+    words = spread(df).select(
         F.col(doc).cast("bigint").alias("doc_id"), c.cast("int").alias("type_id"), F.explode(tokens(F.col(text))).alias("term")
     )
     return words.groupBy("doc_id", "type_id", "term").agg(F.count("*").cast("double").alias("cnt"))
@@ -245,14 +254,58 @@ def chunk_assignment(doc_ids: DataFrame, chunksize: int) -> DataFrame:
     return d.withColumn("chunk_id", F.floor(F.col("doc_index") / F.lit(chunksize)).cast("bigint"))
 
 
+# MLlib vector fields as Spark stores them (sparse: type 0, dense: type 1)
+VECTOR_FIELDS = "type TINYINT, size INT, indices ARRAY<INT>, values ARRAY<DOUBLE>"
+
+
 def corpus_from_vectors(df: DataFrame, doc: str, vec: str, type_id: int = 0) -> DataFrame:
     """An ``ml.linalg`` vector column (sparse or dense) -> long rows with
-    integer term ids (``term`` = the id as text)."""
-    from pyspark.ml.functions import vector_to_array
+    integer term ids (``term`` = the id as text). The vector's stored fields
+    are read JVM-side, so a sparse vector is never densified: work and
+    output grow with its non-zeros, not with its dimension."""
+    fields = F.from_json(F.to_json(F.struct(F.col(vec).alias("v"))), f"v STRUCT<{VECTOR_FIELDS}>").getField("v")
+    x = df.select(F.col(doc).cast("bigint").alias("doc_id"), fields.alias("_v"))
+    pairs = F.transform(
+        F.col("_v.values"),
+        lambda c, j: F.struct(
+            F.when(F.col("_v.type") == 0, F.col("_v.indices")[j]).otherwise(j).alias("i"), c.alias("c")
+        ),
+    )
+    ex = x.select("doc_id", F.explode(pairs).alias("_e")).where(F.col("_e.c") != 0)
+    return ex.select(
+        "doc_id",
+        F.lit(type_id).cast("int").alias("type_id"),
+        F.col("_e.i").cast("string").alias("term"),
+        F.col("_e.c").cast("double").alias("cnt"),
+    )
+
+
+def to_vectors(entries: DataFrame, vocab: DataFrame, type_id: int, path: str) -> DataFrame:
+    """S7 sink: the terms of one type as an MLlib sparse count vector per
+    document (size = the type's vocabulary), written as Parquet to ``path``
+    and read back as a ``vector`` column. One row per document, so a group
+    holds at most that document's distinct terms."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
 
-    arr = df.select(F.col(doc).cast("bigint").alias("doc_id"), vector_to_array(F.col(vec)).alias("_v"))
-    ex = arr.select("doc_id", F.posexplode("_v").alias("pos", "cnt")).where(F.col("cnt") != 0)
-    return ex.select("doc_id", F.lit(type_id).cast("int").alias("type_id"), F.col("pos").cast("string").alias("term"), F.col("cnt").cast("double").alias("cnt"))
+    size = num_terms(vocab)[type_id]
+    per_doc = (
+        entries.where(F.col("type_id") == type_id)
+        .groupBy("doc_id")
+        .agg(F.array_sort(F.collect_list(F.struct("term_id", "cnt"))).alias("_x"))
+    )
+    stored = per_doc.select(
+        "doc_id",
+        F.struct(
+            F.lit(0).cast("tinyint").alias("type"),
+            F.lit(size).cast("int").alias("size"),
+            F.transform("_x", lambda e: e["term_id"]).alias("indices"),
+            F.transform("_x", lambda e: e["cnt"]).alias("values"),
+        ).alias("vec"),
+    )
+    stored.write.mode("overwrite").parquet(path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("vec", VectorUDT())])
+    return entries.sparkSession.read.schema(schema).parquet(path)
 
 
 @dataclass

@@ -165,3 +165,26 @@ def test_custom_distance(spark, purchases):
     register_distance("ones", same)
     m = TopicModel.create(purchases, k=2, init="assign")
     assert {r.z for r in diff(m, m, "ones", annotation=False).collect()} == {1.0}
+
+
+def test_vectors_round_trip_sparse_and_dense(spark):
+    """Sparse vectors are read without densifying; dense vectors give
+    their non-zero positions; the Parquet vector sink reads back equal."""
+    from pyspark.ml.linalg import DenseVector, SparseVector
+
+    from multitopic.session import scratch_path
+
+    df = spark.createDataFrame(
+        [(1, SparseVector(1_000_000_000, [3, 999_999_999], [2.0, 5.0])), (2, DenseVector([0.0, 1.5, 0.0, 4.0])), (3, SparseVector(7, [], []))],
+        ["doc_id", "v"],
+    )
+    got = sorted(tuple(r) for r in C.corpus_from_vectors(df, "doc_id", "v", 1).collect())
+    assert got == [(1, 1, "3", 2.0), (1, 1, "999999999", 5.0), (2, 1, "1", 1.5), (2, 1, "3", 4.0)]
+
+    ent = entries(spark)
+    vec = C.to_vectors(ent, vocab(spark), 0, scratch_path(spark, "test-vectors"))
+    back = C.corpus_from_vectors(vec, "doc_id", "vec", 0)
+    want = ent.where("type_id = 0").select("doc_id", F.col("term_id").cast("string").alias("term"), "cnt")
+    assert sorted(tuple(r) for r in back.select("doc_id", "term", "cnt").collect()) == sorted(tuple(r) for r in want.collect())
+    sizes = {r["doc_id"]: r["vec"].size for r in vec.collect()}
+    assert set(sizes.values()) == {C.num_terms(vocab(spark))[0]}
