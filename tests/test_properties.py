@@ -188,3 +188,87 @@ def test_vectors_round_trip_sparse_and_dense(spark):
     assert sorted(tuple(r) for r in back.select("doc_id", "term", "cnt").collect()) == sorted(tuple(r) for r in want.collect())
     sizes = {r["doc_id"]: r["vec"].size for r in vec.collect()}
     assert set(sizes.values()) == {C.num_terms(vocab(spark))[0]}
+
+
+def _plain_lda_gamma(lam, docs, alpha, iters, thr, eps):
+    """Independent plain (one-type) LDA E step in NumPy, textbook order."""
+    from multitopic.functions.special import dirichlet_expectation_np
+
+    eb = np.exp(dirichlet_expectation_np(lam))
+    out = {}
+    for d, es in docs.items():
+        k = lam.shape[0]
+        g = np.ones(k)
+        if not es:
+            out[d] = alpha + 0 * g
+            continue
+        ids = np.array([w for _, w, _ in es])
+        cts = np.array([c for _, _, c in es])
+        et = np.exp(dirichlet_expectation_np(g))
+        ebd = eb[:, ids]
+        phinorm = et @ ebd + eps
+        for _ in range(iters):
+            last = g
+            g = alpha + et * ((cts / phinorm) @ ebd.T)
+            et = np.exp(dirichlet_expectation_np(g))
+            phinorm = et @ ebd + eps
+            if np.mean(np.abs(g - last)) < thr:
+                break
+        out[d] = g
+    return out
+
+
+def test_one_type_equals_plain_lda(spark):
+    """SURVEY 5.3: with T = 1 the multi-type E step is ordinary LDA."""
+    from .fixtures import DOCS, LAM0, state_from
+
+    docs = {d: [e for e in es if e[0] == 0] for d, es in DOCS.items()}
+    ent = entries(spark, docs)
+    voc = vocab(spark).where("type_id = 0")
+    m = TopicModel.create(C.Corpus(ent, voc, 1), k=2, alpha=0.5, eta=0.5, init="given", state=state_from(spark, [LAM0]),
+                          iterations=20, gamma_threshold=1e-6)
+    got = {r["doc_id"]: np.array(r["gamma"]) for r in m.gamma(ent, docs_df(spark)).collect()}
+    want = _plain_lda_gamma(LAM0, docs, 0.5, 20, 1e-6, m.params.epsilon)
+    assert got.keys() == want.keys()
+    assert max(np.abs(got[d] - want[d]).max() for d in want) < 1e-10
+
+
+def test_hellinger_squares_add_over_types(spark):
+    """Hellinger on concatenated types: H^2 = sum over types of H_t^2."""
+    m1 = g2_model(spark)
+    z = {(r.topic1, r.topic2): r.z for r in diff(m1, m1.with_params(), "hellinger", annotation=False, normed=False).collect()}
+    lam = [np.array([[4.5, 1.5, 0.5], [0.5, 2.5, 3.5]]), np.array([[3.5, 0.5], [1.5, 2.5]])]
+    p = [l / l.sum(axis=1, keepdims=True) for l in lam]
+    h2 = sum(0.5 * np.sum((np.sqrt(pt[0]) - np.sqrt(pt[1])) ** 2) for pt in p)
+    assert abs(z[(0, 1)] ** 2 - h2) < 1e-12 and abs(z[(0, 0)]) < 1e-9
+
+
+def test_recovers_planted_topics(spark):
+    """SURVEY 5.5: documents sampled from known topics; every planted topic
+    is matched by a learned one with rescaled dot > 0.9."""
+    from multitopic.plans.train import update
+
+    from .fixtures import state_from
+
+    k, w, n_docs = 3, 12, 300
+    rng = np.random.default_rng(5)
+    topics = np.full((k, w), 1e-3)
+    for i in range(k):
+        topics[i, 4 * i: 4 * i + 4] = 1.0
+    topics /= topics.sum(axis=1, keepdims=True)
+    rows = []
+    for d in range(n_docs):
+        theta = rng.dirichlet([0.2] * k)
+        counts = rng.multinomial(40, theta @ topics)
+        rows += [(d, 0, int(t), float(c)) for t, c in enumerate(counts) if c > 0]
+    ent = spark.createDataFrame(rows, "doc_id BIGINT, type_id INT, term_id INT, cnt DOUBLE")
+    voc = spark.createDataFrame([(0, i, f"w{i}", 1, 1.0) for i in range(w)],
+                                "type_id INT, term_id INT, term STRING, doc_freq BIGINT, coll_freq DOUBLE")
+    corp = C.Corpus(ent, voc, 1)
+    m = TopicModel.create(corp, k=k, init="random", seed=2, alpha=0.2, eta=0.01, iterations=50)
+    update(m, ent, chunksize=n_docs, passes=12, update_every=1, eval_every=0)
+    truth = TopicModel.create(corp, k=k, init="given", eta=0.0,
+                              state=state_from(spark, [topics * 1000.0], eta=0.0, subtract_eta=False))
+    z = diff(truth, m, "rescale_dot", annotation=False, normed=False).toPandas()
+    best = z.groupby("topic1")["z"].max()
+    assert len(best) == k and (best > 0.9).all(), best.to_dict()
