@@ -203,9 +203,15 @@ def theta_part(gamma: np.ndarray, alpha: np.ndarray) -> np.ndarray:
 
 def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame | None = None, keys=("doc_id",)) -> DataFrame:
     """Entries -> one row per document with its bag. ``with_eb`` (join
-    strategy) attaches each entry's ``eb`` vector first. Documents listed in
-    ``docs`` but without entries get an empty bag. ``keys`` may carry
-    per-document columns such as ``chunk_id`` along."""
+    strategy) attaches each entry's ``eb`` vector first. When ``docs`` is
+    given, exactly its documents are returned, those without entries with
+    an empty bag. ``keys`` may carry per-document columns such as
+    ``chunk_id`` along.
+
+    One shuffle: the listed documents enter as marker rows of the same
+    aggregation (no join). The explicit partition count on ``doc_id`` is
+    left alone by AQE, so the CPU-heavy kernel gets equal tasks instead of
+    a few coalesced ones."""
     keys = list(keys)
     e = entries.select(*keys, "type_id", "term_id", "cnt")
     if with_eb is not None:
@@ -213,14 +219,15 @@ def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame |
         item = F.struct("type_id", "term_id", "cnt", "eb")
     else:
         item = F.struct("type_id", "term_id", "cnt")
-    bag = e.groupBy(*keys).agg(F.collect_list(item).alias("bag"))
-    if docs is None:
-        return bag
-    return (
-        docs.select(*keys)
-        .join(bag, keys, "left")
-        .select(*keys, F.coalesce("bag", F.array().cast(bag.schema["bag"].dataType)).alias("bag"))
-    )
+    rows = e.select(*keys, item.alias("_i"), F.lit(False).alias("_d"))
+    if docs is not None:
+        none = F.lit(None).cast(rows.schema["_i"].dataType)
+        rows = rows.unionByName(docs.select(*keys, none.alias("_i"), F.lit(True).alias("_d")))
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bag = rows.repartition(n, "doc_id").groupBy(*keys).agg(F.collect_list("_i").alias("bag"), F.max("_d").alias("_d"))
+    if docs is not None:
+        bag = bag.where(F.col("_d"))
+    return bag.drop("_d")
 
 
 def run(docs: DataFrame, fn) -> DataFrame:
