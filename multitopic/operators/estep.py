@@ -201,7 +201,8 @@ def theta_part(gamma: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     )
 
 
-def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame | None = None, keys=("doc_id",)) -> DataFrame:
+def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame | None = None, keys=("doc_id",),
+         by_range: bool = False) -> DataFrame:
     """Entries -> one row per document with its bag. ``with_eb`` (join
     strategy) attaches each entry's ``eb`` vector first. When ``docs`` is
     given, exactly its documents are returned, those without entries with
@@ -211,7 +212,11 @@ def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame |
     One shuffle: the listed documents enter as marker rows of the same
     aggregation (no join). The explicit partition count on ``doc_id`` is
     left alone by AQE, so the CPU-heavy kernel gets equal tasks instead of
-    a few coalesced ones."""
+    a few coalesced ones. ``by_range`` (a table written once and filtered
+    by chunk range many times) range-partitions and sorts on
+    ``(chunk_id, doc_id)`` instead: every file holds a contiguous run of
+    chunks, so a window's ``chunk_id`` filter, pushed to the Parquet scan,
+    skips the files and row groups of all other windows."""
     keys = list(keys)
     e = entries.select(*keys, "type_id", "term_id", "cnt")
     if with_eb is not None:
@@ -224,10 +229,13 @@ def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame |
         none = F.lit(None).cast(rows.schema["_i"].dataType)
         rows = rows.unionByName(docs.select(*keys, none.alias("_i"), F.lit(True).alias("_d")))
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bag = rows.repartition(n, "doc_id").groupBy(*keys).agg(F.collect_list("_i").alias("bag"), F.max("_d").alias("_d"))
+    order = [c for c in keys if c == "chunk_id"] + ["doc_id"]
+    rows = rows.repartitionByRange(n, *order) if by_range else rows.repartition(n, "doc_id")
+    bag = rows.groupBy(*keys).agg(F.collect_list("_i").alias("bag"), F.max("_d").alias("_d"))
     if docs is not None:
         bag = bag.where(F.col("_d"))
-    return bag.drop("_d")
+    bag = bag.drop("_d")
+    return bag.sortWithinPartitions(*order) if by_range else bag
 
 
 def run(docs: DataFrame, fn) -> DataFrame:

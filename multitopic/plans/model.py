@@ -262,10 +262,11 @@ class TopicModel:
             d = d.join(b(hot.select("doc_id")), "doc_id", "left_anti") if d is not None else None
         else:
             normal, hot_entries = e, None
-        normal = materialize(normal, "entries")
+        # written sorted by chunk: a window's chunk filter skips row groups
+        normal = materialize(normal if self.use_broadcast() else normal.sortWithinPartitions("chunk_id"), "entries")
         nested = None
         if self.use_broadcast():
-            nested = materialize(E.nest(normal, d, keys=("doc_id", "chunk_id")), "nested")
+            nested = materialize(E.nest(normal, d, keys=("doc_id", "chunk_id"), by_range=True), "nested")
         return Prepared(normal, d, nested, hot, hot_entries)
 
     def hot_docs(self, entries: DataFrame) -> DataFrame | None:
