@@ -266,9 +266,20 @@ class TopicModel:
         normal = materialize(normal if self.use_broadcast() else normal.sortWithinPartitions("chunk_id"), "entries")
         nested = None
         if self.use_broadcast():
-            nested = materialize(E.nest(normal, d, keys=("doc_id", "chunk_id"), by_range=True), "nested")
+            nested = materialize(E.nest(normal, d, keys=("doc_id", "chunk_id"), sort_chunks=True), "nested")
         return Prepared(normal, d, nested, hot, hot_entries)
 
+    def hot_terms(self) -> DataFrame | None:
+        """Terms in more documents than one reducer's share (join strategy
+        skew split); from the vocabulary's doc_freq, computed once."""
+        if not hasattr(self, "_hot_terms"):
+            from ..operators.skew import hot_keys
+
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            h = hot_keys(self.vocab, ["type_id", "term_id"], n)
+            self._hot_terms = materialize(h, "hot-terms") if h is not None else None
+        return self._hot_terms
+
     def hot_docs(self, entries: DataFrame) -> DataFrame | None:
         """Documents with more entries than one task should hold; at most
         total_entries / limit of them, so the id list has a proven bound."""
@@ -293,7 +304,8 @@ class TopicModel:
         else:
             fn = E.make_kernel(mode, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, min_phi=min_phi)
             d = flt(prep.docs) if prep.docs is not None else None
-            rows = E.run(E.nest(flt(prep.entries), d, with_eb=self.exp_elogbeta(), keys=("doc_id", "chunk_id")), fn)
+            rows = E.run(E.nest(flt(prep.entries), d, with_eb=self.exp_elogbeta(), keys=("doc_id", "chunk_id"),
+                                hot_terms=self.hot_terms(), broadcast_limit_bytes=p.broadcast_limit_bytes), fn)
         if prep.hot is not None:
             hot = flt(prep.hot).select("doc_id")
             if hot.limit(1).count():

@@ -208,8 +208,14 @@ def num_terms(vocab: DataFrame, num_types: int | None = None) -> list[int]:
 def encode(corpus: DataFrame, vocab: DataFrame, strict: bool = True) -> DataFrame:
     """Terms -> ids. Out-of-vocabulary rows raise (``strict``) or are
     dropped (scoring). Joined on (type_id, term); Catalyst broadcasts the
-    vocabulary when its statistics allow, otherwise shuffles."""
-    enc = corpus.join(vocab.select("type_id", "term", "term_id"), ["type_id", "term"], "inner")
+    vocabulary when its statistics allow, otherwise shuffles, with terms in
+    more documents than one reducer's share split off (:mod:`..operators.skew`)."""
+    from ..operators.skew import hot_keys, split_join
+
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(vocab, ["type_id", "term"], n)
+    row = F.lit(24) + F.length("term")
+    enc = split_join(corpus, vocab.select("type_id", "term", "term_id"), ["type_id", "term"], hot, row, 64 << 20)
     if strict:
         oov = corpus.join(vocab.select("type_id", "term"), ["type_id", "term"], "left_anti").limit(1).count()
         if oov:

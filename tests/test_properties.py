@@ -272,3 +272,26 @@ def test_recovers_planted_topics(spark):
     z = diff(truth, m, "rescale_dot", annotation=False, normed=False).toPandas()
     best = z.groupby("topic1")["z"].max()
     assert len(best) == k and (best > 0.9).all(), best.to_dict()
+
+
+def test_hot_terms_split_join_equals_plain_join(spark):
+    """A term in every document is split off the shuffle joins (encoding
+    and the join-strategy E step); results equal the plain joins."""
+    from multitopic.operators.skew import hot_keys
+
+    rows = ([(d, 0, "common", 1.0) for d in range(200)] + [(d, 0, f"t{d % 17}", 2.0) for d in range(200)]
+            + [(d, 1, f"u{d % 5}", 1.0) for d in range(200)])
+    terms = spark.createDataFrame(rows, "doc_id BIGINT, type_id INT, term STRING, cnt DOUBLE")
+    voc = C.vocabulary(terms)
+    hot = hot_keys(voc, ["type_id", "term"], 8)
+    assert hot is not None and {r.term for r in hot.collect()} == {"common"}
+    enc = C.encode(terms, voc)
+    plain = terms.join(voc.select("type_id", "term", "term_id"), ["type_id", "term"]).select("doc_id", "type_id", "term_id", "cnt")
+    assert sorted(map(tuple, enc.collect())) == sorted(map(tuple, plain.collect()))
+    corp = C.Corpus(enc, voc, 2)
+    base = TopicModel.create(corp, k=3, init="assign", iterations=6)
+    ref = {r["doc_id"]: np.array(r["gamma"]) for r in base.gamma(enc).collect()}
+    mj = base.with_params(strategy="join")
+    assert mj.hot_terms() is not None
+    got = {r["doc_id"]: np.array(r["gamma"]) for r in mj.gamma(enc).collect()}
+    assert got.keys() == ref.keys() and max(np.abs(got[d] - ref[d]).max() for d in ref) < 1e-9
