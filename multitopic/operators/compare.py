@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.corpus import dense_index
-from .estep import _mat, _vec_array, sum_vectors
+from .estep import _mat, _vec_array
 from .topics import topic_wordsets
 
 DISTANCES = ("kullback_leibler", "hellinger", "jaccard", "jensen_shannon", "rescale_dot")
@@ -47,12 +47,13 @@ _PART_SCHEMA = T.StructType(
 
 def _partials(parts: tuple[str, ...], k1: int, k2: int, sp=None, sq=None, block: int = 4_000_000):
     """mapInArrow function over rows (p ARRAY[K1], q ARRAY[K2]) emitting one
-    K1 x K2 (or K1 x 1) partial per part and task."""
+    K1 x K2 (or K1 x 1; for ``sumq`` 1 x K2) partial per part and task."""
     sp = None if sp is None else np.asarray(sp, dtype=np.float64)
     sq = None if sq is None else np.asarray(sq, dtype=np.float64)
 
     def fn(batches):
-        acc = {p: np.zeros((k1, k2 if p not in ("plogp", "sump") else 1)) for p in parts}
+        shape = {"plogp": (k1, 1), "sump": (k1, 1), "sumq": (1, k2)}
+        acc = {p: np.zeros(shape.get(p, (k1, k2))) for p in parts}
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -66,6 +67,8 @@ def _partials(parts: tuple[str, ...], k1: int, k2: int, sp=None, sq=None, block:
                 acc["plogp"][:, 0] += (P * np.log(P)).sum(axis=0)
             if "sump" in acc:
                 acc["sump"][:, 0] += P.sum(axis=0)
+            if "sumq" in acc:
+                acc["sumq"][0] += Q.sum(axis=0)
             if "sqrt" in acc:
                 acc["sqrt"] += np.sqrt(P).T @ np.sqrt(Q)
             if "js" in acc:
@@ -78,18 +81,24 @@ def _partials(parts: tuple[str, ...], k1: int, k2: int, sp=None, sq=None, block:
                     m = 0.5 * (P[lo : lo + step, :, None] + Q[lo : lo + step, None, :]) / sm[None]
                     acc["js"] += (a * np.log(a / m)).sum(axis=0) + (c * np.log(c / m)).sum(axis=0)
         for p, mat in acc.items():
+            n = mat.shape[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([p] * k1), pa.array(np.arange(k1, dtype=np.int32)), _vec_array(mat)], names=["part", "topic1", "vec"]
+                [pa.array([p] * n), pa.array(np.arange(n, dtype=np.int32)), _vec_array(mat)], names=["part", "topic1", "vec"]
             )
 
     return fn
 
 
 def _sum_parts(rows: DataFrame, width_of) -> dict[str, DataFrame]:
-    out = {}
-    for part, width in width_of.items():
-        out[part] = sum_vectors(rows.where(F.col("part") == part), ["topic1"], width)
-    return out
+    """All parts summed in ONE aggregation over (part, topic1); every part's
+    table is a filter of it, so the kernel pass and its shuffle run once per
+    query (the exchange is reused) instead of once per part."""
+    w = max(width_of.values())
+    agg = rows.groupBy("part", "topic1").agg(F.array(*[F.sum(F.get(F.col("vec"), i)) for i in range(w)]).alias("vec"))
+    return {
+        part: agg.where(F.col("part") == part).select("topic1", F.slice("vec", 1, width).alias("vec"))
+        for part, width in width_of.items()
+    }
 
 
 def _grid(spark, k1: int, k2: int, diagonal: bool) -> DataFrame:
@@ -177,26 +186,25 @@ def diff(m1, m2, distance: str = "kullback_leibler", num_words: int = 30, n_ann_
     else:
         wide = _joined(m1, m2)
         if distance == "kullback_leibler":
-            parts = _sum_parts(wide.mapInArrow(_partials(("plogq", "plogp", "sump"), k1, k2), _PART_SCHEMA),
-                               {"plogq": k2, "plogp": 1, "sump": 1})
-            sq = _sum_parts(wide.select(F.col("q").alias("p"), F.col("p").alias("q")).mapInArrow(_partials(("sump",), k2, k1), _PART_SCHEMA), {"sump": 1})
+            parts = _sum_parts(wide.mapInArrow(_partials(("plogq", "plogp", "sump", "sumq"), k1, k2), _PART_SCHEMA),
+                               {"plogq": k2, "plogp": 1, "sump": 1, "sumq": k2})
             z = (
                 _matrix(parts, "plogq")
                 .join(_vector(parts, "plogp"), "topic1")
                 .join(_vector(parts, "sump"), "topic1")
-                .join(_vector(sq, "sump", "topic2").withColumnRenamed("sump", "sumq"), "topic2")
+                .join(parts["sumq"].select(F.posexplode("vec").alias("topic2", "sumq")), "topic2")
                 .select(
                     "topic1", "topic2",
                     ((F.col("plogp") - F.col("plogq")) / F.col("sump") - F.log("sump") + F.log("sumq")).alias("z"),
                 )
             )
         elif distance == "hellinger":
-            parts = _sum_parts(wide.mapInArrow(_partials(("sqrt", "sump"), k1, k2), _PART_SCHEMA), {"sqrt": k2, "sump": 1})
-            sq = _sum_parts(wide.select(F.col("q").alias("p"), F.col("p").alias("q")).mapInArrow(_partials(("sump",), k2, k1), _PART_SCHEMA), {"sump": 1})
+            parts = _sum_parts(wide.mapInArrow(_partials(("sqrt", "sump", "sumq"), k1, k2), _PART_SCHEMA),
+                               {"sqrt": k2, "sump": 1, "sumq": k2})
             z = (
                 _matrix(parts, "sqrt")
                 .join(_vector(parts, "sump"), "topic1")
-                .join(_vector(sq, "sump", "topic2").withColumnRenamed("sump", "sumq"), "topic2")
+                .join(parts["sumq"].select(F.posexplode("vec").alias("topic2", "sumq")), "topic2")
                 .select("topic1", "topic2", F.sqrt(F.greatest(F.lit(0.0), 0.5 * (F.col("sump") + F.col("sumq") - 2.0 * F.col("sqrt")))).alias("z"))
             )
         elif distance == "jensen_shannon":
