@@ -295,3 +295,20 @@ def test_hot_terms_split_join_equals_plain_join(spark):
     assert mj.hot_terms() is not None
     got = {r["doc_id"]: np.array(r["gamma"]) for r in mj.gamma(enc).collect()}
     assert got.keys() == ref.keys() and max(np.abs(got[d] - ref[d]).max() for d in ref) < 1e-9
+
+
+def test_nest_returns_exactly_the_listed_documents(spark):
+    """Listed documents without entries get an empty bag; entries of
+    unlisted documents are left out; one shuffle (no join) in the plan."""
+    from multitopic.operators.estep import nest
+
+    e = entries(spark)
+    got = {r.doc_id: sorted((x.type_id, x.term_id, x.cnt) for x in r.bag) for r in nest(e, docs_df(spark, [2, 3, 99])).collect()}
+    assert got == {2: [(0, 2, 4.0)], 3: [], 99: []}
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        nest(e, docs_df(spark, [2, 3]), keys=("doc_id",)).explain()
+    assert "Join" not in buf.getvalue() and buf.getvalue().count("Exchange") == 1
