@@ -262,11 +262,16 @@ class TopicModel:
             d = d.join(b(hot.select("doc_id")), "doc_id", "left_anti") if d is not None else None
         else:
             normal, hot_entries = e, None
-        # written sorted by chunk: a window's chunk filter skips row groups
-        normal = materialize(normal if self.use_broadcast() else normal.sortWithinPartitions("chunk_id"), "entries")
         nested = None
         if self.use_broadcast():
+            # the nested table is the one written copy of the corpus; the
+            # entry view (token counts) reads it back, no second write
             nested = materialize(E.nest(normal, d, keys=("doc_id", "chunk_id"), sort_chunks=True), "nested")
+            normal = nested.select("doc_id", "chunk_id", F.explode("bag").alias("_e")).select(
+                "doc_id", "_e.type_id", "_e.term_id", "_e.cnt", "chunk_id")
+        else:
+            # written sorted by chunk: a window's chunk filter skips row groups
+            normal = materialize(normal.sortWithinPartitions("chunk_id"), "entries")
         return Prepared(normal, d, nested, hot, hot_entries)
 
     def hot_terms(self) -> DataFrame | None:
