@@ -236,11 +236,15 @@ class TopicModel:
         self._eb_bc = None
 
     # ------------------------------------------------------------ E step
-    def prepare(self, entries: DataFrame, docs: DataFrame | None = None, chunks: DataFrame | None = None) -> "Prepared":
+    def prepare(self, entries: DataFrame, docs: DataFrame | None = None, chunks: DataFrame | None = None,
+                reuse: bool = True) -> "Prepared":
         """Split hot documents off, attach ``chunk_id`` (``chunks``:
         ``(doc_id, chunk_id)``) and, for the broadcast strategy, nest the
         documents once; everything is written to the checkpoint folder so
-        all later E steps reuse it (no re-shuffle of the corpus)."""
+        all later E steps reuse it (no re-shuffle of the corpus). A one-shot
+        E step (``reuse=False``: scoring, per-word topics, per-document
+        bound) nests on the fly straight into the kernel: no corpus write.
+        Hot documents are written either way (their E step iterates)."""
         e = entries.select("doc_id", "type_id", "term_id", "cnt")
         d = docs.select("doc_id") if docs is not None else None
         if chunks is not None:
@@ -263,7 +267,10 @@ class TopicModel:
         else:
             normal, hot_entries = e, None
         nested = None
-        if self.use_broadcast():
+        if not reuse:
+            if self.use_broadcast():
+                nested = E.nest(normal, d, keys=("doc_id", "chunk_id"))
+        elif self.use_broadcast():
             # the nested table is the one written copy of the corpus; the
             # entry view (token counts) reads it back, no second write
             nested = materialize(E.nest(normal, d, keys=("doc_id", "chunk_id"), sort_chunks=True), "nested")
@@ -324,7 +331,7 @@ class TopicModel:
         return rows
 
     def estep_rows(self, entries: DataFrame, mode: str, docs: DataFrame | None = None, min_phi: float = 0.0) -> DataFrame:
-        return self.rows(self.prepare(entries, docs), mode, min_phi=min_phi)
+        return self.rows(self.prepare(entries, docs, reuse=False), mode, min_phi=min_phi)
 
     def gamma(self, entries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         """M4: ``(doc_id, gamma, iters, converged)``."""
