@@ -47,7 +47,11 @@ class StreamTrainer:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.committed:
             return  # replayed batch: its update is already in the model
-        terms = self.to_terms(batch)
+        from ..session import drop_path, materialize, source_path
+
+        # the batch's terms are read by several jobs (OOV count, sizes,
+        # chunks, E step): written once instead of re-deriving from the source
+        terms = materialize(self.to_terms(batch), "stream-terms")
         vocab = self.model.vocab
         self.dropped += C.oov_report(terms, vocab).count()
         entries = C.encode(terms, vocab, strict=False)
@@ -56,6 +60,7 @@ class StreamTrainer:
         out = model_io.save(self.model, f"{self.path}/v{batch_id}", batch_id=batch_id)
         self.model.spark.createDataFrame([(out,)], "p STRING").coalesce(1).write.mode("overwrite").text(f"{self.path}/_LATEST")
         self.committed = batch_id
+        drop_path(self.model.spark, source_path(terms) or "")
 
 
 def train_stream(model, stream: DataFrame, to_terms, model_path: str, checkpoint: str, trigger_once: bool = True, **update_kw):
