@@ -39,6 +39,16 @@ def force(df):
     df.write.format("noop").mode("overwrite").save()
 
 
+def scratch_tables(spark) -> set[str]:
+    """Folders below <spark.checkpoint.dir>/multitopic (tables this library wrote)."""
+    from multitopic.session import ensure_checkpoint_dir
+
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark).rstrip("/") + "/multitopic")
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    return {st.getPath().toString() for st in fs.listStatus(p)} if fs.exists(p) else set()
+
+
 def main():
     from multitopic.session import local_session, materialize
     from multitopic.sources import corpus as C
@@ -50,6 +60,7 @@ def main():
     spark = local_session(CPUS, shuffle_partitions=int(CPUS) * 2, app="multitopic-bench")
     times: dict[str, float] = {}
     extra: dict[str, float] = {}
+    before = scratch_tables(spark)
     # untimed warm-up of the fresh JVM (class loading, Parquet reader, codegen)
     spark.read.parquet(f"{SF_DIR}/region.parquet").groupBy("r_regionkey").count().collect()
 
@@ -124,6 +135,10 @@ def main():
             }
         )
     )
+    from multitopic.session import drop_path
+
+    for path in scratch_tables(spark) - before:  # this run's intermediate tables
+        drop_path(spark, path)
     spark.stop()
 
 
