@@ -68,6 +68,15 @@ def test_merge_commutes(spark, purchases):
     assert ab == ba
 
 
+def test_merge_associates(spark, purchases):
+    a = TopicModel.create(purchases, k=3, init="assign").state
+    b = TopicModel.create(purchases, k=3, init="assign", assign_rule="div").state
+    c = S.random_state(purchases.vocab, 3, 0.1, seed=4)
+    left = {(r.type_id, r.term_id): np.array(r.s) for r in S.merge(S.merge(a, b, 3), c, 3).collect()}
+    right = {(r.type_id, r.term_id): np.array(r.s) for r in S.merge(a, S.merge(b, c, 3), 3).collect()}
+    assert left.keys() == right.keys() and max(np.abs(left[t] - right[t]).max() for t in left) < 1e-9
+
+
 def test_self_difference(spark, purchases):
     m = TopicModel.create(purchases, k=3, init="assign")
     kl = diff(m, m, "kullback_leibler", annotation=False, normed=False, diagonal=True).collect()
