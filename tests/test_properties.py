@@ -321,3 +321,13 @@ def test_nest_returns_exactly_the_listed_documents(spark):
     with contextlib.redirect_stdout(buf):
         nest(e, docs_df(spark, [2, 3]), keys=("doc_id",)).explain()
     assert "Join" not in buf.getvalue() and buf.getvalue().count("Exchange") == 1
+
+
+def test_spread_only_small_scans(spark):
+    """A scan with fewer partitions than task slots is spread over all
+    slots; one with enough partitions is left as is (no shuffle)."""
+    slots = spark.sparkContext.defaultParallelism
+    small = spark.range(0, 100, 1, 1)
+    assert C.spread(small).rdd.getNumPartitions() == slots
+    big = spark.range(0, 100, 1, slots + 3)
+    assert C.spread(big) is big
