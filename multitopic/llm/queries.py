@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import entropy_mix, exact_dedup, license_scan
+from . import decontam, entropy_mix, exact_dedup, license_scan
 
 QUERIES = {
+    "op2_decontam": decontam.op2_decontam,
     "op4_license_scan": license_scan.op4_license_scan,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_entropy_mix": entropy_mix.op10_entropy_mix,
 }
 
 ORACLE = {
+    "op2_decontam": decontam.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
