@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, entropy_mix, exact_dedup, license_scan
+from . import decontam, entropy_mix, exact_dedup, license_scan, ngram_join
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_decontam": decontam.op2_decontam,
     "op4_license_scan": license_scan.op4_license_scan,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
