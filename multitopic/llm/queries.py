@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, entropy_mix, exact_dedup, license_scan, ngram_join
+from . import decontam, entropy_mix, exact_dedup, license_scan, ngram_join, toxicity_fm
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_decontam": decontam.op2_decontam,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op6_toxicity": toxicity_fm.op6_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_entropy_mix": entropy_mix.op10_entropy_mix,
 }
