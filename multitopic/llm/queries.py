@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, entropy_mix, exact_dedup, license_scan, ngram_join, toxicity_fm
+from . import chat_tree, decontam, entropy_mix, exact_dedup, license_scan, ngram_join, toxicity_fm, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_decontam": decontam.op2_decontam,
+    "op3_chat_tree": chat_tree.op3_chat_tree,
     "op4_license_scan": license_scan.op4_license_scan,
+    "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity_fm.op6_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_entropy_mix": entropy_mix.op10_entropy_mix,
@@ -15,5 +17,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_decontam": decontam.ORACLE,
+    "op3_chat_tree": chat_tree.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
