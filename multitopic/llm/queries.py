@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_tree, decontam, entropy_mix, exact_dedup, license_scan, ngram_join, toxicity_fm, warc
+from . import (
+    cdc_dedup,
+    chat_tree,
+    decontam,
+    entropy_mix,
+    exact_dedup,
+    license_scan,
+    ngram_join,
+    pseudo_likelihood,
+    toxicity_fm,
+    warc,
+)
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -11,7 +22,9 @@ QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity_fm.op6_toxicity,
+    "op7_cdc_dedup": cdc_dedup.op7_cdc_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_pseudo_likelihood": pseudo_likelihood.op9_pseudo_likelihood,
     "op10_entropy_mix": entropy_mix.op10_entropy_mix,
 }
 
