@@ -46,47 +46,53 @@ GAP = 2
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def template_grams(spark: SparkSession) -> DataFrame:
-    """``(_h, template, label, base, at, grams)``: one row per 2-gram; the row
-    with template -1 answers to the mark that every document carries."""
-    rows = [("", "", -1, "", False, 0, 0)]
+def templates() -> list[tuple[str, list[str], bool]]:
+    """``(label, words, base)`` of every template."""
     texts = [(label, phrase, True) for phrase, label in BASE.items()] + [(label, notice, False) for label, notice in NOTICES]
-    for k, (label, phrase, base) in enumerate(texts):
-        w = [x for x in re.split(SPLIT, phrase.lower()) if x]
-        rows += [(w[i], w[i + 1], k, label, base, i, len(w) - 1) for i in range(len(w) - 1)]
-    df = spark.createDataFrame(rows, "a string, b string, template int, label string, base boolean, at int, grams int")
-    return df.select(F.when(F.col("template") < 0, F.lit(0)).otherwise(F.xxhash64("a", "b")).cast("long").alias("_h"), "template", "label", "base", "at", "grams")
+    out = [(label, [x for x in re.split(SPLIT, phrase.lower()) if x], base) for label, phrase, base in texts]
+    if any(len(w) > 63 for _, w, _ in out):
+        raise ValueError("votes are kept as the bits of a long: a template has at most 63 words")
+    return out
+
+
+def template_grams(spark: SparkSession) -> DataFrame:
+    """``(_h, template, at)``: one row per 2-gram; templates -1 and -2 answer
+    to the marks that documents with and without words carry."""
+    rows = ["(cast(0 as bigint), -1, 0)", "(cast(1 as bigint), -2, 0)"]
+    for k, (_, w, _) in enumerate(templates()):
+        rows += [f"(xxhash64('{w[i]}', '{w[i + 1]}'), {k}, {i})" for i in range(len(w) - 1)]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(_h, template, at)")
 
 
 def license_scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     # lower() would turn the Kelvin sign into an ASCII k
     plain = F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     words = docs.select(F.col(id_col).alias("_id"), F.filter(F.split(plain, SPLIT), lambda w: w != "").alias("_w"))
+    # the mark behind the last 2-gram also tells the number of words, so no row carries the words
     grams = F.expr(
-        "CASE WHEN size(_w) > 1 THEN transform(sequence(0, size(_w) - 2), i -> xxhash64(_w[i], _w[i + 1])) ELSE cast(array() as array<bigint>) END"
+        "CASE WHEN size(_w) > 1 THEN concat(transform(sequence(0, size(_w) - 2), i -> xxhash64(_w[i], _w[i + 1])), array(0L)) "
+        "WHEN size(_w) = 1 THEN array(0L) ELSE array(1L) END"
     )
-    rolled = words.select("_id", F.size("_w").cast("long").alias("n_words"), F.posexplode(F.concat(grams, F.array(F.lit(0).cast("long")))).alias("_p", "_h"))
+    rolled = words.select("_id", F.posexplode(grams).alias("_p", "_h"))
     hits = rolled.join(F.broadcast(template_grams(docs.sparkSession)), "_h")
-    diagonals = hits.groupBy("_id", "template", (F.when(F.col("template") >= 0, F.col("_p") - F.col("at"))).alias("_d")).agg(
-        F.max("n_words").alias("n_words"), F.max("label").alias("label"), F.max("base").alias("base"), F.max("grams").alias("grams"),
-        F.collect_set("at").alias("_ats"),
+    votes = hits.select(
+        "_id", "template", F.when(F.col("template") >= 0, F.col("_p") - F.col("at")).alias("_d"), F.expr("shiftleft(1L, at)").alias("_at"),
+        F.when(F.col("template") == -1, F.col("_p") + 1).otherwise(0).cast("long").alias("_n"),
     )
+    diagonals = votes.groupBy("_id", "template", "_d").agg(F.max("_n").alias("n_words"), F.bit_or("_at").alias("_ats"))
+    known = templates()
+    of = lambda values, other: F.coalesce(F.get(F.array(*[F.lit(x) for x in values]), F.col("template")), F.lit(other))
+    base = of([b for _, _, b in known], False)
     per = Window.partitionBy("_id", "template").orderBy("_d")
     step = F.col("_d") - F.lag("_d").over(per)
-    new = F.when(F.col("base") | step.isNull() | (step > GAP), 1).otherwise(0)
-    spans = (
-        diagonals.withColumn("_new", new)
-        .withColumn("_span", F.sum("_new").over(per))
-        .groupBy("_id", "template", "_span")
-        .agg(
-            F.max("n_words").alias("n_words"), F.max("label").alias("label"), F.max("base").alias("base"), F.max("grams").alias("grams"),
-            F.min("_d").alias("_start"), F.size(F.array_distinct(F.flatten(F.collect_list("_ats")))).alias("_votes"),
-        )
-        .withColumn("_cover", F.col("_votes") / F.greatest("grams", F.lit(1)))
-    )
-    place = (F.col("template") >= 0) & F.col("base") & (F.col("_votes") == F.col("grams"))
-    found = (F.col("template") >= 0) & (place | (~F.col("base") & (F.col("_cover") >= SHARE)))
-    labels = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("label")))), ",")
+    new = F.when(base | step.isNull() | (step > GAP), 1).otherwise(0)
+    spans = diagonals.withColumn("_new", new).withColumn("_span", F.sum("_new").over(per)).groupBy("_id", "template", "_span")
+    spans = spans.agg(F.max("n_words").alias("n_words"), F.min("_d").alias("_start"), F.bit_count(F.bit_or("_ats")).alias("_votes"))
+    cover = F.col("_votes") / of([len(w) - 1 for _, w, _ in known], 1)
+    spans = spans.withColumn("_cover", cover).withColumn("_base", base).withColumn("_label", of([x for x, _, _ in known], ""))
+    place = F.col("_base") & (F.col("_cover") == 1)
+    found = place | (~F.col("_base") & (F.col("template") >= 0) & (F.col("_cover") >= SHARE))
+    labels = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("_label")))), ",")
     return spans.groupBy("_id").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(place, 1)).alias("n_base"),
