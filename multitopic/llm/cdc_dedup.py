@@ -167,7 +167,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min
     spans = repeated_spans(docs, text, id_col, min_span).groupBy(F.col(id_col).alias("_id")).agg(
         F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans")
     )
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]), "left").drop("_id")
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]), "left").drop(spans["_id"])
     at, last = docs.columns.index(text), len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,9 @@
 Defined results: a null text is the empty text; equal texts are one group
 whichever their other columns; a null id ranks below all others; of rows that
 repeat the largest id with the same text exactly one is kept; an empty table
-gives an empty result; further columns pass through unread. The columns
-``keep_id group_size kept text_sha256`` replace columns of these names.
+gives an empty result; further columns pass through unread (in
+``mark_duplicates`` the columns ``keep_id group_size kept`` replace columns of
+these names).
 """
 
 from __future__ import annotations
@@ -69,8 +70,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **k
 
 
 def keep_first_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
-    """The kept rows of ``docs`` with their own columns."""
-    return mark_duplicates(with_digest(docs, text), id_col, **kw).where("kept").select(*docs.columns)
+    """The kept rows of ``docs`` with their own columns, whatever their names."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.struct("*").alias("_row"))
+    return mark_duplicates(with_digest(rows, "_text").drop("_text"), "_id", **kw).where("kept").select("_row.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

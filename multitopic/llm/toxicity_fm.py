@@ -43,8 +43,9 @@ RANK = 4
 THRESHOLD = 0.7
 SAMPLE_ROWS = 16_000
 SAMPLE_CHARS = 64_000_000
-#: examples seen in fitting, however small the sample
+#: examples seen in fitting, in at most EPOCHS passes over the sample
 VISITS = 64_000
+EPOCHS = 16
 PREFIXES = (4, 5)
 
 
@@ -85,7 +86,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(sets: list[np.ndarray], label: np.ndarray, visits: int = VISITS, batch: int = 32, l1: float = 3.0, l2: float = 1.0, rate: float = 0.5, seed: int = 1) -> Machine:
+def fit(sets: list[np.ndarray], label: np.ndarray, visits: int = VISITS, batch: int = 32, l1: float = 6.0, l2: float = 1.0, rate: float = 1.0, seed: int = 1) -> Machine:
     """Fit on term sets and 0/1 labels, in a fixed random order."""
     rng = np.random.default_rng(seed)
     size = 1 << BITS
@@ -95,7 +96,7 @@ def fit(sets: list[np.ndarray], label: np.ndarray, visits: int = VISITS, batch:
     if len(label) == 0 or label.min() == label.max():
         return Machine(bias, weight, factor)
     lengths = np.array([len(x) for x in sets])
-    for _ in range(max(1, -(-visits // len(label)))):
+    for _ in range(min(EPOCHS, max(1, -(-visits // len(label))))):
         order = rng.permutation(len(label))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
@@ -177,8 +178,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their own columns."""
-    marked = scored(docs, train(docs, labels), out="_toxicity")
-    return marked.where(F.col("_toxicity") < threshold).select(*docs.columns)
+    out = "_toxicity"
+    while out in docs.columns:
+        out += "_"
+    return scored(docs, train(docs, labels), out=out).where(F.col(out) < threshold).drop(out)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
