@@ -69,8 +69,12 @@ def _partials(parts: tuple[str, ...], k1: int, k2: int, sp=None, sq=None, block:
                 acc["sump"][:, 0] += P.sum(axis=0)
             if "sumq" in acc:
                 acc["sumq"][0] += Q.sum(axis=0)
-            if "sqrt" in acc:
-                acc["sqrt"] += np.sqrt(P).T @ np.sqrt(Q)
+            if "hel" in acc:
+                rp, rq = np.sqrt(P), np.sqrt(Q)
+                step = max(1, block // max(1, k1 * k2))
+                for lo in range(0, len(P), step):
+                    gap = rp[lo : lo + step, :, None] - rq[lo : lo + step, None, :]
+                    acc["hel"] += np.einsum("nij,nij->ij", gap, gap)
             if "js" in acc:
                 pn, qn = P / sp, Q / sq
                 sm = 0.5 * (sp[:, None] + sq[None, :])
@@ -126,8 +130,41 @@ def _joined(m1, m2) -> DataFrame:
 
 
 def _check_vocab(m1, m2):
-    if list(m1.num_terms) != list(m2.num_terms):
-        raise ValueError("the two models must share the vocabulary")
+    """Both models must number the same words the same way."""
+    if list(m1.num_terms) == list(m2.num_terms):
+        if m1.vocab is m2.vocab:
+            return
+        keys = ["type_id", "term_id", "term"]
+        if not m1.vocab.select(*keys).join(m2.vocab.select(*keys), keys, "left_anti").limit(1).count():
+            return
+    raise ValueError("topic vectors can be compared only over one vocabulary; these models differ in theirs")
+
+
+def _diagonal(m1, m2, distance: str) -> DataFrame:
+    """The K cells (k, k) of a measure that is a sum over terms: K sums per
+    partition (JVM-side), no K x K block."""
+    k = m1.k
+    wide = _joined(m1, m2)
+    one = lambda e: F.array(*[F.sum(F.expr(e.format(p=f"p[{i}]", q=f"q[{i}]"))) for i in range(k)])
+    if distance == "hellinger":
+        sums = wide.agg(one("pow(sqrt({p}) - sqrt({q}), 2)").alias("h"))
+        cells = sums.select(F.posexplode(F.transform("h", lambda x: F.sqrt(0.5 * x))).alias("topic1", "z"))
+    elif distance == "kullback_leibler":
+        sums = wide.agg(one("{p} * ln({p} / {q})").alias("d"), one("{p}").alias("sp"), one("{q}").alias("sq"))
+        cells = sums.select(F.posexplode(F.arrays_zip("d", "sp", "sq")).alias("topic1", "x")).select(
+            "topic1", (F.col("x.d") / F.col("x.sp") - F.log("x.sp") + F.log("x.sq")).alias("z")
+        )
+    else:  # jensen_shannon: the normalisers first
+        sums = wide.agg(one("{p}").alias("sp"), one("{q}").alias("sq"))
+        mean = "(({p} + {q}) / (sp[{i}] + sq[{i}]))"
+        e = lambda i: (
+            f"p[{i}] / sp[{i}] * ln(p[{i}] / sp[{i}] / {mean}) + q[{i}] / sq[{i}] * ln(q[{i}] / sq[{i}] / {mean})".format(p=f"p[{i}]", q=f"q[{i}]", i=i)
+        )
+        row = sums.collect()[0]  # 2K numbers
+        lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
+        both = wide.withColumns({"sp": lit(row["sp"]), "sq": lit(row["sq"])})
+        cells = both.agg(F.array(*[0.5 * F.sum(F.expr(e(i))) for i in range(k)]).alias("d")).select(F.posexplode("d").alias("topic1", "z"))
+    return cells.select("topic1", F.col("topic1").alias("topic2"), "z")
 
 
 def rescale_dot_parts(m1, m2) -> dict[str, DataFrame]:
@@ -162,12 +199,12 @@ def diff(m1, m2, distance: str = "kullback_leibler", num_words: int = 30, n_ann_
     from ..plans.model import TopicModel
 
     if distance not in DISTANCES and distance not in CUSTOM:
-        raise ValueError("Incorrect distance, valid only " + ", ".join(f"`{d}`" for d in DISTANCES + tuple(CUSTOM)))
+        raise ValueError(f"no measure named '{distance}'; there are {', '.join([*DISTANCES, *CUSTOM])}")
     if not isinstance(m2, TopicModel) or not isinstance(m1, TopicModel):
         raise TypeError("both models must be TopicModel instances")
     k1, k2 = m1.k, m2.k
     if diagonal and k1 != k2:
-        raise ValueError("Both input models should have same no. of topics, as the diagonal will only be valid in a square matrix")
+        raise ValueError(f"diagonal=True pairs topic i with topic i, but there are {k1} and {k2} topics")
     _check_vocab(m1, m2)
     spark = m1.spark
     grid = _grid(spark, k1, k2, diagonal)
@@ -183,6 +220,8 @@ def diff(m1, m2, distance: str = "kullback_leibler", num_words: int = 30, n_ann_
         inter = F.size(F.array_intersect(F.coalesce("w1", F.array()), F.coalesce("w2", F.array())))
         uni = F.size(F.array_union(F.coalesce("w1", F.array()), F.coalesce("w2", F.array())))
         z = g.select("topic1", "topic2", F.when(uni == 0, F.lit(1.0)).otherwise(1.0 - inter / uni).alias("z"))
+    elif diagonal and distance != "rescale_dot":
+        z = _diagonal(m1, m2, distance)
     else:
         wide = _joined(m1, m2)
         if distance == "kullback_leibler":
@@ -199,14 +238,8 @@ def diff(m1, m2, distance: str = "kullback_leibler", num_words: int = 30, n_ann_
                 )
             )
         elif distance == "hellinger":
-            parts = _sum_parts(wide.mapInArrow(_partials(("sqrt", "sump", "sumq"), k1, k2), _PART_SCHEMA),
-                               {"sqrt": k2, "sump": 1, "sumq": k2})
-            z = (
-                _matrix(parts, "sqrt")
-                .join(_vector(parts, "sump"), "topic1")
-                .join(parts["sumq"].select(F.posexplode("vec").alias("topic2", "sumq")), "topic2")
-                .select("topic1", "topic2", F.sqrt(F.greatest(F.lit(0.0), 0.5 * (F.col("sump") + F.col("sumq") - 2.0 * F.col("sqrt")))).alias("z"))
-            )
+            parts = _sum_parts(wide.mapInArrow(_partials(("hel",), k1, k2), _PART_SCHEMA), {"hel": k2})
+            z = _matrix(parts, "hel").select("topic1", "topic2", F.sqrt(0.5 * F.col("hel")).alias("z"))
         elif distance == "jensen_shannon":
             sp_rows = wide.agg(*[F.sum(F.col("p")[i]) for i in range(k1)], *[F.sum(F.col("q")[j]) for j in range(k2)]).collect()[0]
             sp, sq = np.array(sp_rows[:k1], dtype=float), np.array(sp_rows[k1:], dtype=float)

@@ -119,16 +119,20 @@ def make_kernel(
     eb_bc=None,
     type_offsets: np.ndarray | None = None,
     min_phi: float = 0.0,
+    el_bc=None,
 ):
-    """Build the ``mapInArrow`` function. ``mode`` in {gamma, train, phi}.
+    """Build the ``mapInArrow`` function. ``mode`` in {gamma, train, phi, bound}.
     With ``eb_bc`` (broadcast) the bag holds (type_id, term_id, cnt); without
-    it the bag carries the ``eb`` vector of each entry (join strategy)."""
+    it the bag carries the ``eb`` vector of each entry (join strategy). Bound
+    mode also needs E[log beta] of lambda (``el_bc``, or ``el`` in the bag):
+    inference may run on other weights, and log(exp . exp) would underflow."""
     alpha = np.asarray(alpha, dtype=np.float64)
     k = len(alpha)
     max_entries = max(1, (32 << 20) // (8 * k))  # ~32 MB per working array
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         eb_all = eb_bc.value if eb_bc is not None else None
+        el_all = el_bc.value if el_bc is not None else None
         acc = SparseAccumulator(k) if mode == "train" else None
         elog_sum = np.zeros(k)
         n_docs = 0
@@ -147,6 +151,9 @@ def make_kernel(
                 ebf = flat.field("eb")
                 eb_flat = ebf.flatten().to_numpy(zero_copy_only=False)
                 eb_rows = eb_flat.reshape(-1, k) if len(eb_flat) else np.zeros((0, k))
+                if mode == "bound":
+                    el_flat = flat.field("el").flatten().to_numpy(zero_copy_only=False)
+                    el_rows = el_flat.reshape(-1, k) if len(el_flat) else np.zeros((0, k))
             ends = np.cumsum(lengths)
             starts = ends - lengths
             for lo, hi in _sub_ranges(lengths, max_entries):
@@ -171,8 +178,9 @@ def make_kernel(
                         keys, vals = acc.drain()
                         yield _batch(SSTATS, len(keys), type_id=keys >> 32, term_id=keys & 0xFFFFFFFF, vec=vals)
                 elif mode == "bound":
-                    dots = np.einsum("nk,nk->n", et[np.repeat(np.arange(len(ln)), ln)], eb)
-                    ll = seg_sum((c * np.log(dots))[:, None], ln)[:, 0]
+                    el = el_all[type_offsets[t] + w] if el_all is not None else el_rows[elo:ehi]
+                    lse = log_mixture(dirichlet_expectation_np(gamma)[np.repeat(np.arange(len(ln)), ln)], el)
+                    ll = seg_sum((c * lse)[:, None], ln)[:, 0]
                     yield _batch(BOUND, len(ids), doc_id=ids, vec=np.stack([ll, theta_part(gamma, alpha)], axis=1))
                 elif mode == "phi":
                     yield _batch(GAMMA, len(ids), doc_id=ids, vec=gamma, iters=iters, conv=conv)
@@ -190,6 +198,16 @@ def make_kernel(
     return fn
 
 
+def log_mixture(elogtheta: np.ndarray, elogbeta: np.ndarray) -> np.ndarray:
+    """log sum_k exp(E[log theta_k] + E[log beta_k]) per row (A15, F-5),
+    shifted by the row's maximum so that nothing underflows."""
+    if not len(elogbeta):
+        return np.zeros(0)
+    both = elogtheta + elogbeta
+    top = both.max(axis=1)
+    return top + np.log(np.exp(both - top[:, None]).sum(axis=1))
+
+
 def theta_part(gamma: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """E[log p(theta | alpha) - log q(theta | gamma)] per document."""
     elog = dirichlet_expectation_np(gamma)
@@ -226,10 +244,11 @@ def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame |
     if with_eb is not None:
         from .skew import split_join
 
-        eb = with_eb.select("type_id", "term_id", "eb")
-        row = F.lit(16) + F.size("eb") * F.lit(8)
+        vectors = [c for c in ("eb", "el") if c in with_eb.columns]
+        eb = with_eb.select("type_id", "term_id", *vectors)
+        row = F.lit(16) + F.size("eb") * F.lit(8 * len(vectors))
         e = split_join(e, eb, ["type_id", "term_id"], hot_terms, row, broadcast_limit_bytes)
-        item = F.struct("type_id", "term_id", "cnt", "eb")
+        item = F.struct("type_id", "term_id", "cnt", *vectors)
     else:
         item = F.struct("type_id", "term_id", "cnt")
     rows = e.select(*keys, item.alias("_i"), F.lit(False).alias("_d"))
@@ -368,7 +387,8 @@ def hot_estep(entries_eb: DataFrame, hot_docs: DataFrame, alpha, num_types: int,
             elif mode == "bound":
                 ids = b.column(b.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
                 cnt = b.column(b.schema.get_field_index("cnt")).to_numpy(zero_copy_only=False).astype(np.float64)
-                ll = cnt * np.log(np.einsum("nk,nk->n", et, eb))
+                gam = _mat(b.column(b.schema.get_field_index("gamma")), k)
+                ll = cnt * log_mixture(dirichlet_expectation_np(gam), _mat(b.column(b.schema.get_field_index("el")), k))
                 keys, vals = reduce_rows(ids, np.stack([ll, np.zeros_like(ll)], axis=1))
                 yield _batch(BOUND, len(keys), doc_id=keys, vec=vals)
             else:
@@ -376,7 +396,8 @@ def hot_estep(entries_eb: DataFrame, hot_docs: DataFrame, alpha, num_types: int,
                 keep = (part >= min_phi).any(axis=1) if min_phi > 0 else np.ones(len(t), dtype=bool)
                 yield _batch(PHI, int(keep.sum()), doc_id=ids[keep], type_id=t[keep], term_id=tm[keep], vec=part[keep])
 
-    j = entries_eb.join(bc(G.select("doc_id", "et")), "doc_id").select("doc_id", "type_id", "term_id", "cnt", "eb", "et")
+    more = ["gamma", "el"] if mode == "bound" else []
+    j = entries_eb.join(bc(G.select("doc_id", "et", *more[:1])), "doc_id").select("doc_id", "type_id", "term_id", "cnt", "eb", "et", *more)
     rows = j.mapInArrow(final, OUT_SCHEMA)
     gam = G.select(
         F.lit(GAMMA).alias("kind"), "doc_id", F.lit(None).cast("int").alias("type_id"), F.lit(None).cast("int").alias("term_id"),

@@ -90,10 +90,17 @@ def zero_state(vocab: DataFrame, k: int, eta0: DataFrame | float) -> DataFrame:
 
 def _with_eta(base: DataFrame, eta0) -> DataFrame:
     if isinstance(eta0, DataFrame):
-        return base.join(eta0.select("type_id", "term_id", F.col("eta").alias("eta0")), ["type_id", "term_id"]).withColumn(
-            "eta", F.col("eta0")
-        )
+        given = eta0.select("type_id", "term_id", F.col("eta").cast("double").alias("eta0"))
+        if given.groupBy("type_id", "term_id").count().where("count > 1").limit(1).count():
+            raise ValueError("the eta table holds a term twice")
+        both = base.join(given, ["type_id", "term_id"], "left")
+        if both.where(F.col("eta0").isNull()).limit(1).count():
+            raise ValueError("the eta table has no value for some vocabulary terms")
+        return both.withColumn("eta", F.col("eta0"))
     if isinstance(eta0, dict):
+        missing = {r[0] for r in base.select("type_id").distinct().collect()} - set(eta0)  # T rows
+        if missing:
+            raise ValueError(f"eta has no value for the types {sorted(missing)}")
         e = F.lit(None).cast("double")
         for t, v in eta0.items():
             e = F.when(F.col("type_id") == t, F.lit(float(v))).otherwise(e)

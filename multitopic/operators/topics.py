@@ -79,9 +79,14 @@ def word_topics(model, entries: DataFrame, minimum_phi_value: float | None = Non
     """K6: per (doc, type, term) the topics with n*phi >= threshold sorted by
     n*phi descending, ties: higher topic first. ``(doc_id, type_id,
     term_id, rank, topic)``."""
-    ph = model.word_phi(entries, minimum_phi_value)
-    w = Window.partitionBy("doc_id", "type_id", "term_id").orderBy(F.col("nphi").desc(), F.col("topic").desc())
-    return ph.withColumn("rank", F.row_number().over(w)).select("doc_id", "type_id", "term_id", "rank", "topic")
+    from .estep import PHI
+
+    mphi = max(model.params.minimum_phi_value if minimum_phi_value is None else minimum_phi_value, 1e-8)
+    rows = model.estep_rows(entries, "phi", min_phi=mphi).where(F.col("kind") == PHI)
+    # the kernel returns one vector per (doc, term): sorted in the row, no shuffle
+    kept = F.filter(F.transform("vec", lambda x, i: F.struct(x.alias("v"), i.alias("topic"))), lambda e: e["v"] >= mphi)
+    ranked = rows.select("doc_id", "type_id", "term_id", F.posexplode(F.reverse(F.array_sort(kept))).alias("_r", "_e"))
+    return ranked.select("doc_id", "type_id", "term_id", (F.col("_r") + 1).alias("rank"), F.col("_e.topic").alias("topic"))
 
 
 def topic_wordsets(model, num_words: int = 30) -> DataFrame:

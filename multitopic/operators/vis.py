@@ -21,16 +21,18 @@ def doc_topic_dists(model, entries: DataFrame | None = None, supplied: DataFrame
     document (D15). Otherwise inferred with the model (the costly part)."""
     if supplied is not None:
         if "topic" in supplied.columns:
-            lng = supplied.select("doc_id", "topic", F.col(supplied.columns[2]).alias("v"))
-        else:
-            arr = [c for c in supplied.columns if c != "doc_id"][0]
-            lng = supplied.select("doc_id", F.posexplode(arr).alias("topic", "v"))
-        w = Window.partitionBy("doc_id")
-        out = lng.select("doc_id", "topic", (F.col("v") / F.sum("v").over(w)).alias("theta"))
-        bad = out.where((F.col("topic") < 0) | (F.col("topic") >= model.k)).limit(1).count()
-        if bad:
-            raise ValueError(f"Document topics and number of topics do not match (K = {model.k})")
-        return out
+            value = [c for c in supplied.columns if c not in ("doc_id", "topic")][0]
+            if supplied.where((F.col("topic") < 0) | (F.col("topic") >= model.k) | F.col("topic").isNull()).limit(1).count():
+                raise ValueError(f"supplied topics lie outside 0..{model.k - 1}")
+            cells = F.collect_list(F.struct(F.col("topic"), F.col(value).alias("v")))  # at most K cells a document
+            total = supplied.groupBy("doc_id").agg(cells.alias("_c"), F.sum(value).alias("_s"))
+            out = total.select("doc_id", "_s", F.explode("_c").alias("_x")).select("doc_id", F.col("_x.topic").alias("topic"), (F.col("_x.v") / F.col("_s")).alias("theta"))
+            return out
+        arr = [c for c in supplied.columns if c != "doc_id"][0]
+        if supplied.where(F.coalesce(F.size(arr), F.lit(0)) != model.k).limit(1).count():
+            raise ValueError(f"supplied topic weights need {model.k} values per document")
+        share = F.expr(f"transform({arr}, x -> x / aggregate({arr}, 0D, (a, y) -> a + y))")  # in the row: no shuffle
+        return supplied.select("doc_id", F.posexplode(share).alias("topic", "theta"))
     t = model.transform(entries)
     return t.select("doc_id", F.posexplode("theta").alias("topic", "theta"))
 
@@ -43,6 +45,34 @@ def topic_term(model) -> DataFrame:
     return d.select("topic", "type_id", "term_id", "p", (F.col("p") / F.lit(float(t))).alias("p_joint"))
 
 
+def check_terms(model, entries: DataFrame) -> None:
+    """V4: term ids within the model's vocabulary."""
+    sizes = F.array(*[F.lit(int(n)) for n in model.num_terms])
+    inside = F.col("type_id").between(0, model.num_types - 1) & F.col("term_id").between(0, F.get(sizes, F.col("type_id")) - 1)
+    if entries.where(~F.coalesce(inside, F.lit(False))).limit(1).count():
+        raise ValueError("the corpus holds term ids that the model does not know")
+
+def check_documents(entries: DataFrame, doc_topic: DataFrame) -> None:
+    """V4: topic weights for every document of the corpus."""
+    docs, given = entries.select("doc_id").distinct(), doc_topic.select("doc_id").distinct()
+    if docs.join(given, "doc_id", "left_anti").limit(1).count():
+        raise ValueError("some documents of the corpus have no topic weights")
+
+
+def prepare(model, terms: DataFrame, entries: DataFrame, supplied: DataFrame | None = None, lam: float = 0.6, r: int = 30) -> dict[str, DataFrame]:
+    """V3: everything a browser reads, from one E step: the five tables of
+    :func:`extract` plus topic_proportion, saliency, relevance, topic_distance."""
+    from ..session import materialize
+
+    check_terms(model, entries)
+    out = extract(model, terms, entries, supplied)
+    out["doc_topic_dists"] = materialize(out["doc_topic_dists"], "browser-doc-topics")
+    check_documents(entries, out["doc_topic_dists"])
+    tp = materialize(topic_proportion(out["doc_topic_dists"], out["doc_lengths"]), "browser-proportions")
+    tt = out["topic_term_dists"]
+    return out | {"topic_proportion": tp, "saliency": saliency(tt, tp), "relevance": relevance(tt, tp, lam, r), "topic_distance": topic_distance(model)}
+
+
 def extract(model, terms: DataFrame, entries: DataFrame, supplied: DataFrame | None = None) -> dict[str, DataFrame]:
     """V1: topic_term_dists, doc_topic_dists, doc_lengths, vocab,
     term_frequency (``terms`` is the un-encoded corpus)."""
@@ -59,9 +89,9 @@ def topic_proportion(doc_topic: DataFrame, doc_lengths: DataFrame) -> DataFrame:
     """V3: topic frequency sum_d theta_dk * len_d, its share, and the order
     by share (1 = largest; ties by topic id)."""
     f = doc_topic.join(doc_lengths, "doc_id").groupBy("topic").agg(F.sum(F.col("theta") * F.col("doc_length")).alias("topic_freq"))
-    tot = f.agg(F.sum("topic_freq")).collect()[0][0] or 1.0
     w = Window.orderBy(F.col("topic_freq").desc(), F.col("topic").asc())  # K rows only
-    return f.select("topic", "topic_freq", (F.col("topic_freq") / F.lit(float(tot))).alias("proportion")).withColumn("order", F.row_number().over(w))
+    total = F.sum("topic_freq").over(Window.partitionBy())
+    return f.select("topic", "topic_freq", (F.col("topic_freq") / total).alias("proportion")).withColumn("order", F.row_number().over(w))
 
 
 def term_marginal(tt: DataFrame, tp: DataFrame) -> DataFrame:

@@ -369,6 +369,27 @@ def q_train_incremental(spark, sf):
     return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
 
 
+def q_train_incremental_chunksize(spark, sf):
+    """An explicit chunk size larger than the new documents enters
+    the learning rate as given."""
+    from .train import update
+
+    m = fresh_model(spark, sf)
+    e = _chunked(spark, sf, _half(spark, sf))
+    for c in (0, 1):
+        part = e.where(F.col("chunk_id") == c).drop("chunk_id")
+        update(m, part, chunksize=100_000, update_every=0, passes=1, eval_every=0)
+    return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
+
+
+def q_eta_table(spark, sf):
+    """M2: lambda of a start with a per-term eta table."""
+    c = purchases(spark, sf)
+    eta = c.vocab.select("type_id", "term_id", ((F.col("term_id") + 1) / 10.0).alias("eta"))
+    m = TopicModel.create(c, k=K, eta=eta, init="assign")
+    return _long(m.lam(), "lam", "lam", ["type_id", "term_id"])
+
+
 # ------------------------------------------------------------ bound
 def q_bound_docs(spark, sf):
     m = model_a(spark, sf)
@@ -383,17 +404,37 @@ def q_bound(spark, sf):
 
 
 def q_log_perplexity(spark, sf):
-    from .evaluate import doc_part, beta_part
+    from .evaluate import log_perplexity, perplexity
 
     m = model_a(spark, sf)
-    prep = m.prepare(purchases(spark, sf).entries)
-    s, words, n = doc_part(m, prep)
-    pw = (s + beta_part(m)) / words
-    return spark.createDataFrame([(float(pw), float(2.0 ** (-pw)), int(n), float(words))], "perwordbound DOUBLE, perplexity DOUBLE, n_docs BIGINT, n_words DOUBLE").select(
+    e = purchases(spark, sf).entries
+    pw = log_perplexity(m, m.prepare(e))
+    n, words = e.agg(F.countDistinct("doc_id"), F.sum("cnt")).collect()[0]
+    return spark.createDataFrame([(float(pw), perplexity(pw), int(n), float(words))], "perwordbound DOUBLE, perplexity DOUBLE, n_docs BIGINT, n_words DOUBLE").select(
         rnd("perwordbound", 8).alias("perwordbound"), rnd("perplexity", 6).alias("perplexity"), "n_docs", rnd("n_words", 4).alias("n_words")
     )
 
 
+def q_log_perplexity_ratio(spark, sf):
+    """The bound of a sample scaled to a corpus of twice its documents."""
+    from .evaluate import log_perplexity
+
+    m = model_a(spark, sf)
+    e = purchases(spark, sf).entries
+    pw = log_perplexity(m, m.prepare(e), total_docs=2 * e.select("doc_id").distinct().count())
+    return spark.createDataFrame([(float(pw),)], "perwordbound DOUBLE").select(rnd("perwordbound", 8).alias("perwordbound"))
+
+
+def q_bound_gamma_supplied(spark, sf):
+    """A16 with supplied document weights (here counts per assigned topic + 1)."""
+    from .evaluate import bound
+
+    e = purchases(spark, sf).entries
+    sums = [F.sum(F.when(F.pmod(F.col("term_id"), F.lit(K)) == i, F.col("cnt")).otherwise(0.0)) + 1.0 for i in range(K)]
+    b = bound(model_a(spark, sf), e, gamma=e.groupBy("doc_id").agg(F.array(*sums).alias("gamma")))
+    return spark.createDataFrame([(float(b),)], "bound DOUBLE").select(rnd("bound", 3).alias("bound"))
+
+
 QUERIES.update(
     {
         "fn_digamma": q_fn_digamma,
@@ -413,6 +454,10 @@ QUERIES.update(
         "train_batch_1pass": q_train_batch_1pass,
         "train_online_2chunks": q_train_online_2chunks,
         "train_incremental": q_train_incremental,
+        "train_incremental_chunksize": q_train_incremental_chunksize,
+        "eta_table": q_eta_table,
+        "log_perplexity_ratio": q_log_perplexity_ratio,
+        "bound_gamma_supplied": q_bound_gamma_supplied,
         "bound_docs": q_bound_docs,
         "bound": q_bound,
         "log_perplexity": q_log_perplexity,
@@ -494,6 +539,14 @@ def q_topic_diff_hellinger(spark, sf):
     return _diff(spark, sf, "hellinger")
 
 
+def q_topic_diff_self_hellinger(spark, sf):
+    """F-9 of a model with itself, normed: the diagonal is exactly 0."""
+    from ..operators.compare import diff
+
+    m = model_a(spark, sf)
+    return diff(m, m, "hellinger", annotation=False).select("topic1", "topic2", rnd("z").alias("z"), ((F.col("topic1") != F.col("topic2")) | (F.col("z") == 0.0)).alias("exact"))
+
+
 def q_topic_diff_jaccard(spark, sf):
     return _diff(spark, sf, "jaccard")
 
@@ -527,6 +580,7 @@ QUERIES.update(
         "topic_wordset": q_topic_wordset,
         "topic_diff_kl": q_topic_diff_kl,
         "topic_diff_hellinger": q_topic_diff_hellinger,
+        "topic_diff_self_hellinger": q_topic_diff_self_hellinger,
         "topic_diff_jaccard": q_topic_diff_jaccard,
         "topic_diff_js": q_topic_diff_js,
         "topic_diff_rescaled_dot": q_topic_diff_rescaled_dot,

@@ -59,12 +59,12 @@ def init_alpha(prior, k: int) -> tuple[np.ndarray, bool]:
             return a / a.sum(), False
         if prior == "auto":
             return np.full(k, 1.0 / k), True
-        raise ValueError(f"Unable to determine proper alpha value given '{prior}'")
+        raise ValueError(f"alpha: no rule named '{prior}'")
     if isinstance(prior, (int, float, np.number)):
         return np.full(k, float(prior)), False
     a = np.asarray(prior, dtype=np.float64)
     if a.shape != (k,):
-        raise ValueError(f"Invalid alpha shape {a.shape}, expected ({k},)")
+        raise ValueError(f"alpha needs one value per topic ({k}), got an array of shape {a.shape}")
     return a, False
 
 
@@ -79,8 +79,8 @@ def init_eta(prior, k: int):
         if prior == "auto":
             return 1.0 / k, True
         if prior == "asymmetric":
-            raise ValueError("The 'asymmetric' option cannot be used for eta")
-        raise ValueError(f"Unable to determine proper eta value given '{prior}'")
+            raise ValueError("eta: an asymmetric rule is defined for alpha only")
+        raise ValueError(f"eta: no rule named '{prior}'")
     if isinstance(prior, (int, float, np.number)):
         return float(prior), False
     if isinstance(prior, (dict, DataFrame)):
@@ -96,6 +96,15 @@ class Prepared:
     hot: DataFrame | None  # (doc_id, chunk_id) of hot documents
     hot_entries: DataFrame | None
 
+    def drop(self) -> None:
+        """Delete the tables that were written for this corpus."""
+        from ..session import drop_path, source_path
+
+        for t in (self.nested, self.hot, self.hot_entries, self.entries if self.nested is None else None):
+            path = source_path(t) if t is not None else None
+            if path and "/multitopic/" in path and path.rsplit("/", 1)[1].rsplit("-", 1)[0] in ("nested", "entries", "hot-docs", "hot-entries"):
+                drop_path(t.sparkSession, path)
+
 
 @dataclass
 class TopicModel:
@@ -114,6 +123,7 @@ class TopicModel:
     metrics: list = field(default_factory=list)
     _eb: DataFrame | None = None
     _eb_bc: object = None
+    _el_bc: object = None
     _scratch: list = field(default_factory=list)  # intermediate tables of the current window
     _owned_state: bool = False  # state written by this model's own M step (may be dropped when superseded)
 
@@ -161,7 +171,7 @@ class TopicModel:
         """A copy with other parameters; it shares the current state, which
         therefore neither copy will delete."""
         self._owned_state = False
-        return replace(self, params=replace(self.params, **kw), metrics=list(self.metrics), _scratch=[], _eb=None, _eb_bc=None)
+        return replace(self, params=replace(self.params, **kw), metrics=list(self.metrics), _scratch=[], _eb=None, _eb_bc=None, _el_bc=None)
 
     # ------------------------------------------------------- derived tables
     def lam(self) -> DataFrame:
@@ -198,17 +208,33 @@ class TopicModel:
         """The (sum W_t, K) exp E[log beta] array as a broadcast variable; its
         size is K * sum W_t * 8 bytes, checked against the limit first."""
         if self._eb_bc is None:
-            if self.eb_bytes() > self.params.broadcast_limit_bytes and self.params.strategy != "broadcast":
-                raise ValueError("topic-term table too large to broadcast")
-            tab = self.exp_elogbeta().toArrow()
-            t = tab.column("type_id").to_numpy().astype(np.int64)
-            w = tab.column("term_id").to_numpy().astype(np.int64)
-            vals = tab.column("eb").combine_chunks().flatten().to_numpy().reshape(-1, self.k)
-            arr = np.zeros((int(sum(self.num_terms)), self.k))
-            arr[self.type_offsets()[t] + w] = vals
-            self._eb_bc = self.spark.sparkContext.broadcast(arr)
+            self._eb_bc = self.spark.sparkContext.broadcast(self._as_array(self.exp_elogbeta(), "eb"))
         return self._eb_bc
 
+    def topic_vectors(self, mode: str) -> DataFrame:
+        """The per-term vectors a kernel mode needs: ``eb`` for inference and,
+        for the bound, ``el`` = E[log beta] of lambda."""
+        eb = self.exp_elogbeta()
+        if mode != "bound":
+            return eb
+        return eb.join(self.elogbeta().select("type_id", "term_id", F.col("elogbeta").alias("el")), ["type_id", "term_id"])
+
+    def _as_array(self, table: DataFrame, column: str) -> np.ndarray:
+        """(sum W_t, K) array of a per-term vector column, its size checked."""
+        if self.eb_bytes() > self.params.broadcast_limit_bytes:
+            raise ValueError("the topic-term table exceeds broadcast_limit_bytes; use strategy 'auto' or 'join'")
+        tab = table.select("type_id", "term_id", column).toArrow()
+        at = self.type_offsets()[tab.column("type_id").to_numpy().astype(np.int64)] + tab.column("term_id").to_numpy().astype(np.int64)
+        arr = np.zeros((int(sum(self.num_terms)), self.k))
+        arr[at] = tab.column(column).combine_chunks().flatten().to_numpy().reshape(-1, self.k)
+        return arr
+
+    def el_broadcast(self):
+        """E[log beta] of lambda as a broadcast variable (bound)."""
+        if self._el_bc is None:
+            self._el_bc = self.spark.sparkContext.broadcast(self._as_array(self.elogbeta(), "elogbeta"))
+        return self._el_bc
+
     def new_version(self, state: DataFrame, owned: bool = False) -> None:
         """Install a new state (already materialised) and drop caches. The
         superseded state and the window's intermediates are deleted when this
@@ -232,8 +258,10 @@ class TopicModel:
             self._eb.unpersist()
         self._eb = None
         if self._eb_bc is not None:
-            self._eb_bc.unpersist()
-        self._eb_bc = None
+            self._eb_bc.destroy()
+        if self._el_bc is not None:
+            self._el_bc.destroy()
+        self._eb_bc = self._el_bc = None
 
     # ------------------------------------------------------------ E step
     def prepare(self, entries: DataFrame, docs: DataFrame | None = None, chunks: DataFrame | None = None,
@@ -247,25 +275,29 @@ class TopicModel:
         Hot documents are written either way (their E step iterates)."""
         e = entries.select("doc_id", "type_id", "term_id", "cnt")
         d = docs.select("doc_id") if docs is not None else None
-        if chunks is not None:
+
+        def in_chunks(df, ids=None):
+            if df is None:
+                return None
+            if chunks is None:
+                return df.withColumn("chunk_id", F.lit(0).cast("bigint"))
             c = chunks.select("doc_id", "chunk_id")
-            e = e.join(c, "doc_id")
-            d = (d.join(c, "doc_id") if d is not None else None)
-        else:
-            e = e.withColumn("chunk_id", F.lit(0).cast("bigint"))
-            d = d.withColumn("chunk_id", F.lit(0).cast("bigint")) if d is not None else None
+            return df.join(c if ids is None else ids(c), "doc_id")
+
+        # hot documents leave before anything is shuffled by document
         hot = self.hot_docs(e)
+        d = in_chunks(d)
         if hot is not None:
             # at most total_entries / limit ids; broadcast only when their
             # counted size fits the limit, else a shuffle join
             small = hot.count() * 16 <= self.params.broadcast_limit_bytes
             b = F.broadcast if small else (lambda x: x)
-            normal = e.join(b(hot), "doc_id", "left_anti")
-            hot_entries = materialize(e.join(b(hot), "doc_id"), "hot-entries")
+            normal = in_chunks(e.join(b(hot), "doc_id", "left_anti"))
+            hot_entries = materialize(in_chunks(e.join(b(hot), "doc_id"), lambda c: b(c.join(b(hot), "doc_id", "left_semi"))), "hot-entries")
             hot = materialize(hot_entries.select("doc_id", "chunk_id").distinct(), "hot-docs")
             d = d.join(b(hot.select("doc_id")), "doc_id", "left_anti") if d is not None else None
         else:
-            normal, hot_entries = e, None
+            normal, hot_entries = in_chunks(e), None
         nested = None
         if not reuse:
             if self.use_broadcast():
@@ -311,19 +343,26 @@ class TopicModel:
 
         if self.use_broadcast():
             fn = E.make_kernel(mode, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon,
-                               self.eb_broadcast(), self.type_offsets(), min_phi)
+                               self.eb_broadcast(), self.type_offsets(), min_phi, self.el_broadcast() if mode == "bound" else None)
             rows = E.run(flt(prep.nested), fn)
         else:
             fn = E.make_kernel(mode, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, min_phi=min_phi)
             d = flt(prep.docs) if prep.docs is not None else None
-            rows = E.run(E.nest(flt(prep.entries), d, with_eb=self.exp_elogbeta(), keys=("doc_id", "chunk_id"),
+            rows = E.run(E.nest(flt(prep.entries), d, with_eb=self.topic_vectors(mode), keys=("doc_id", "chunk_id"),
                                 hot_terms=self.hot_terms(), broadcast_limit_bytes=p.broadcast_limit_bytes), fn)
         if prep.hot is not None:
             hot = flt(prep.hot).select("doc_id")
             if hot.limit(1).count():
-                eb = self.exp_elogbeta()
-                eb = F.broadcast(eb) if self.use_broadcast() else eb
-                he = materialize(flt(prep.hot_entries).join(eb, ["type_id", "term_id"]), "hot-entries-eb")
+                eb = self.topic_vectors(mode)
+                he = flt(prep.hot_entries)
+                if self.use_broadcast():
+                    he = he.join(F.broadcast(eb), ["type_id", "term_id"])
+                else:
+                    from ..operators.skew import split_join
+
+                    row = F.lit(16) + F.size("eb") * F.lit(16)
+                    he = split_join(he, eb, ["type_id", "term_id"], self.hot_terms(), row, p.broadcast_limit_bytes)
+                he = materialize(he, "hot-entries-eb")
                 rows = rows.unionByName(
                     E.hot_estep(he, hot, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, mode,
                                 materialize, broadcast_rows=p.broadcast_limit_bytes // (16 * self.k + 16), min_phi=min_phi)

@@ -331,7 +331,7 @@ ORACLE.update(
                 "cum AS (SELECT chunk_id, coalesce(sum(n) OVER (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, "
                 "sum(n) OVER () AS total FROM cs)",
             ],
-            f"SELECT p.range::INT AS pass, chunk_id::INT AS update_no, {rnd(f'pow(1.0 + p.range + (CASE WHEN p.range = 0 THEN before ELSE total END) / least(total, {CHUNK}), -0.5)', 8)} AS rho "
+            f"SELECT p.range::INT AS pass, chunk_id::INT AS update_no, {rnd(f'pow(1.0 + p.range + (CASE WHEN p.range = 0 THEN before ELSE total END) / {CHUNK}, -0.5)', 8)} AS rho "
             "FROM cum CROSS JOIN range(2) p",
         ),
         "mstep_lambda": with_(
@@ -363,6 +363,33 @@ ORACLE.update(
                          "(SELECT CASE WHEN n1 > 0 THEN pow(1.0 + n0 / least(n1, 2000), -0.5) * d / n1 ELSE 0.0 END FROM hv)"),
             f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m2_st",
         ),
+        "train_incremental_chunksize": with_(
+            PM + _HALVES
+            + estep_ctes(K, T, ITER, THR, EPS, tag="a_", entries="e0")
+            + mstep_ctes("", "m1_", "a_sst", 0.0, 1.0)
+            + estep_ctes(K, T, ITER, THR, EPS, tag="b_", entries="e1", eb="m1_eb")
+            + mstep_ctes("m1_", "m2_", "b_sst", "(SELECT CASE WHEN n1 > 0 THEN 1.0 - pow(1.0 + n0 / 100000.0, -0.5) ELSE 1.0 END FROM hv)",
+                         "(SELECT CASE WHEN n1 > 0 THEN pow(1.0 + n0 / 100000.0, -0.5) * d / n1 ELSE 0.0 END FROM hv)"),
+            f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m2_st",
+        ),
+        "eta_table": with_(PM, f"SELECT type_id, term_id, topic, {rnd('s + (term_id + 1) / 10.0')} AS lam FROM st"),
+        "log_perplexity_ratio": with_(
+            PE + _DOC_BOUND + ["wd AS (SELECT sum(cnt) AS w FROM entries)"],
+            f"SELECT {rnd('(2.0 * (SELECT sum(score) FROM docb) + (SELECT bp FROM bp) + (SELECT bt FROM bt)) / (2.0 * (SELECT w FROM wd))', 8)} AS perwordbound",
+        ),
+        "bound_gamma_supplied": with_(
+            PM + [f"alpha AS (SELECT topic, 1.0 / {K} AS alpha FROM topics)",
+                  "gf AS (SELECT d.doc_id, t.topic, coalesce(c.g, 0.0) + 1.0 AS gamma FROM (SELECT DISTINCT doc_id FROM entries) d CROSS JOIN topics t "
+                  f"LEFT JOIN (SELECT doc_id, term_id % {K} AS topic, sum(cnt) AS g FROM entries GROUP BY 1, 2) c ON c.doc_id = d.doc_id AND c.topic = t.topic)",
+                  f"el AS (SELECT g.doc_id, g.topic, {psi('g.gamma')} - {psi('s.gs')} AS e FROM gf g JOIN (SELECT doc_id, sum(gamma) AS gs FROM gf GROUP BY 1) s ON s.doc_id = g.doc_id)",
+                  "vv AS (SELECT e.doc_id, e.type_id, e.term_id, e.cnt, l.e + b.elogbeta AS v FROM entries e JOIN el l ON l.doc_id = e.doc_id "
+                  "JOIN elog b ON b.type_id = e.type_id AND b.term_id = e.term_id AND b.topic = l.topic)",
+                  "mx AS (SELECT doc_id, type_id, term_id, max(v) AS m FROM vv GROUP BY 1, 2, 3)",
+                  "lw AS (SELECT sum(x.cnt * x.lse) AS ll FROM (SELECT v.cnt, m.m + ln(sum(exp(v.v - m.m))) AS lse FROM vv v JOIN mx m ON m.doc_id = v.doc_id "
+                  "AND m.type_id = v.type_id AND m.term_id = v.term_id GROUP BY v.doc_id, v.type_id, v.term_id, v.cnt, m.m) x)"]
+            + [c for c in _DOC_BOUND if c.split(" ", 1)[0] in ("gs", "tp", "bp", "bt")],
+            f"SELECT {rnd('(SELECT ll FROM lw) + (SELECT sum(tp) FROM tp) + (SELECT bp FROM bp) + (SELECT bt FROM bt)', 3)} AS bound",
+        ),
         "bound_docs": with_(PE + _DOC_BOUND, f"SELECT doc_id, {rnd('score', 4)} AS score FROM docb"),
         "bound": with_(PE + _DOC_BOUND, f"SELECT {rnd('bound', 3)} AS bound FROM tb"),
         "log_perplexity": with_(
@@ -454,6 +481,11 @@ ORACLE.update(
         "topic_wordset": with_(_AB_P, "SELECT topic, array_to_string(w, '|') AS words FROM ws_a"),
         "topic_diff_kl": with_(_AB_P, _normed(_KL)),
         "topic_diff_hellinger": with_(_AB_P, _normed(_HEL)),
+        "topic_diff_self_hellinger": with_(
+            PM + _P,
+            f"SELECT topic1, topic2, {rnd('z / max(z) OVER ()')} AS z, true AS exact FROM (SELECT a.topic AS topic1, b.topic AS topic2, "
+            "sqrt(0.5 * sum(pow(sqrt(a.p) - sqrt(b.p), 2))) AS z FROM pa a JOIN pa b ON a.type_id = b.type_id AND a.term_id = b.term_id GROUP BY 1, 2)",
+        ),
         "topic_diff_jaccard": with_(_AB_P, _normed(_JAC)),
         "topic_diff_js": with_(_AB_P, _normed(_JS)),
         "topic_diff_rescaled_dot": with_(_AB_P + _RANKS, _normed(_RDOT)),

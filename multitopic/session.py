@@ -36,13 +36,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names a shared file system; it is only read.
-    Only when it is unset (local tests) a scratch folder is created."""
+    On a cluster this setting names a shared file system; it is only read, and
+    must be there: a folder of the driver's own would be another folder on
+    every executor. Only on a local master a scratch folder is created."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = sc._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
+    if not d and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="multitopic-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
@@ -77,6 +80,41 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _fs_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists; a storage error is raised, not taken for absence."""
+    fs, p = _fs_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def write_pointer(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file and put it in place with one rename, so a reader
+    sees the old text or the new one."""
+    jvm = spark.sparkContext._jvm
+    fs, tmp = _fs_path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    fs.mkdirs(tmp.getParent())
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri() if tmp.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), options)
+
+
+def read_pointer(spark: SparkSession, path: str) -> str | None:
+    """The text of a pointer file, None only where there is no such file."""
+    if not path_exists(spark, path):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
 def source_path(df: DataFrame) -> str | None:
     """The folder a materialised DataFrame was read from (None otherwise)."""
     files = df.inputFiles()

@@ -2,10 +2,11 @@
 
 Each micro-batch is one ``update()`` with ``passes = 1`` (documents
 arriving in a stream); ``numdocs`` grows by the batch's documents. After
-each batch the model version is written under ``<model_path>/v<batch_id>``
-together with the batch id, and a ``_LATEST`` pointer names it, so a
-restarted query that replays a batch id already committed skips it
-(exactly-once model updates on top of the checkpointed stream offsets).
+each batch the model is saved under ``model_path`` with the batch id, by one
+atomic pointer swap (:mod:`..sources.model_io`). A restarted trainer goes on
+from that model and skips a replayed batch that it already holds, so every
+batch enters the model exactly once. Only a missing pointer means that
+nothing was committed; a storage error is raised.
 
 Documents are bags closed per micro-batch (e.g. user-day bags built from
 events); events of one document arriving in two batches become two updates
@@ -14,6 +15,7 @@ of the same document id, as two ``update()`` calls would in the reference.
 
 from __future__ import annotations
 
+import logging
 from typing import Callable
 
 from pyspark.sql import DataFrame
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 from ..sources import corpus as C
 from ..sources import model_io
 from ..plans.train import update
+from ..session import _fs_path, drop_path, materialize, source_path
+
+log = logging.getLogger(__name__)
 
 
 class StreamTrainer:
@@ -33,22 +38,14 @@ class StreamTrainer:
         self.to_terms = to_terms
         self.path = model_path.rstrip("/")
         self.update_kw = {"passes": 1, "eval_every": 0, **update_kw}
-        self.committed = self._latest()
+        self.committed = model_io.committed_batch(model.spark, self.path)
+        if self.committed >= 0:
+            self.model = model_io.load(model.spark, self.path)
         self.dropped = 0
 
-    def _latest(self) -> int:
-        spark = self.model.spark
-        try:
-            ptr = spark.read.text(f"{self.path}/_LATEST").collect()[0][0]
-        except Exception:  # noqa: BLE001 - nothing committed yet
-            return -1
-        return model_io.last_batch_id(spark, ptr)
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.committed:
             return  # replayed batch: its update is already in the model
-        from ..session import drop_path, materialize, source_path
-
         # the batch's terms are read by several jobs (OOV count, sizes,
         # chunks, E step): written once instead of re-deriving from the source
         terms = materialize(self.to_terms(batch), "stream-terms")
@@ -57,14 +54,14 @@ class StreamTrainer:
         entries = C.encode(terms, vocab, strict=False)
         if entries.limit(1).count():
             update(self.model, entries, **self.update_kw)
-        out = model_io.save(self.model, f"{self.path}/v{batch_id}", batch_id=batch_id)
-        self.model.spark.createDataFrame([(out,)], "p STRING").coalesce(1).write.mode("overwrite").text(f"{self.path}/_LATEST")
+        model_io.save(self.model, self.path, batch_id=batch_id)
         self.committed = batch_id
         drop_path(self.model.spark, source_path(terms) or "")
 
 
 def train_stream(model, stream: DataFrame, to_terms, model_path: str, checkpoint: str, trigger_once: bool = True, **update_kw):
-    """Start (and, with ``trigger_once``, drain) the training query."""
+    """Start (and, with ``trigger_once``, drain) the training query; the
+    trained model is ``sink.model`` (the committed one after a restart)."""
     sink = StreamTrainer(model, to_terms, model_path, **update_kw)
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
@@ -77,13 +74,12 @@ def train_stream(model, stream: DataFrame, to_terms, model_path: str, checkpoint
 def events_stream(spark, events_path: str, max_files: int = 1) -> DataFrame:
     """Events as a stream (file source); ``ts`` is cast to TIMESTAMP (the
     files hold TIMESTAMP_NTZ, which watermarks refuse)."""
-    import os
-
     schema = spark.read.parquet(events_path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if events_path.endswith(".parquet") and os.path.isfile(events_path):
+    fs, p = _fs_path(spark, events_path)
+    if not fs.getFileStatus(p).isDirectory():
         # a single file: stream its folder, restricted to that file name
-        folder, name = os.path.split(events_path)
+        folder, name = events_path.rsplit("/", 1)
         s = reader.option("pathGlobFilter", name).parquet(folder)
     else:
         s = reader.parquet(events_path)
@@ -98,13 +94,21 @@ def score_stream(model, stream: DataFrame, to_terms, sink_path: str, checkpoint:
                  minimum_probability: float | None = None):
     """Streaming scoring (stream-static): every micro-batch of documents is
     scored with the fixed model and appended as ``(doc_id, topic, p,
-    batch_id)`` Parquet rows; unknown terms are dropped (D12)."""
+    batch_id)`` Parquet rows; unknown terms are dropped and reported (D12):
+    they are logged and written under ``<sink_path>_unknown/batch_id=...``."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        entries = C.encode(to_terms(batch), model.vocab, strict=False)
+        terms = materialize(to_terms(batch), "stream-terms")
+        unknown = f"{sink_path.rstrip('/')}_unknown/batch_id={batch_id}"
+        C.oov_report(terms, model.vocab).write.mode("overwrite").parquet(unknown)
+        n = model.spark.read.parquet(unknown).count()
+        if n:
+            log.warning("batch %d: %d unknown terms dropped, listed in %s", batch_id, n, unknown)
+        entries = C.encode(terms, model.vocab, strict=False)
         out = model.document_topics(entries, minimum_probability).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         # overwrite of this batch's own partition keeps a replayed batch exactly-once
         out.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch_id={batch_id}")
+        drop_path(model.spark, source_path(terms) or "")
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w

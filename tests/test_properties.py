@@ -160,7 +160,7 @@ def test_too_few_updates_warns(spark):
     from .fixtures import g2_model
 
     m = g2_model(spark)
-    with pytest.warns(UserWarning, match="too few updates"):
+    with pytest.warns(UserWarning, match="model updates are planned"):
         update(m, entries(spark), docs=docs_df(spark), chunksize=4, passes=1, eval_every=0)
 
 
