@@ -30,8 +30,9 @@ documents link when ``100 * intersection >= percent * union``.
 
 Defined results: null, empty and wordless texts have the empty set and link
 with nothing; fewer words than a shingle make one token; equal sets link; rows
-that share an id are one document; a null id gives a row without component;
-an empty table gives an empty result; further columns are ignored.
+that share an id are linked each by its own text; a null id gives a row
+without component; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ HEAVY = 200_000
 BLOCK = 1 << 22
 #: sets that may hold a rare token
 RARE = 64
-STARS = 3
-#: bits of the bitmap bound, bits of the candidate filter
+STARS = 2
+#: bits of the bitmap bound (sets of more tokens also have a wider bitmap), bits of the candidate filter
 BITS = 1024
 FILTER_BITS = 1 << 24
 _BAND = math.log(1.18)
@@ -86,6 +87,20 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.ndarr
         yield s.lo, shingles(words(s, NON_SPACE), size)
 
 
+def _digest(u: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set."""
+    with np.errstate(over="ignore"):
+        parts = mix(u + np.uint64(1)), mix(u ^ np.uint64(0x5BD1E9955BD1E995))
+        return tuple(int(x.sum(dtype=np.uint64).view(np.int64)) for x in parts)
+
+
+def _bitmap(u: np.ndarray, size: int) -> np.ndarray:
+    """Parity bitmap of ``size`` bits as 64-bit words; the two halves of a
+    bitmap, added bit by bit, are the bitmap of half the size."""
+    odd = np.bincount((mix(u) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of at most 2 * HEAVY tokens that are in very many texts.
     They only order the prefix; any order gives the same links."""
@@ -125,20 +140,20 @@ def prefix_regions(docs: DataFrame, size: int, percent: int, heavy) -> DataFrame
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = heavy.value
         for batch in batches:
-            n, d1, d2, bits, lists = [], [], [], [], []
+            n, d1, d2, bits, wide, lists = [], [], [], [], [], []
             for _, sets in _sets(batch, size):
                 for u in sets:
                     n.append(len(u))
-                    with np.errstate(over="ignore"):
-                        a, b = mix(u + np.uint64(1)), mix(u ^ np.uint64(0x5BD1E9955BD1E995))
-                        d1.append(int(a.sum(dtype=np.uint64).view(np.int64)))
-                        d2.append(int(b.sum(dtype=np.uint64).view(np.int64)))
+                    x, y = _digest(u)
+                    d1.append(x)
+                    d2.append(y)
                     if len(u) < 6:  # links need an equal set below six tokens
                         bits.append(np.zeros(BITS // 64, np.int64))
+                        wide.append(None)
                         lists.append(u[:0])
                         continue
-                    odd = np.bincount((a % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    bits.append(_bitmap(u, BITS))
+                    wide.append(_bitmap(u, 1 << int(len(u) - 1).bit_length()) if len(u) > BITS else None)
                     take = region_size(len(u), percent)
                     if len(hot):
                         late = hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] == u
@@ -148,11 +163,11 @@ def prefix_regions(docs: DataFrame, size: int, percent: int, heavy) -> DataFrame
             offs = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))),
-                 pa.ListArray.from_arrays(pa.array(offs), pa.array(as_long(flat)))],
-                names=["doc_id", "n", "d1", "d2", "bits", "region"],
+                 pa.array(wide, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offs), pa.array(as_long(flat)))],
+                names=["doc_id", "n", "d1", "d2", "bits", "wide", "region"],
             )
 
-    return docs.mapInArrow(regions, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bits array<bigint>, region array<bigint>")
+    return docs.mapInArrow(regions, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bits array<bigint>, wide array<bigint>, region array<bigint>")
 
 
 def signatures(tokens: DataFrame, percent: int, rare: int) -> DataFrame:
@@ -217,11 +232,26 @@ def _bitmap_allows(a: str, b: str, percent: int) -> str:
     return f"100 * {low} >= {percent} * {high} AND {100 - percent} * ({a}.n + {b}.n) >= {100 + percent} * ({diff})"
 
 
+def _tight(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the wider bitmaps allow too (sets within the threshold
+    have bitmaps of the same size, or one of twice the other's)."""
+    info = nodes.select("node", F.struct("n", "wide").alias("_v"))
+    p = pairs.join(info.withColumnsRenamed({"node": "a", "_v": "x"}), "a").join(info.withColumnsRenamed({"node": "b", "_v": "y"}), "b")
+    p = p.withColumn("s", F.least(F.size("x.wide"), F.size("y.wide")))
+    half = lambda c: F.expr(
+        f"CASE WHEN size({c}) = 2 * s THEN zip_with(slice({c}, 1, s), slice({c}, s + 1, s), (a, b) -> a ^ b) ELSE {c} END"
+    )
+    p = p.withColumn("u", half("x.wide")).withColumn("v", half("y.wide"))
+    diff = F.expr("aggregate(zip_with(u, v, (a, b) -> bit_count(a ^ b)), 0, (t, c) -> t + c)")
+    allowed = F.lit(100 - percent) * (F.col("x.n") + F.col("y.n")) >= F.lit(100 + percent) * diff
+    return p.where(F.coalesce((F.size("u") != F.size("v")) | allowed, F.lit(True))).select("a", "b")
+
+
 def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``(node, set)`` of the given nodes: a fixed-size bit filter keeps most
+    """``(node, set)`` of the given ``(node, d1, d2)``: a fixed-size bit filter keeps most
     other texts from being worked off, the join drops the rest."""
     slot = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    bits = nodes.groupBy(F.floor(slot / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(node), {FILTER_BITS}), 64) as int))")).alias("v"))
+    bits = nodes.select("node").groupBy(F.floor(slot / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(node), {FILTER_BITS}), 64) as int))")).alias("v"))
     table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     rows = bits.toArrow()  # at most FILTER_BITS / 64 rows
     table[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
@@ -234,13 +264,14 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             hit = (filter_words[slot_of // 64].view(np.uint64) >> (slot_of % 64).astype(np.uint64)) & np.uint64(1)
             batch = batch.filter(pa.array(hit.astype(bool)))
             lists = [u for _, got in _sets(batch, size) for u in got]
+            d1, d2 = zip(*map(_digest, lists), strict=True) if lists else ((), ())
             flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
             offs = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(as_long(flat)))], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(as_long(flat)))], names=["node", "d1", "d2", "set"])
 
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
-    found = keyed.mapInArrow(sets, "node bigint, set array<bigint>")
-    return found.join(nodes, "node", "left_semi")
+    found = keyed.mapInArrow(sets, "node bigint, d1 bigint, d2 bigint, set array<bigint>")
+    return found.join(nodes, ["node", "d1", "d2"], "left_semi").select("node", "set").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,16 +292,18 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     heavy = spark.sparkContext.broadcast(heavy_tokens(docs, size))
     rows = materialize(prefix_regions(docs, size, percent, heavy), "regions")
     keyed = rows.where("doc_id IS NOT NULL AND n > 0")
-    nodes = keyed.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("region").alias("region"), F.first("bits").alias("bits"))
+    nodes = keyed.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     nodes = materialize(nodes, "nodes")
 
-    token = nodes.where("n >= 6").select("node", "n", F.posexplode("region").alias("at", "token"))
+    # copies of a set count here, which only moves tokens to the frequent class; their rows end at the semi join
+    token = keyed.where("n >= 6").select("doc_id", "n", "d1", F.posexplode("region").alias("at", "token"))
     held = token.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2")
-    shared = token.join(held, "token").groupBy("node", "n").agg(F.collect_list(F.struct("at", "token", "df")).alias("list"))
+    heads = nodes.where("n >= 6").select(F.col("node").alias("doc_id"), "d1")
+    shared = token.join(held, "token").join(heads, ["doc_id", "d1"], "left_semi")
+    shared = shared.groupBy(F.col("doc_id").alias("node"), "n", "d1").agg(F.collect_set(F.struct("at", "token", "df")).alias("list"))
     sigs = materialize(signatures(shared, percent, rare), "sigs")
     several = sigs.groupBy("sig").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("sig")
-    sigs = materialize(sigs.select("sig", "node").join(several, "sig", "left_semi"), "sigs")
-    sets = materialize(candidate_sets(docs, sigs.select("node").distinct(), size), "sets")
+    sigs = materialize(sigs.join(several, "sig", "left_semi"), "sigs")
 
     links = None
     comp = None
@@ -289,13 +322,15 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
             pairs = _across(at.join(groups.select("sig"), "sig", "left_semi"), nodes, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = materialize(_tight(pairs, nodes, percent), "pairs")
         if pairs.isEmpty():
             if turn < STARS:
                 continue
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        good = materialize(verified(pairs, sets, percent), "links")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = candidate_sets(docs, materialize(ends.join(nodes.select("node", "d1", "d2"), "node"), "ends"), size)
+        good = materialize(verified(pairs, materialize(sets, "sets"), percent), "links")
         links = good if links is None else links.unionByName(good)
         comp = materialize(connected_components(links), "comp")
 
@@ -308,11 +343,10 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
 
 def _may_link(pairs: DataFrame, ends: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that the bounds allow."""
-    info = nodes.where("n >= 6").select("node", "n")
-    side = ends.join(info, "node")
-    p = pairs.join(side.select(F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), "a")
-    p = p.join(side.select(F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")), "b")
-    return p.where((F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
+    side = ends.join(nodes.select("node", "n", F.col("bits").alias("w")), "node")
+    info = F.struct("comp", "n", "w")
+    p = pairs.join(side.select(F.col("node").alias("a"), info.alias("x")), "a").join(side.select(F.col("node").alias("b"), info.alias("y")), "b")
+    return p.where("x.comp <> y.comp").where(_bitmap_allows("x", "y", percent)).select("a", "b").distinct()
 
 
 def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
