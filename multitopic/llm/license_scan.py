@@ -106,3 +106,28 @@ def license_scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_ROWS = ", ".join(
+    f"({k}, '{label}', {str(base).lower()}, {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')"
+    for k, (label, w, base) in enumerate(templates())
+    for i in range(len(w) - 1)
+)
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t(template, label, base, grams, pos, a, b) AS (VALUES {_ROWS}),
+g AS (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
+v AS (SELECT doc_id, template, label, base, grams, pos, i - pos AS dg FROM g JOIN t ON g.a = t.a AND g.b = t.b),
+dg AS (SELECT DISTINCT doc_id, template, base, dg FROM v),
+st AS (SELECT *, dg - lag(dg) OVER (PARTITION BY doc_id, template ORDER BY dg) AS step FROM dg),
+sp AS (SELECT *, sum(CASE WHEN base OR step IS NULL OR step > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY dg) AS span FROM st),
+c AS (SELECT v.doc_id, v.template, v.label, v.base, sp.span, min(v.dg) AS start, count(DISTINCT v.pos) / max(v.grams) AS cover
+      FROM v JOIN sp ON sp.doc_id = v.doc_id AND sp.template = v.template AND sp.dg = v.dg GROUP BY ALL),
+f AS (SELECT *, base AND cover = 1 AS place FROM c WHERE (base AND cover = 1) OR (NOT base AND cover >= {SHARE})),
+r AS (SELECT doc_id, count(*) FILTER (place) AS n, min(start) FILTER (place) AS lo, max(start) FILTER (place) AS hi,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS al, max(cover) AS score FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_base, CAST(r.lo AS BIGINT) AS first_word,
+       CAST(r.hi AS BIGINT) AS last_word, coalesce(r.bl, '') AS base_labels, coalesce(r.al, '') AS labels, coalesce(r.score, 0.0) AS score
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""

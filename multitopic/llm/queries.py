@@ -31,6 +31,7 @@ QUERIES = {
 ORACLE = {
     "op2_decontam": decontam.ORACLE,
     "op3_chat_tree": chat_tree.ORACLE,
+    "op4_license_scan": license_scan.ORACLE,
     "op5_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
