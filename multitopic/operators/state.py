@@ -124,10 +124,11 @@ def assign_state(entries: DataFrame, vocab: DataFrame, k: int, eta0, rule: str =
 
 def random_state(vocab: DataFrame, k: int, eta0, seed: int = 0, shape: float = 100.0) -> DataFrame:
     """M3: S ~ Gamma(shape, 1/shape) per (type, term, topic), seeded by a hash
-    of the key (independent of partitioning). Draws use the Wilson-Hilferty
-    transform of a Box-Muller normal built from two hashed uniforms."""
+    of the key (independent of partitioning; md5, so that any engine can
+    repeat the draws). Draws use the Wilson-Hilferty transform of a Box-Muller
+    normal built from two hashed uniforms (52 bits each)."""
     u = lambda salt: (
-        f"((pmod(xxhash64({int(seed)}, {salt}, type_id, term_id, i), 9007199254740992) + 0.5D) / 9007199254740992.0D)"
+        f"((cast(conv(substring(md5(concat_ws(':', {int(seed)}, {salt}, type_id, term_id, i)), 1, 13), 16, 10) as double) + 0.5D) / 4503599627370496.0D)"
     )
     z = f"(sqrt(-2.0D * ln({u(1)})) * cos(6.283185307179586D * {u(2)}))"
     c = 1.0 / (9.0 * shape)

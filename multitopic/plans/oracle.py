@@ -372,6 +372,14 @@ ORACLE.update(
                          "(SELECT CASE WHEN n1 > 0 THEN pow(1.0 + n0 / 100000.0, -0.5) * d / n1 ELSE 0.0 END FROM hv)"),
             f"SELECT type_id, term_id, topic, {rnd('s', 4)} AS s FROM m2_st",
         ),
+        "state_init": with_(
+            PV + [f"topics AS (SELECT range::INT AS topic FROM range({K}))",
+                  "u AS (SELECT v.type_id, v.term_id, t.topic, "
+                  + ", ".join(f"(('0x' || substring(md5(concat_ws(':', 7, {salt}, v.type_id, v.term_id, t.topic)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u{salt}" for salt in (1, 2))
+                  + " FROM vocab v CROSS JOIN topics t)",
+                  "z AS (SELECT *, sqrt(-2.0 * ln(u1)) * cos(2.0 * pi() * u2) AS z FROM u)"],
+            f"SELECT type_id, term_id, topic, {rnd('greatest(1e-12, pow(1.0 - 1.0 / 900.0 + z * sqrt(1.0 / 900.0), 3))', 8)} AS s FROM z",
+        ),
         "eta_table": with_(PM, f"SELECT type_id, term_id, topic, {rnd('s + (term_id + 1) / 10.0')} AS lam FROM st"),
         "log_perplexity_ratio": with_(
             PE + _DOC_BOUND + ["wd AS (SELECT sum(cnt) AS w FROM entries)"],
