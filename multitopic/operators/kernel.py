@@ -98,11 +98,12 @@ def reduce_rows(keys: np.ndarray, vals: np.ndarray):
 
 class SparseAccumulator:
     """Partial sufficient statistics of one task, keyed by a 64-bit
-    (type, term) key; compacted whenever it grows past ``max_rows``."""
+    (type, term) key; compacted whenever it grows past ``max_bytes`` of
+    vectors and handed out at four times that, whatever K is."""
 
-    def __init__(self, k: int, max_rows: int = 200_000):
+    def __init__(self, k: int, max_bytes: int = 32 << 20):
         self.k = k
-        self.max_rows = max_rows
+        self.max_rows = max(1000, max_bytes // (8 * k))
         self.keys: list[np.ndarray] = []
         self.vals: list[np.ndarray] = []
         self.rows = 0

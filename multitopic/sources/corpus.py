@@ -57,18 +57,24 @@ def union_types(*parts: DataFrame) -> DataFrame:
     return out
 
 
+SPREAD_BYTES = 1 << 30
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased letter runs; empty strings removed."""
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda w: F.length(w) > 0)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan with fewer partitions than task slots (a small
-    table, or one Parquet row group read by one task) over all slots before
-    heavy per-row work. A large scan already has more partitions than
-    slots and is left alone: no shuffle of the raw input at scale."""
+    """Round-robin a small scan with fewer partitions than task slots (such as
+    one Parquet row group, which one task reads) over all slots before heavy
+    per-row work. Above ``SPREAD_BYTES`` by Catalyst's estimate the input is
+    left alone, however many slots there are: raw text is never shuffled at
+    scale (write row groups of a split's size, or lower
+    ``spark.sql.files.maxPartitionBytes``, for more tasks)."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(slots) if estimate <= SPREAD_BYTES and df.rdd.getNumPartitions() < slots else df
 
 
 def corpus_from_text(df: DataFrame, doc: str, text: str, type_id: int | str | Column = 0) -> DataFrame:
@@ -325,8 +331,13 @@ class Corpus:
 
     @staticmethod
     def build(terms: DataFrame, vocab: DataFrame | None = None, num_types: int | None = None, strict: bool = True) -> "Corpus":
+        """Encode ``terms``; they are read by several jobs, so terms, vocabulary
+        and entries are written to the checkpoint folder once each."""
+        from ..session import materialize
+
+        terms = materialize(terms, "terms")
         if vocab is None:
-            vocab = vocabulary(terms)
+            vocab, strict = materialize(vocabulary(terms), "vocab"), False  # of these very terms: nothing to check
         if num_types is None:
             num_types = len(num_terms(vocab))
-        return Corpus(encode(terms, vocab, strict), vocab, num_types)
+        return Corpus(materialize(encode(terms, vocab, strict), "entries"), vocab, num_types)
