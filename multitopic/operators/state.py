@@ -68,6 +68,29 @@ def blend(state: DataFrame, sstats: DataFrame, w_old: float, w_new: float) -> Da
     return j.select("type_id", "term_id", s_new.alias("s"), "eta0", "eta")
 
 
+def stretch(docs: int, target: int) -> float:
+    """Factor that makes statistics of ``docs`` documents stand for ``target``."""
+    return target / docs if docs else 1.0
+
+
+def blend_states(state: DataFrame, docs: int, sstats: DataFrame, other_docs: int, rho: float, target: int | None = None) -> tuple[DataFrame, int]:
+    """A3 with document counts: both sides are stretched to ``target``
+    documents (default: the state's own) and weighted 1 - rho and rho;
+    returns the state and its document count."""
+    target = docs if target is None else target
+    return blend(state, sstats, (1.0 - rho) * stretch(docs, target), rho * stretch(other_docs, target)), target
+
+
+def blend2_states(state: DataFrame, docs: int, sstats: DataFrame, target: int | None = None) -> tuple[DataFrame, int]:
+    """A4 with document counts: a plain sum that stands for ``target`` documents."""
+    return blend(state, sstats, 1.0, 1.0), docs if target is None else target
+
+
+def merge_states(a: DataFrame, docs_a: int, b: DataFrame, docs_b: int, k: int) -> tuple[DataFrame, int]:
+    """A2 with document counts."""
+    return merge(a, b, k), docs_a + docs_b
+
+
 def merge(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """A2: exact distributive sum of two states' statistics."""
     u = a.select("type_id", "term_id", "s", "eta0", "eta").unionByName(b.select("type_id", "term_id", "s", "eta0", "eta"))

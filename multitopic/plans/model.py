@@ -413,6 +413,15 @@ class TopicModel:
         r = self.estep_rows(entries, "phi", min_phi=mphi).where(F.col("kind") == E.PHI)
         return r.select("doc_id", "type_id", "term_id", F.posexplode("vec").alias("topic", "nphi")).where(F.col("nphi") >= F.lit(mphi))
 
+    def __getitem__(self, entries: DataFrame):
+        """Document topics with the model's own thresholds; with the
+        parameter ``per_word_topics`` also the sorted topics of every word and
+        their n*phi values: ``(document_topics, word_topics, word_phi)``."""
+        from ..operators.topics import word_topics
+
+        found = self.document_topics(entries)
+        return (found, word_topics(self, entries), self.word_phi(entries)) if self.params.per_word_topics else found
+
     def bound_docs(self, entries: DataFrame) -> DataFrame:
         """A15/A16 document part per document: ``(doc_id, score)``."""
         r = self.estep_rows(entries, "bound").where(F.col("kind") == E.BOUND)

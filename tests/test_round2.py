@@ -182,3 +182,29 @@ def test_callbacks_and_forced_broadcast_limit(corpus):
     assert [x["value"] for x in m.metrics if x["metric"] == "own"] == [0.0, 2.0]
     with pytest.raises(ValueError, match="broadcast_limit_bytes"):
         m.with_params(strategy="broadcast", broadcast_limit_bytes=8).gamma(corpus.entries).count()
+
+
+def test_states_with_document_counts(corpus):
+    from multitopic.operators import state as S
+
+    a, b = (TopicModel.create(corpus, k=2, init="assign", assign_rule=r).state for r in ("mod", "div"))
+    other = b.select("type_id", "term_id", F.col("s").alias("vec"))
+    rows = lambda df: {(r.type_id, r.term_id): np.array(r.s) for r in df.collect()}
+    x, y = rows(a), rows(b)
+    got, n = S.blend_states(a, 10, other, 5, 0.25, target=40)
+    assert n == 40 and all(np.allclose(v, 0.75 * 4 * x[k] + 0.25 * 8 * y[k]) for k, v in rows(got).items())
+    got, n = S.blend_states(a, 0, other, 20, 0.5)
+    assert n == 0 and all(np.allclose(v, 0.5 * x[k]) for k, v in rows(got).items())
+    got, n = S.blend2_states(a, 10, other, 30)
+    assert n == 30 and all(np.allclose(v, x[k] + y[k]) for k, v in rows(got).items())
+    got, n = S.merge_states(a, 10, b, 5, 2)
+    assert n == 15 and all(np.allclose(v, x[k] + y[k]) for k, v in rows(got).items())
+
+
+def test_scoring_by_index(corpus):
+    m = TopicModel.create(corpus, k=3, init="assign", iterations=5, per_word_topics=True, minimum_phi_value=0.2)
+    topics, words, values = m[corpus.entries]
+    assert topics.collect() == m.document_topics(corpus.entries).collect()
+    kept = values.collect()
+    assert kept and min(r.nphi for r in kept) >= 0.2 and words.count() == len(kept)
+    assert m.with_params(per_word_topics=False)[corpus.entries].columns == ["doc_id", "topic", "p"]
