@@ -145,8 +145,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """``(id, start_byte, end_byte, n_words, first_id, first_byte)``: spans that
     stood before, in document ``first_id`` from byte ``first_byte`` on."""
     chunks = materialize(chunk_rows(docs, text, id_col), "chunks")
-    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"), F.max(F.struct("id", "start")).alias("l"))
-    first = first.where(~F.col("f").eqNullSafe(F.col("l"))).select("d1", "d2", "f")
+    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("c"))
+    first = first.where("c >= 2").select("d1", "d2", "f")
     again = chunks.join(first, ["d1", "d2"]).where(~F.struct("id", "start").eqNullSafe(F.col("f"))).select("id", "start", "len", "words", F.col("f.id").alias("first_id"), F.col("f.start").alias("first_byte")).distinct()
     per = Window.partitionBy("id").orderBy("start")
     gap = (
