@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: parts that every source's documents are dealt into for the join with their source's row
+SALTS = 64
 
 
 def word_count(text: str = "text"):
@@ -101,7 +103,8 @@ def solve_dual(hist: DataFrame, targets: DataFrame, max_copies: float, max_steps
 
 
 def document_rates(docs: DataFrame, total_share: float = 1.5, max_copies: int = 2) -> DataFrame:
-    """``docs`` needs ``_src`` and ``size``; adds source_size, target, n_docs, rate."""
+    """``docs`` needs ``_src``, ``size`` and a hash ``_key``; adds source_size,
+    target, n_docs, rate."""
     hist = materialize(docs.groupBy("_src", "size").agg(F.count("*").alias("n")), "sizes")
     targets = materialize(source_targets(hist, total_share, max_copies), "targets")
     dual = solve_dual(hist, targets, float(max_copies))
@@ -111,7 +114,10 @@ def document_rates(docs: DataFrame, total_share: float = 1.5, max_copies: int =
         .when(F.col("lam").isNull(), F.lit(float(max_copies)))
         .otherwise(F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(math.log(max_copies)))))
     )
-    return docs.join(per_source, "_src").withColumn("rate", rate).drop("lam", "mean")
+    # a source may hold a third of all rows: its row is copied once per salt, its documents are dealt by salt
+    salted = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = docs.withColumn("_salt", F.pmod(F.col("_key"), F.lit(SALTS)))
+    return dealt.join(salted, ["_src", "_salt"]).withColumn("rate", rate).drop("lam", "mean", "_salt")
 
 
 def round_rates(rated: DataFrame, key: str, max_copies: int, group_rows: int = 1024) -> DataFrame:
