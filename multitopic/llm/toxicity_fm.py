@@ -41,8 +41,8 @@ from .text import ALNUM, Slice, mix, slices, words
 BITS = 18
 RANK = 4
 THRESHOLD = 0.7
-SAMPLE_ROWS = 16_000
-SAMPLE_CHARS = 64_000_000
+SAMPLE_ROWS = 8_000
+SAMPLE_CHARS = 32_000_000
 #: examples seen in fitting, in at most EPOCHS passes over the sample
 VISITS = 64_000
 EPOCHS = 16
@@ -150,9 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 1, sample_rows: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), b.column(3).cast(pa.int32())], names=["_h", "doc_id", "terms", "y"])
 
     got = rows.mapInArrow(terms, "_h bigint, doc_id bigint, terms array<int>, y int").orderBy("_h", "doc_id").toArrow()
-    column = got.column("terms").combine_chunks()
-    sets = [x.values.to_numpy() for x in column] if got.num_rows else []
-    return fit(sets, (got.column("y").to_numpy() > 0).astype(float))
+    sets = [x.values.to_numpy() for chunk in got.column("terms").chunks for x in chunk]
+    machine = fit(sets, (got.column("y").to_numpy() > 0).astype(float))
+    del sets, got
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:
