@@ -6,14 +6,18 @@ bits, so h depends on the last 16 bytes only. A chunk ends where the top
 cut (after ``MAX_CHUNK`` bytes at the latest) and never inside a character. An
 insertion moves the cuts near it only; behind it the same chunks come again.
 
-Chunks are compared by 128-bit digests. Of the places of a digest the first
-one, by (id, offset), stays. Neighbouring repeated chunks whose first places
-are neighbours too make one span; spans of at least ``MIN_SPAN`` bytes are
-reported (shorter ones are chance: common phrases). Counting and the search
-for the first place are partially aggregated, and the join back splits by
-size, so a chunk that a third of all texts hold is no burden.
-
-Defined results: null and empty texts have no chunks; repeats within a text
+Passages of ``MIN_SPAN`` bytes are compared (shorter repeats are chance: common
+phrases): from every chunk on, and back from every chunk, the fewest whole
+chunks of at least that many bytes make a window. Every repeated run of chunks
+that is long enough is the union of its windows, whatever single chunks of it
+stand elsewhere. Windows are compared by 128-bit digests. Of the places of a
+digest the first one, by (id, offset), stays; the others, joined where they
+touch and lie at the same distance from their first places, make the spans.
+Spans with first places in different texts can overlap. Counting and the
+search for the first place are partially aggregated, and the join back splits
+by size, so a window that a third of all texts hold is no burden.
+
+Defined results: null, empty and shorter texts have no windows; repeats within a text
 count; equal texts repeat each other whole; a null id ranks first, its spans
 are reported too; rows that share an id are places of one document (the same
 offset of the same id is one place); an empty table gives an empty result;
@@ -29,7 +33,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .text import NON_SPACE, Slice, as_long, mix, slices
 
 CUT_BITS = 5
@@ -107,9 +110,21 @@ def _char_end(data: np.ndarray, at: int, hi: int) -> int:
     return at
 
 
-def chunk_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """``(d1, d2, id, start, len, words)`` of every chunk; ``words`` counts the
-    words that start in it."""
+def windows(start: np.ndarray, end: np.ndarray, row: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last chunk of the windows of at least ``least`` bytes, from
+    every chunk on and back from every chunk, each once."""
+    chunk = np.arange(len(end))
+    last = np.minimum(np.searchsorted(end, start + least), len(end) - 1)
+    first = np.maximum(np.searchsorted(start, end - least, "right") - 1, 0)
+    on = (end[last] - start >= least) & (row[last] == row)
+    back = (end - start[first] >= least) & (row[first] == row)
+    pairs = np.unique(np.concatenate([chunk[on] * len(end) + last[on], first[back] * len(end) + chunk[back]]))
+    return pairs // max(1, len(end)), pairs % max(1, len(end))
+
+
+def window_rows(docs: DataFrame, text: str, id_col: str, least: int) -> DataFrame:
+    """``(d1, d2, id, start, len, word, words)`` of every window; ``words`` counts
+    the words that start in it, ``word`` those before it."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,6 +138,11 @@ def chunk_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
                 end = np.concatenate(ends)
                 start = np.zeros_like(end)
                 start[1:] = end[:-1]
+                a, z = windows(start, end, row, least)
+                if not len(a):
+                    continue
+                start, end, row = start[a], end[z], row[a]
+                base = s.offs[row - s.lo]
                 inside = NON_SPACE[s.data]
                 first = inside.copy()
                 first[1:] &= ~inside[:-1]
@@ -134,31 +154,27 @@ def chunk_rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
                         np.cumsum(table[s.data] * up[:n], out=cum[1:])
                         digests.append(as_long(mix((cum[end] - cum[start]) * down[start] + (end - start).astype(np.uint64))))
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, digests), ids.take(pa.array(row)), pa.array(start - s.offs[row - s.lo]), pa.array((end - start).astype(np.int32)), pa.array((count[end] - count[start]).astype(np.int32))],
-                    names=["d1", "d2", "id", "start", "len", "words"],
+                    [*map(pa.array, digests), ids.take(pa.array(row)), pa.array(start - base), pa.array((end - start).astype(np.int32)), pa.array((count[start] - count[base]).astype(np.int32)), pa.array((count[end] - count[start]).astype(np.int32))],
+                    names=["d1", "d2", "id", "start", "len", "word", "words"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text)).mapInArrow(chunks, "d1 bigint, d2 bigint, id bigint, start bigint, len int, words int")
+    return docs.select(F.col(id_col), F.col(text)).mapInArrow(chunks, "d1 bigint, d2 bigint, id bigint, start bigint, len int, word int, words int")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_span: int = MIN_SPAN) -> DataFrame:
     """``(id, start_byte, end_byte, n_words, first_id, first_byte)``: spans that
     stood before, in document ``first_id`` from byte ``first_byte`` on."""
-    chunks = materialize(chunk_rows(docs, text, id_col), "chunks")
-    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("c"))
+    places = window_rows(docs, text, id_col, min_span)
+    first = places.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("c"))
     first = first.where("c >= 2").select("d1", "d2", "f")
-    again = chunks.join(first, ["d1", "d2"]).where(~F.struct("id", "start").eqNullSafe(F.col("f"))).select("id", "start", "len", "words", F.col("f.id").alias("first_id"), F.col("f.start").alias("first_byte")).distinct()
-    per = Window.partitionBy("id").orderBy("start")
-    gap = (
-        F.lag("first_id").over(per).eqNullSafe(F.col("first_id"))
-        & (F.lag(F.col("start") + F.col("len")).over(per) == F.col("start"))
-        & (F.lag(F.col("first_byte") + F.col("len")).over(per) == F.col("first_byte"))
-    )
-    spans = again.withColumn("_new", F.when(gap, 0).otherwise(1)).withColumn("_span", F.sum("_new").over(per)).groupBy("id", "_span").agg(
-        F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("len")).alias("end_byte"), F.sum("words").alias("n_words"),
-        F.first("first_id").alias("first_id"), F.min("first_byte").alias("first_byte"),
-    )
-    spans = spans.where(F.col("end_byte") - F.col("start_byte") >= min_span)
+    again = places.join(first, ["d1", "d2"]).where(~F.struct("id", "start").eqNullSafe(F.col("f")))
+    again = again.select("id", "start", (F.col("start") + F.col("len")).alias("end"), "word", (F.col("word") + F.col("words")).alias("word_end"), F.col("f.id").alias("first_id"), (F.col("f.start") - F.col("start")).alias("away")).distinct()
+    per = Window.partitionBy("id", "first_id", "away").orderBy("start", "end")
+    reach = F.max("end").over(per.rowsBetween(Window.unboundedPreceding, -1))
+    spans = again.withColumn("_new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("_span", F.sum("_new").over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("id", "first_id", "away", "_span").agg(
+        F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), (F.max("word_end") - F.min("word")).cast("long").alias("n_words"),
+    ).withColumn("first_byte", F.col("start_byte") + F.col("away"))
     return spans.select(F.col("id").alias(id_col), "start_byte", "end_byte", "n_words", "first_id", "first_byte")
 
 
@@ -178,7 +194,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min
                     data, out, pos = values[i].encode(), [], 0
                     for r in ranges:
                         out.append(data[pos : r["start_byte"]])
-                        pos = r["end_byte"]
+                        pos = max(pos, r["end_byte"])
                     values[i] = b"".join([*out, data[pos:]]).decode()
             columns = [pa.array(values, b.column(at).type) if k == at else b.column(k) for k in range(last)]
             yield pa.RecordBatch.from_arrays(columns, names=docs_names)

@@ -52,3 +52,37 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
 
 def test_empty_table(spark):
     assert C.repeated_spans(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_repeats_do_not_depend_on_unrelated_texts(spark):
+    rng = random.Random(21)
+    passage = " ".join(messy.sentence(rng, 55))
+    inner = chunked("x " * 20 + passage)
+    # every other chunk of the passage also stands in an earlier unrelated text
+    stray = [(k, " ".join(messy.sentence(rng, 30)) + inner[k].decode() + " ".join(messy.sentence(rng, 30))) for k in range(2, len(inner) - 1, 2)]
+    chain = [" ".join(messy.sentence(rng, 400))]
+    for k in range(1, 30):  # each copy edits the one before
+        copy = chain[-1].split()
+        copy[rng.randrange(len(copy))] = f"e{k}"
+        chain.append(" ".join(copy))
+    rows = stray + [(100, "x " * 20 + passage), (101, "y " * 30 + passage)] + [(200 + k, t) for k, t in enumerate(chain)]
+    df = messy.frame(spark, rows)
+    texts = {i: t.encode() for i, t in rows}
+    covered = {i: set() for i in texts}
+    for r in C.repeated_spans(df).collect():
+        a = texts[r.doc_id][r.start_byte : r.end_byte]
+        assert len(a) >= C.MIN_SPAN and a == texts[r.first_id][r.first_byte : r.first_byte + len(a)]
+        assert abs(r.n_words - len(a.split())) <= 1
+        covered[r.doc_id].update(range(r.start_byte, r.end_byte))
+    seen: set[bytes] = set()
+    for i, t in rows:  # brute force: all runs of chunks that are long enough
+        ends = [0]
+        for c in chunked(t):
+            ends.append(ends[-1] + len(c))
+        runs = [(a, b) for k, a in enumerate(ends) for b in ends[k + 1 : k + 12] if b - a >= C.MIN_SPAN]
+        assert covered[i] == {x for a, b in runs if texts[i][a:b] in seen for x in range(a, b)}
+        seen.update(texts[i][a:b] for a, b in runs)
+    begin = texts[101].index(passage.encode())
+    assert set(range(begin + 60, begin + len(passage) - 60)) <= covered[101]
+    left = {r.doc_id: (r.text or "").encode() for r in C.cut_repeats(df).collect()}
+    assert all(left[i] == bytes(x for k, x in enumerate(t) if k not in covered[i]) for i, t in texts.items())
