@@ -11,7 +11,7 @@ two neighbouring words of a match are neighbours in some item.
 The automaton goes to the executors as a broadcast. Items are cut into shards
 of at most ``SHARD_WORDS`` words (checked by summing word counts on the
 cluster), so its size is bounded; one pass is made per shard and the spans of
-all passes are merged per document. An item longer than a shard is cut into
+all passes are merged per document, before anything is decided or cut. An item longer than a shard is cut into
 pieces that overlap by ``window - 1`` words, which keeps all its windows.
 
 Words are maximal runs of 0-9, a-z and non-ASCII characters, A-Z lower-cased.
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .text import ALNUM, Slice, Words, slices, words
 
 WINDOW = 10
@@ -302,49 +303,113 @@ def remove_spans(
     """``docs`` without the hit words: matched spans are cut out, and the text
     is scanned again until nothing is left (a cut may bring words together).
     Documents of which more than ``max_coverage`` of the words are hit in the
-    first scan are dropped. Only the column ``text`` changes."""
+    first scan of all shards are dropped; the number of shards changes nothing. Only the column ``text`` changes."""
     sc = docs.sparkSession.sparkContext
-    for shard in shard_items(benchmark, text, item_col, window, shard_words):
-        machine = sc.broadcast(build_automaton(shard, window))
-
-        def clean(batches: Iterator[pa.RecordBatch], machine=machine) -> Iterator[pa.RecordBatch]:
-            automaton, _ = machine.value
-            for batch in batches:
-                at = batch.schema.get_field_index(text)
-                column = batch.column(at)
-                changed: dict[int, str | None] = {}
-                for s in slices(column):
-                    w = words(s, ALNUM)
-                    for row, ranges, _ in automaton.scan(s, w):
-                        total = int(w.rows[row + 1] - w.rows[row])
-                        if sum(b - a for a, b in ranges) > max_coverage * total:
-                            changed[s.lo + row] = None
-                        else:
-                            changed[s.lo + row] = _cut(automaton, s, w, row, ranges)
-                if changed:
-                    values = column.to_pylist()
-                    for i, t in changed.items():
-                        values[i] = t
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(values, column.type))
-                    drop = [i for i, t in changed.items() if t is None]
-                    keep = np.ones(batch.num_rows, dtype=bool)
-                    keep[drop] = False
-                    batch = batch.filter(pa.array(keep))
-                yield batch
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    machines = [sc.broadcast(build_automaton(x, window)) for x in shard_items(benchmark, text, item_col, window, shard_words)]
+    if len(machines) > 1:
+        return _remove_sharded(docs, machines, text, max_coverage)
+    (machine,) = machines
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, _ = machine.value
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            column = batch.column(at)
+            changed: dict[int, str | None] = {}
+            for s in slices(column):
+                w = words(s, ALNUM)
+                for row, ranges, _ in automaton.scan(s, w):
+                    total = int(w.rows[row + 1] - w.rows[row])
+                    if sum(b - a for a, b in ranges) > max_coverage * total:
+                        changed[s.lo + row] = None
+                    else:
+                        changed[s.lo + row] = _cut(automaton, s, w, row, ranges)
+            if changed:
+                values = column.to_pylist()
+                for i, t in changed.items():
+                    values[i] = t
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(values, column.type))
+                drop = [i for i, t in changed.items() if t is None]
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[drop] = False
+                batch = batch.filter(pa.array(keep))
+            yield batch
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _remove_sharded(docs: DataFrame, machines: list, text: str, max_coverage: float) -> DataFrame:
+    """``remove_spans`` over several shards: in every round all shards scan the
+    same texts, their spans are merged and cut together, and the texts that
+    were cut are scanned again. A text is known by its 128-bit digest."""
+    todo = docs.select(F.md5(F.col(text)).alias("_key"), F.col(text).alias("_text"))
+    done = []
+    while True:
+        hits = [_text_hits(todo, m) for m in machines]
+        every = hits[0]
+        for h in hits[1:]:
+            every = every.unionByName(h)
+        # equal texts have equal spans in a shard
+        spans = every.groupBy("_key").agg(F.max("_n").alias("_n"), F.flatten(F.collect_set("_spans")).alias("_spans"))
+        texts = todo.join(spans, "_key").dropDuplicates(["_key"])
+        cut = materialize(_cut_texts(texts, None if done else max_coverage), "decontam-round")
+        if cut.isEmpty():
+            break
+        done.append(cut)
+        todo = cut.where("_text IS NOT NULL")
+    if not done:
+        return docs
+    last = done[0]
+    for cut in done[1:]:
+        newer = cut.select(F.col("_key"), F.col("_text").alias("_newer"))
+        last = last.join(newer, "_key", "left").select("_key", F.coalesce("_newer", "_text").alias("_text"))
+    row = docs.select(F.struct("*").alias("_row"), F.md5(F.col(text)).alias("_key"))
+    joined = row.join(last.select("_key", F.col("_text").alias("_new"), F.lit(True).alias("_hit")), "_key", "left").where("_hit IS NULL OR _new IS NOT NULL")
+    return joined.select(F.col("_row").withField(f"`{text}`", F.coalesce("_new", F.col("_row")[text])).alias("_row")).select("_row.*")
+
+
+def _text_hits(texts: DataFrame, machine) -> DataFrame:
+    """``(_key, _n, _spans)`` of the texts with hits in one shard."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, _ = machine.value
+        for batch in batches:
+            at, n, spans = [], [], []
+            for s in slices(batch.column(1)):
+                w = words(s, ALNUM)
+                for row, ranges, _ in automaton.scan(s, w):
+                    at.append(s.lo + row)
+                    n.append(int(w.rows[row + 1] - w.rows[row]))
+                    spans.append([{"a": a, "b": b} for a, b in ranges])
+            if at:
+                span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(n, pa.int64()), pa.array(spans, span_type)], names=["_key", "_n", "_spans"])
+
+    return texts.mapInArrow(scan, "_key string, _n bigint, _spans array<struct<a:bigint,b:bigint>>")
+
+
+def _cut_texts(texts: DataFrame, max_coverage: float | None) -> DataFrame:
+    """``(_key, _text)`` without the hit words; null where more than
+    ``max_coverage`` of the words are hit."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, total, spans in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
+                ranges = merge_spans((x["a"], x["b"]) for x in spans)
+                if max_coverage is not None and sum(b - a for a, b in ranges) > max_coverage * total:
+                    out.append(None)
+                else:
+                    (s,) = slices(pa.array([t]))
+                    out.append(_without(s, words(s, ALNUM), 0, ranges).decode("utf-8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_key", "_text"])
+
+    return texts.select("_key", "_text", "_n", "_spans").mapInArrow(cut, "_key string, _text string")
 
 
 def _cut(automaton: ItemAutomaton, s: Slice, w: Words, row: int, ranges) -> str:
-    data = s.row(row).tobytes()
     while True:
-        base, first = int(s.offs[row]), int(w.rows[row])
-        out, at = [], 0
-        for a, b in ranges:
-            out.append(data[at : int(w.start[first + a]) - base])
-            at = int(w.end[first + b - 1]) - base
-        data = b"".join([*out, data[at:]])
+        data = _without(s, w, row, ranges)
         s, row = next(iter(slices(pa.array([data], pa.binary())))), 0
         w = words(s, ALNUM)
         left = list(automaton.scan(s, w))
@@ -353,6 +418,16 @@ def _cut(automaton: ItemAutomaton, s: Slice, w: Words, row: int, ranges) -> str:
         ranges = left[0][1]
 
 
+def _without(s: Slice, w: Words, row: int, ranges) -> bytes:
+    """The bytes of a row without the words of ``ranges``."""
+    data, base, first = s.row(row).tobytes(), int(s.offs[row]), int(w.rows[row])
+    out, at = [], 0
+    for a, b in ranges:
+        out.append(data[at : int(w.start[first + a]) - base])
+        at = int(w.end[first + b - 1]) - base
+    return b"".join([*out, data[at:]])
+
+
 def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return contamination_report(read("documents"), read("benchmark")).drop("spans")

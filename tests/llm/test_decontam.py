@@ -99,3 +99,26 @@ def test_automaton_lengths_against_brute_force():
                     want_hit |= set(range(j, j + m))
                     want_met.add(k)
         assert (hit, met) == (want_hit, want_met)
+
+
+def test_shards_change_no_cleaned_text(spark):
+    rng = random.Random(31)
+    docs, items = tables()
+    a, b = messy.sentence(rng, 12), messy.sentence(rng, 12)
+    items += [(60, " ".join(a)), (61, " ".join(b))]
+    body = messy.sentence(rng, 16)
+    docs += [
+        (20_001, " ".join(a + body + b)),  # 30 % and 30 % in two items
+        (20_002, " ".join(messy.sentence(rng, 40) + a[:6] + b + a[6:] + messy.sentence(rng, 40))),  # one cut makes the other passage
+        (20_003, " ".join(messy.sentence(rng, 40) + b[:6] + a + b[6:] + messy.sentence(rng, 40))),
+        (None, None), (None, docs[-1][1]), (20_001, "another text"),
+    ]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = messy.frame(spark, docs)
+    got = [sorted(map(str, D.remove_spans(df, bench, shard_words=n).collect())) for n in (100_000, 30)]
+    assert got[0] == got[1]
+    rows = [(r.doc_id, r.text) for r in D.remove_spans(df, bench, shard_words=30).collect()]
+    assert [t for i, t in rows if i == 20_001] == ["another text"] and {20_002, 20_003} <= {i for i, _ in rows}
+    assert not any(x[4] for x in brute(enumerate(t for _, t in rows), items).values())
+    assert D.remove_spans(df.where("false"), bench, shard_words=30).count() == 0
+    assert D.remove_spans(df.where("doc_id = 20001 AND text = 'another text'"), bench, shard_words=30).columns == df.columns
