@@ -12,7 +12,8 @@ probabilities of all its tokens.
 
 Training sees every document: in each round every task starts from the
 broadcast network, masks every ``MASK_EVERY``-th token of each of its texts
-(another one each round) and runs AdaGrad steps in NumPy; the parameter rows
+(the next ones each round, so that in ``MASK_EVERY`` rounds every token is
+predicted once) and runs AdaGrad steps in NumPy; the parameter rows
 it touched come out weighted by how often it touched them, and Spark sums
 them over all tasks (partially aggregated; the driver receives one network of
 fixed size). What is gathered thus grows with the corpus, and a lost task is
@@ -38,8 +39,7 @@ SIDE = 64
 VOCAB = SIDE * SIDE
 DIM = 16
 OFFSETS = (-2, -1, 1, 2)
-ROUNDS = 2
-MASK_EVERY = 8
+MASK_EVERY = 2
 BATCH = 1024
 RATE = 0.1
 
@@ -134,13 +134,17 @@ class Learner:
 
     def _scatter(self, row: np.ndarray, grad: np.ndarray) -> None:
         order = np.argsort(row, kind="stable")
-        at, first, count = np.unique(row[order], return_index=True, return_counts=True)
-        sums = np.add.reduceat(grad[order], first, axis=0) / count[:, None]
-        self._move(at, np.pad(sums, ((0, 0), (0, 1))).astype(np.float32), count)
+        row = row[order]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        count = np.diff(first, append=len(row))
+        sums = np.zeros((len(first), WIDTH), dtype=np.float32)
+        sums[:, :DIM] = np.add.reduceat(grad[order], first, axis=0) / count[:, None]
+        self._move(row[first], sums, count)
 
     def _move(self, row: np.ndarray, grad: np.ndarray, count) -> None:
-        self.square[row] += grad * grad
-        self.net[row] -= RATE * grad / np.sqrt(self.square[row])
+        square = self.square[row] + grad * grad
+        self.square[row] = square
+        self.net[row] -= RATE * grad / np.sqrt(square)
         self.touched[row] += count
 
 
@@ -154,7 +158,7 @@ def train_round(docs: DataFrame, net: np.ndarray, round_: int, text: str, every:
         n = 0
         for b in batches:
             for s in slices(b.column(0)):
-                token, ctx, _ = contexts(s, every, round_ * (every // 2 + 1))
+                token, ctx, _ = contexts(s, every, round_)
                 held.append((token, ctx))
                 n += len(token)
                 if n >= BATCH:
@@ -182,9 +186,10 @@ def train_round(docs: DataFrame, net: np.ndarray, round_: int, text: str, every:
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, every: int = MASK_EVERY) -> np.ndarray:
+def fit(docs: DataFrame, text: str = "text", rounds: int | None = None, every: int = MASK_EVERY) -> np.ndarray:
+    """The network after ``rounds`` passes (``every`` of them unless given)."""
     net = initial()
-    for k in range(rounds):
+    for k in range(every if rounds is None else rounds):
         net = train_round(docs, net, k, text, every)
     return net
 

@@ -56,3 +56,16 @@ def test_empty_table(spark):
     assert P.score_documents(docs, P.fit(docs)).count() == 0
     nulls = spark.createDataFrame([(None, None), (1, "")], "doc_id bigint, text string")
     assert [(r.n_tokens, r.pll, r.mean_pll) for r in P.score_documents(nulls, P.fit(nulls)).collect()] == [(0, 0.0, None)] * 2
+
+
+def test_every_column_of_fixed_records_is_learnt(spark):
+    rng = random.Random(13)
+    rows = [[f"c{k}v{rng.randrange(2)}" for k in range(8)] for _ in range(4000)]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id bigint, text string").repartition(2)
+    net = P.fit(df)
+    (s,) = slices(pa.array([" ".join(x) for x in rows[:200]]))
+    token, ctx, _ = P.contexts(s)
+    gain = (P.log_probs(net, token, ctx) - P.log_probs(P.initial(), token, ctx)).reshape(200, 8).mean(axis=0)
+    assert gain.min() > 2 and gain.min() > 0.5 * gain.max()
+    seen = np.sort(np.concatenate([np.flatnonzero(np.arange(40) % P.MASK_EVERY == k % P.MASK_EVERY) for k in range(P.MASK_EVERY)]))
+    assert seen.tolist() == list(range(40))
