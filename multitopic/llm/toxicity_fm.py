@@ -12,11 +12,13 @@ follow-the-regularised-leader with an L1 penalty, the factors by AdaGrad on
 the terms whose linear weight is not zero; the thousands of neutral terms of a
 long text thus add nothing to its score.
 
-Fitting takes a bounded sample of the labelled rows (parameters
-``sample_rows`` and ``sample_chars``: the labelled ids with the smallest
-hashes) of the training folds only, on the driver, in NumPy. The model has a
-fixed size and goes to the executors as a broadcast; scoring reads every text
-whole.
+Fitting takes a bounded sample of the labelled rows (the ``sample_rows``
+labelled ids with the smallest hashes) of the training folds only, on the
+driver, in NumPy. The executors send packed term sets, of about two bytes a
+distinct term and at most 264 kB a row however long its text; ids whose sets
+do not fit into what is left of ``sample_bytes`` are passed over, those after
+them are still taken. The model has a fixed size and goes to the executors as
+a broadcast; scoring reads every text whole.
 
 Defined results: null and empty texts score the bias alone; a null id is in
 fold 0; an id labelled several times counts with its largest label; null
@@ -27,22 +29,23 @@ repeated rows; further columns are ignored (or kept, by ``drop_toxic``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import materialize
 from .text import ALNUM, Slice, mix, slices, words
 
 BITS = 18
 RANK = 4
 THRESHOLD = 0.7
-SAMPLE_ROWS = 8_000
-SAMPLE_CHARS = 32_000_000
+SAMPLE_ROWS = 16_000
+SAMPLE_BYTES = 64_000_000
 #: examples seen in fitting, in at most EPOCHS passes over the sample
 VISITS = 64_000
 EPOCHS = 16
@@ -57,6 +60,27 @@ def term_codes(s: Slice) -> tuple[list[np.ndarray], np.ndarray]:
         return [(mix(h + np.uint64(7919 * k + 1)) >> np.uint64(64 - BITS)).astype(np.int64) for k, h in enumerate(kinds)], w.rows
 
 
+def pack(codes: np.ndarray) -> bytes:
+    """A sorted set of slots as gaps: a byte 255 for every 255, then the rest."""
+    gap = np.diff(codes, prepend=0)
+    out = np.full(len(gap) + int((gap // 255).sum()), 255, dtype=np.uint8)
+    out[np.cumsum(gap // 255 + 1) - 1] = gap % 255
+    return out.tobytes()
+
+
+class Packed(Sequence):
+    """Packed term sets, unpacked one by one when asked for."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.rows = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for chunk in column.chunks for x in chunk]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return np.cumsum(self.rows[k], dtype=np.int64)[self.rows[k] < 255]
+
+
 @dataclass
 class Machine:
     bias: float
@@ -86,7 +110,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(sets: list[np.ndarray], label: np.ndarray, visits: int = VISITS, batch: int = 32, l1: float = 6.0, l2: float = 1.0, rate: float = 1.0, seed: int = 1) -> Machine:
+def fit(sets: Sequence[np.ndarray], label: np.ndarray, visits: int = VISITS, batch: int = 32, l1: float = 6.0, l2: float = 1.0, rate: float = 1.0, seed: int = 1) -> Machine:
     """Fit on term sets and 0/1 labels, in a fixed random order."""
     rng = np.random.default_rng(seed)
     size = 1 << BITS
@@ -130,27 +154,32 @@ def fold(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int = 1, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, held_out: int = 1, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Machine:
     """Fit on labelled rows outside fold ``held_out``."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     marked = marked.where(fold("doc_id") != held_out).withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
-    run = Window.orderBy("_h", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = rows.select("doc_id", "_h", F.length("text").alias("n")).withColumn("sum", F.sum("n").over(run)).where(F.col("sum") <= sample_chars)
-    rows = rows.join(F.broadcast(sizes.select("doc_id").distinct()), "doc_id").select("_h", "doc_id", "text", "y")
+    rows = rows.select("_h", "doc_id", "text", "y")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = []
             for s in slices(b.column(2)):
                 codes, at = term_codes(s)
-                sets += [np.unique(np.concatenate([c[x:y] for c in codes])).astype(np.int32) for x, y in zip(at[:-1], at[1:], strict=True)]
-            offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), b.column(3).cast(pa.int32())], names=["_h", "doc_id", "terms", "y"])
-
-    got = rows.mapInArrow(terms, "_h bigint, doc_id bigint, terms array<int>, y int").orderBy("_h", "doc_id").toArrow()
-    sets = [x.values.to_numpy() for chunk in got.column("terms").chunks for x in chunk]
+                sets += [pack(np.unique(np.concatenate([c[x:y] for c in codes]))) for x, y in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary()), b.column(3).cast(pa.int32())], names=["_h", "doc_id", "terms", "y"])
+
+    packed = materialize(rows.mapInArrow(terms, "_h bigint, doc_id bigint, terms binary, y int"), "term-sets")
+    skipped, room = [], sample_bytes
+    for r in packed.groupBy("_h", "doc_id").agg(F.sum(F.length("terms")).alias("n")).orderBy("_h", "doc_id").collect():  # at most sample_rows rows
+        if r.n <= room:
+            room -= r.n
+        else:
+            skipped.append((r.doc_id,))
+    if skipped:
+        packed = packed.join(F.broadcast(docs.sparkSession.createDataFrame(skipped, "doc_id bigint")), "doc_id", "left_anti")
+    got = packed.orderBy("_h", "doc_id", "terms").select("terms", "y").toArrow()
+    sets = Packed(got.column("terms"))
     machine = fit(sets, (got.column("y").to_numpy() > 0).astype(float))
     del sets, got
     pa.default_memory_pool().release_unused()

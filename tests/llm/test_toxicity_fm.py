@@ -2,8 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from multitopic.llm import toxicity_fm as T
+from multitopic.llm.text import slices
 
 from . import messy
 
@@ -60,3 +63,23 @@ def test_nothing_to_learn_from(spark):
     kept = T.drop_toxic(docs, none)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert {r.score for r in kept.collect()} == {"own score"}
+
+
+def test_only_rows_that_do_not_fit_are_passed_over(spark):
+    assert T.SAMPLE_ROWS >= 16_000
+    for codes in ([], [0], [254, 255, 256], [T.BITS, (1 << T.BITS) - 1], range(1 << T.BITS)):
+        (back,) = T.Packed(pa.chunked_array([pa.array([T.pack(np.array(codes, dtype=np.int64))], pa.binary())]))
+        assert back.tolist() == list(codes)
+    rows, labels = corpus()
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = [r.doc_id for r in marks.where(T.fold("doc_id") != 1).orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    long = " ".join(f"q{k}" for k in range(100_000))
+    first = docs.withColumn("text", F.when(F.col("doc_id") == order[0], F.lit(long)).otherwise(F.col("text")))
+    (part,) = slices(pa.array([long]))
+    size = len(T.pack(np.unique(np.concatenate(T.term_codes(part)[0]))))
+    a = T.train(first, marks)
+    b = T.train(first, marks, sample_bytes=size - 1)  # all but the first id
+    assert not np.array_equal(a.weight, b.weight)
+    c = T.train(docs.where(F.col("doc_id") != order[0]), marks, sample_bytes=size - 1)
+    assert np.array_equal(b.weight, c.weight) and b.bias == c.bias != T.fit([], np.zeros(0)).bias
