@@ -7,13 +7,14 @@ a document enters the mix; documents with none are left out). ``run`` writes
 every stage's rows as Parquet to the shared checkpoint folder and reads them
 back as the next stage's ``docs``.
 
-Stages decide on ids where their operator does: rows that share an id are
-kept or dropped together. Rows without an id are kept by the n-gram join.
+The n-gram join decides on ids, as its operator does: rows that share an id are
+kept or dropped together, rows without an id are kept. The source mix decides
+on rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from multitopic.llm import decontam, entropy_mix, exact_dedup, ngram_join, toxicity_fm
@@ -44,9 +45,15 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = entropy_mix.mix_sources(docs)
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.drop("copies").join(copies, "doc_id").where("copies > 0")
+    """Every row gets the copies dealt to it, with or without an id of its own:
+    rows are met by id, text and source, rows equal in these one by one."""
+    key, number = "_row_key", "_row_number"
+    while key in docs.columns or number in docs.columns:
+        key, number = key + "_", number + "_"
+    docs = docs.drop("copies").withColumn(key, F.md5(F.to_json(F.struct("doc_id", "text", "source"))))
+    numbered = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))
+    mixed = entropy_mix.mix_sources(docs, keep=(key,)).select(key, "copies").withColumn(number, numbered)
+    return docs.withColumn(number, numbered).join(mixed, [key, number]).where("copies > 0").drop(key, number)
 
 
 STAGES = [

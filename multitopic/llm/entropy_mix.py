@@ -135,18 +135,20 @@ def round_rates(rated: DataFrame, key: str, max_copies: int, group_rows: int = 1
 
 
 def mix_sources(
-    docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", total_share: float = 1.5, max_copies: int = 2
+    docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", total_share: float = 1.5, max_copies: int = 2,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, size, source, source_size, target, rate, copies, taken."""
+    """One row per document: id, size, source, source_size, target, rate, copies,
+    taken, and the columns ``keep`` of ``docs``."""
     src = F.coalesce(F.concat(F.lit("\u0001"), F.col(source).cast("string")), F.lit("\U0010ffff"))
     sized = docs.select(
         F.col(id_col).alias(id_col), F.col(source).alias("source"), src.alias("_src"), word_count(text).alias("size"),
-        F.xxhash64(F.col(id_col), F.col(text)).alias("_key"),
+        F.xxhash64(F.col(id_col), F.col(text)).alias("_key"), *keep,
     )
     rated = document_rates(materialize(sized, "sized"), total_share, max_copies)
     out = round_rates(rated, "_key", max_copies)
     return out.select(
-        id_col, "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+        id_col, "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *keep
     )
 
 

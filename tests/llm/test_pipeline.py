@@ -76,3 +76,21 @@ def test_stages_and_queries_are_registered():
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+def test_source_mix_decides_on_rows(spark):
+    from multitopic.llm import entropy_mix
+
+    rng = random.Random(41)
+    rows = [(k, " ".join(messy.sentence(rng, rng.randrange(5, 60))), f"s{k % 3}") for k in range(300)]
+    rows += [(None, " ".join(messy.sentence(rng, rng.randrange(5, 60))), None if k % 2 else "s1") for k in range(60)]
+    rows += [(k % 10, " ".join(messy.sentence(rng, 10 + 20 * (k % 7))), f"s{k % 3}") for k in range(90)]  # shared ids
+    rows += [rows[0]] * 5 + [(None, None, "s0"), (None, "", "s0")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    mixed = entropy_mix.mix_sources(df).where("copies > 0").collect()
+    got = P.source_mix(spark, df, "").collect()
+    assert P.source_mix(spark, df, "").columns == [*df.columns, "copies"]
+    size = lambda t: len(messy.space_words(t))
+    as_rows = lambda x: sorted(map(str, x))
+    assert as_rows((r.doc_id, size(r.text), r.source, r.copies) for r in got) == as_rows((r.doc_id, r.size, r.source, r.copies) for r in mixed)
+    assert sum(r.doc_id is None for r in got) > 20
