@@ -11,6 +11,7 @@ from . import (
     license_scan,
     ngram_join,
     pseudo_likelihood,
+    quality_rules,
     toxicity_fm,
     warc,
 )
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_pseudo_likelihood": pseudo_likelihood.op9_pseudo_likelihood,
     "op10_entropy_mix": entropy_mix.op10_entropy_mix,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
 }
 
 ORACLE = {
@@ -34,4 +36,5 @@ ORACLE = {
     "op4_license_scan": license_scan.ORACLE,
     "op5_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_quality_rules": quality_rules.ORACLE,
 }

@@ -31,7 +31,9 @@ def _byte_table(seed: int) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TABLE = _byte_table(20240501)[_LOWER]
+#: byte values of the hashes: letters by case, and A-Z as a-z
+CASED = _byte_table(20240501)
+_TABLE = CASED[_LOWER]
 
 #: words [^\x20\x09-\x0D]+
 NON_SPACE = np.ones(256, dtype=bool)
@@ -117,12 +119,15 @@ class Words:
 
     def prefix_hash(self, size: int) -> np.ndarray:
         """Hash of the first ``size`` bytes of each word (the whole if shorter)."""
+        return self.span_hash(self.start, np.minimum(self.end, self.start + size))
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes ``start..end`` of the slice, for each pair."""
         with np.errstate(over="ignore"):
-            end = np.minimum(self.end, self.start + size)
-            return mix((self.cum[end] - self.cum[self.start]) * _inv[self.start])
+            return mix((self.cum[end] - self.cum[start]) * _inv[start])
 
 
-def words(s: Slice, kind: np.ndarray) -> Words:
+def words(s: Slice, kind: np.ndarray, table: np.ndarray = _TABLE) -> Words:
     n = len(s.data)
     pw, iv = _powers(n + 1)
     inside = kind[s.data]
@@ -138,7 +143,7 @@ def words(s: Slice, kind: np.ndarray) -> Words:
     end = np.flatnonzero(inside & ~after) + 1
     cum = np.zeros(n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_TABLE[s.data] * pw[:n], out=cum[1:])
+        np.cumsum(table[s.data] * pw[:n], out=cum[1:])
         h = mix((cum[end] - cum[start]) * iv[start]) if n else np.zeros(0, np.uint64)
     return Words(start, end, h, np.searchsorted(start, s.offs), cum)
 
