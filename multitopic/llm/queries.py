@@ -8,6 +8,7 @@ from . import (
     decontam,
     entropy_mix,
     exact_dedup,
+    hard_negatives,
     license_scan,
     ngram_join,
     pseudo_likelihood,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_pseudo_likelihood": pseudo_likelihood.op9_pseudo_likelihood,
     "op10_entropy_mix": entropy_mix.op10_entropy_mix,
     "op11_quality_rules": quality_rules.op11_quality_rules,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
 ORACLE = {
@@ -37,4 +39,5 @@ ORACLE = {
     "op5_warc": warc.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op11_quality_rules": quality_rules.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
