@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_path, materialize, scratch_path, source_path
+from .vectors import is_finite, scaled
 
 SCALE = 256
 ANCHOR_EVERY = 100
@@ -55,18 +56,12 @@ EXACT = 53
 _LONG = np.iinfo(np.int64)
 
 
-def usable(vectors: DataFrame, embedding: str = "embedding", label: str = "label") -> DataFrame:
-    """The rows that take part."""
-    finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.where(F.col(label).isNotNull() & F.col(embedding).isNotNull() & finite)
-
-
 def integer_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """``(row, id, label, v)`` of the rows that take part; ``row`` tells rows of
     the written table apart."""
-    v = F.transform(embedding, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("bigint"))
-    return usable(vectors, embedding, label).select(
-        F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("bigint").alias("id"), F.col(label).cast("bigint").alias("label"), v.alias("v")
+    return vectors.where(F.col(label).isNotNull() & is_finite(embedding)).select(
+        F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("bigint").alias("id"), F.col(label).cast("bigint").alias("label"),
+        scaled(embedding, SCALE).alias("v"),
     )
 
 

@@ -9,6 +9,7 @@ from . import (
     entropy_mix,
     exact_dedup,
     hard_negatives,
+    heap_kmeans,
     license_scan,
     ngram_join,
     pseudo_likelihood,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_entropy_mix": entropy_mix.op10_entropy_mix,
     "op11_quality_rules": quality_rules.op11_quality_rules,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_heap_kmeans": heap_kmeans.op13_heap_kmeans,
 }
 
 ORACLE = {
@@ -40,4 +42,5 @@ ORACLE = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op11_quality_rules": quality_rules.ORACLE,
     "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_heap_kmeans": heap_kmeans.ORACLE,
 }
