@@ -23,9 +23,12 @@ documents link when ``100 * intersection >= percent * union``.
    each set is verified against one set of the signature's group as long as
    the group has several components; what then is still in different
    components of a group is joined as pairs whose size and bitmap bounds
-   (exact upper bounds of the overlap) allow a link, and verified. Every link
+   (exact upper bounds of the overlap) allow a link, and verified. Groups of
+   more than ``HOT`` sets are not joined by their signature but by longer keys
+   that take the sizes of both sides into account. Every link
    thus has its ends in one component, and groups of near copies cost one row
-   a set. The star hubs differ by round.
+   a set. The star hubs differ by round. Between the rounds a few steps of label
+   propagation stand for the components, which are solved once at the end.
 6. Verification counts the intersection of whole sets.
 
 Defined results: null, empty and wordless texts have the empty set and link
@@ -45,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import drop_path, materialize, source_path
 from .components import connected_components
 from .text import NON_SPACE, as_long, mix, shingles, slices, words
 
@@ -56,6 +59,11 @@ BLOCK = 1 << 22
 #: sets that may hold a rare token
 RARE = 64
 STARS = 2
+#: sets of a signature above which the sizes of both sides enter the key; size bands of these keys
+HOT = 64
+#: steps of the labels between the rounds
+JUMPS = 2
+NARROW = 0.02
 #: bits of the bitmap bound (sets of more tokens also have a wider bitmap), bits of the candidate filter
 BITS = 1024
 FILTER_BITS = 1 << 24
@@ -232,19 +240,17 @@ def _bitmap_allows(a: str, b: str, percent: int) -> str:
     return f"100 * {low} >= {percent} * {high} AND {100 - percent} * ({a}.n + {b}.n) >= {100 + percent} * ({diff})"
 
 
-def _tight(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the wider bitmaps allow too (sets within the threshold
-    have bitmaps of the same size, or one of twice the other's)."""
-    info = nodes.select("node", F.struct("n", "wide").alias("_v"))
-    p = pairs.join(info.withColumnsRenamed({"node": "a", "_v": "x"}), "a").join(info.withColumnsRenamed({"node": "b", "_v": "y"}), "b")
-    p = p.withColumn("s", F.least(F.size("x.wide"), F.size("y.wide")))
-    half = lambda c: F.expr(
-        f"CASE WHEN size({c}) = 2 * s THEN zip_with(slice({c}, 1, s), slice({c}, s + 1, s), (a, b) -> a ^ b) ELSE {c} END"
-    )
-    p = p.withColumn("u", half("x.wide")).withColumn("v", half("y.wide"))
-    diff = F.expr("aggregate(zip_with(u, v, (a, b) -> bit_count(a ^ b)), 0, (t, c) -> t + c)")
-    allowed = F.lit(100 - percent) * (F.col("x.n") + F.col("y.n")) >= F.lit(100 + percent) * diff
-    return p.where(F.coalesce((F.size("u") != F.size("v")) | allowed, F.lit(True))).select("a", "b")
+def _wide_allows(a: str, b: str, percent: int):
+    """The same with the wider bitmaps (sets within the threshold have bitmaps
+    of the same size, or one of twice the other's, which is folded)."""
+    size = F.least(F.size(f"{a}.wide"), F.size(f"{b}.wide"))
+    half = lambda c: F.when(
+        F.size(c) == 2 * size, F.zip_with(F.slice(c, 1, size), F.slice(c, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+    ).otherwise(F.col(c))
+    u, v = half(f"{a}.wide"), half(f"{b}.wide")
+    diff = F.aggregate(F.zip_with(u, v, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    allowed = F.lit(100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) >= F.lit(100 + percent) * diff
+    return F.coalesce((F.size(u) != F.size(v)) | allowed, F.lit(True))
 
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -271,7 +277,9 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
     found = keyed.mapInArrow(sets, "node bigint, d1 bigint, d2 bigint, set array<bigint>")
-    return found.join(nodes, ["node", "d1", "d2"], "left_semi").select("node", "set").distinct()
+    out = materialize(found.join(nodes, ["node", "d1", "d2"], "left_semi").select("node", "set").distinct(), "sets")
+    known.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -291,6 +299,7 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = spark.sparkContext.broadcast(heavy_tokens(docs, size))
     rows = materialize(prefix_regions(docs, size, percent, heavy), "regions")
+    heavy.destroy()
     keyed = rows.where("doc_id IS NOT NULL AND n > 0")
     nodes = keyed.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     nodes = materialize(nodes, "nodes")
@@ -301,37 +310,47 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     heads = nodes.where("n >= 6").select(F.col("node").alias("doc_id"), "d1")
     shared = token.join(held, "token").join(heads, ["doc_id", "d1"], "left_semi")
     shared = shared.groupBy(F.col("doc_id").alias("node"), "n", "d1").agg(F.collect_set(F.struct("at", "token", "df")).alias("list"))
-    sigs = materialize(signatures(shared, percent, rare), "sigs")
-    several = sigs.groupBy("sig").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("sig")
-    sigs = materialize(sigs.join(several, "sig", "left_semi"), "sigs")
+    every = materialize(signatures(shared, percent, rare), "sigs")
+    several = every.groupBy("sig").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("sig")
+    sigs = materialize(every.join(several, "sig", "left_semi"), "sigs")
+    drop_path(spark, source_path(every))
 
-    links = None
-    comp = None
-    tested = None
+    comp = tested = links = None
     for turn in range(STARS + 1):
-        at = sigs if comp is None else sigs.join(comp, "node", "left")
-        at = at.withColumn("comp", F.col("node") if comp is None else F.coalesce("comp", "node"))
+        info = nodes.select("node", "n", F.col("bits").alias("w"), "wide")
+        info = info.withColumn("comp", F.col("node")) if comp is None else info.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        at = sigs.join(info.select("node", "comp"), "node") if comp is not None else sigs.withColumn("comp", F.col("node"))
         hub = F.min("node") if turn == 0 else F.min_by("node", F.xxhash64("node", F.lit(turn)))
-        groups = at.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), hub.alias("hub")).where("_lo < _hi")
+        groups = at.groupBy("sig").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), hub.alias("hub"), F.count("*").alias("held")).where("_lo < _hi")
         if turn < STARS:
-            ends = at.select("node", F.col("comp")).distinct()
             mixed = at.join(groups.select("sig", "hub"), "sig").where("node <> hub")
             pairs = mixed.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-            pairs = _may_link(pairs, ends, nodes, percent)
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = materialize(_may_link(pairs, info, percent), "pairs")
         else:
-            pairs = _across(at.join(groups.select("sig"), "sig", "left_semi"), nodes, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(_tight(pairs, nodes, percent), "pairs")
+            members = materialize(at.join(groups.select("sig", "held"), "sig"), "members")
+            few = members.where(F.col("held") <= HOT).select(F.col("sig").alias("key"), F.lit(2).alias("side"), "node")
+            pairs = _across(few, info, percent)
+            hot = materialize(members.where(F.col("held") > HOT).select("node").distinct(), "hot")
+            if not hot.isEmpty():
+                crowd = materialize(_prefix_keys(hot, keyed, nodes, percent), "crowd")
+                pairs = pairs.unionByName(_across(crowd, info, percent)).distinct()
+            pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
         if pairs.isEmpty():
-            if turn < STARS:
-                continue
-            break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = candidate_sets(docs, materialize(ends.join(nodes.select("node", "d1", "d2"), "node"), "ends"), size)
-        good = materialize(verified(pairs, materialize(sets, "sets"), percent), "links")
-        links = good if links is None else links.unionByName(good)
+        ends = materialize(ends.join(nodes.select("node", "d1", "d2"), "node"), "ends")
+        sets = candidate_sets(docs, ends, size)
+        found = materialize(verified(pairs, sets, percent), "links")
+        for done in (ends, sets):
+            drop_path(spark, source_path(done))
+        links = found if links is None else links.unionByName(found)
+        if turn < STARS:
+            comp = _labels(links)
+    drop_path(spark, source_path(sigs))
+    if links is not None:
         comp = materialize(connected_components(links), "comp")
 
     out = rows.select("doc_id", "n", "d1", "d2").join(nodes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"], "left")
@@ -341,20 +360,65 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _may_link(pairs: DataFrame, ends: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _labels(links: DataFrame) -> DataFrame:
+    """``(node, comp)`` by a few steps towards the smallest node that links
+    reach: nodes of one label are in one component (but not the reverse), which
+    is enough to leave out pairs. The components are solved once, at the end."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = materialize(ends.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp")), "labels")
+    for _ in range(JUMPS):
+        up = near.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
+        after = materialize(near.join(up, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")), "labels")
+        drop_path(links.sparkSession, source_path(near))
+        near = after
+    return near
+
+
+def _may_link(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that the bounds allow."""
-    side = ends.join(nodes.select("node", "n", F.col("bits").alias("w")), "node")
-    info = F.struct("comp", "n", "w")
-    p = pairs.join(side.select(F.col("node").alias("a"), info.alias("x")), "a").join(side.select(F.col("node").alias("b"), info.alias("y")), "b")
-    return p.where("x.comp <> y.comp").where(_bitmap_allows("x", "y", percent)).select("a", "b").distinct()
+    side = F.struct("comp", "n", "w", "wide")
+    p = pairs.join(info.select(F.col("node").alias("a"), side.alias("x")), "a").join(info.select(F.col("node").alias("b"), side.alias("y")), "b")
+    return p.where("x.comp <> y.comp").where(_bitmap_allows("x", "y", percent)).where(_wide_allows("x", "y", percent)).select("a", "b")
 
 
-def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a signature's sets in different components that the bounds allow."""
-    m = members.select("sig", "node", "comp").join(nodes.select("node", "n", F.col("bits").alias("w")), "node")
+def _across(members: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a key's sets in different components that the bounds allow; sets
+    of side 0 meet those of side 1, sets of side 2 each other."""
+    m = members.join(info, "node")
     left, right = m.alias("x"), m.alias("y")
-    on = F.expr(f"x.sig = y.sig AND x.node < y.node AND x.comp <> y.comp AND {_bitmap_allows('x', 'y', percent)}")
-    return left.join(right, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    sides = "(x.side = 0 AND y.side = 1) OR (x.side = 2 AND x.node < y.node)"
+    on = F.expr(f"x.key = y.key AND ({sides}) AND x.comp <> y.comp AND {_bitmap_allows('x', 'y', percent)}")
+    near = left.join(right, on).where(_wide_allows("x", "y", percent))
+    return near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _prefix_keys(hot: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``(key, side, node)``: keys that the linked ones among ``hot`` sets share.
+
+    For the sets of a crowded signature the sizes of both sides count. Sets x
+    and y within the threshold share at least p (|x| + |y|) / (100 + p) tokens,
+    so their first common token in the global order has at most |x| minus that
+    many tokens before it in x, and so in y. Sizes are taken in narrow bands; a
+    key is a pair of bands, the set's own and another's (the lower one is side 0,
+    the upper one side 1; 2 if they are the same), and a token that low in the
+    set. Texts of one template with more words of their own than the threshold
+    allows have only these words so low and share no key."""
+    own = rows.select("doc_id", "d1", "d2", "n", "region").join(nodes.select(F.col("node").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi")
+    own = own.join(hot.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    band = F.floor(F.log("n") / NARROW)
+    reach = math.ceil(math.log(100 / percent) / NARROW) + 1
+    token = own.select(F.col("doc_id").alias("node"), "n", band.alias("band"), F.posexplode("region").alias("at", "token"))
+    token = token.where(100 * F.col("at") <= (100 - percent) * F.col("n"))
+    token = materialize(token, "crowd-tokens")
+    common = token.groupBy("token").agg(F.count("*").alias("held")).where("held >= 2").select("token")
+    other = token.join(common, "token").withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
+    least = F.exp(F.col("other") * NARROW)  # a set of that band has at least so many tokens
+    low = (100 + percent) * F.col("at") <= (100 + percent) * F.col("n") - percent * (F.col("n") + least) + 1
+    key = F.xxhash64(F.least("band", "other"), F.greatest("band", "other"), "token").alias("key")
+    side = F.when(F.col("band") < F.col("other"), 0).when(F.col("band") > F.col("other"), 1).otherwise(2).alias("side")
+    held = materialize(other.where(low).select(key, side, "node").distinct(), "crowd-keys")
+    meet = held.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("n > 1 AND (lo = 2 OR lo < hi)")
+    return held.join(meet.select("key"), "key", "left_semi")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

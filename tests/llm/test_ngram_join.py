@@ -35,8 +35,10 @@ def brute(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("rare", [64, 3])
-def test_components_match_brute_force(spark, rare):
+@pytest.mark.parametrize("rare,hot,stars", [(64, 64, 2), (3, 64, 2), (64, 1, 0)])
+def test_components_match_brute_force(spark, rare, hot, stars, monkeypatch):
+    monkeypatch.setattr(J, "HOT", hot)  # signatures above it go by the longer keys
+    monkeypatch.setattr(J, "STARS", stars)
     rows = messy.documents()
     got = {r[0]: (r[1], r[2]) for r in J.link_components(messy.frame(spark, rows), rare=rare).collect()}
     want = brute(rows)
@@ -94,3 +96,17 @@ def test_bitmap_bound_never_refuses_a_link(spark):
     for a, b in zip(got, got[1:]):
         diff = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a.bits, b.bits))
         assert diff <= len(sets[a.doc_id] ^ sets[b.doc_id])
+
+
+def test_texts_of_one_template_share_no_crowded_key(spark, monkeypatch):
+    """400 equal and 55 own words: similarity 0.78 links nothing, and the longer
+    keys of the crowded signatures pair nothing either."""
+    rng = random.Random(4)
+    common = messy.sentence(rng, 400, 10**6)
+    rows = [(k, " ".join(common + [f"o{k}x{j}" for j in range(55)])) for k in range(200)]
+    crowds = []
+    keys = J._prefix_keys
+    monkeypatch.setattr(J, "_prefix_keys", lambda *a: crowds.append(keys(*a)) or crowds[-1])
+    got = J.link_components(spark.createDataFrame(rows, "doc_id bigint, text string"), rare=16).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 452 for r in got)
+    assert len(crowds) == 1 and crowds[0].count() == 0
