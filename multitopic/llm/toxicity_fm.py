@@ -178,11 +178,23 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 1, sample_rows: in
             skipped.append((r.doc_id,))
     if skipped:
         packed = packed.join(F.broadcast(docs.sparkSession.createDataFrame(skipped, "doc_id bigint")), "doc_id", "left_anti")
-    got = packed.orderBy("_h", "doc_id", "terms").select("terms", "y").toArrow()
-    sets = Packed(got.column("terms"))
-    machine = fit(sets, (got.column("y").to_numpy() > 0).astype(float))
-    del sets, got
-    pa.default_memory_pool().release_unused()
+    # the sample is bounded, so one task holds it; the driver sees the parameters in use only
+    sample = packed.repartition(1).sortWithinPartitions("_h", "doc_id", "terms").select("terms", "y")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(batches, pa.schema([("terms", pa.binary()), ("y", pa.int32())]))
+        m = fit(Packed(got.column("terms")), (got.column("y").to_numpy() > 0).astype(float))
+        code = np.append(-1, np.flatnonzero(m.weight))
+        factor = pa.ListArray.from_arrays(np.arange(len(code) + 1, dtype=np.int32) * RANK, np.concatenate([np.zeros(RANK), m.factor[code[1:]].ravel()]))
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.append(m.bias, m.weight[code[1:]])), factor], names=["code", "weight", "factor"])
+
+    found = sample.mapInArrow(learn, "code bigint, weight double, factor array<double>").toArrow()  # at most 2^BITS + 1 rows
+    code, weight = found.column("code").to_numpy(), found.column("weight").to_numpy()
+    machine = Machine(0.0, np.zeros(1 << BITS), np.zeros((1 << BITS, RANK)))
+    used = code >= 0
+    machine.weight[code[used]] = weight[used]
+    machine.factor[code[used]] = found.column("factor").combine_chunks().flatten().to_numpy().reshape(-1, RANK)[used]
+    machine.bias = float(weight[~used][0]) if len(code) > used.sum() else fit([], np.zeros(0)).bias
     return machine
 
 
