@@ -16,8 +16,11 @@ Two strategies for exp E[log beta] (``eb``), same results:
 * ``broadcast``: ``eb`` as a (sum W_t, K) array in a broadcast variable --
   only when K * sum W_t * 8 bytes is below the model's limit (the size is
   known exactly from the vocabulary, so the bound is proven);
-* ``join``: ``eb`` rows are joined to the entries on (type_id, term_id) and
-  re-nested per document -- nothing of vocabulary size reaches the driver.
+* ``join``: nothing of vocabulary size reaches the driver, and no K-vector
+  travels per entry. Documents stay nested with their ids and are dealt into
+  buckets; each bucket is co-grouped with the ``eb`` rows of the distinct terms
+  its documents hold (:func:`cogroup`), so a vector is shuffled once per bucket
+  and term, however many entries of the bucket name the term.
 
 Documents with more than ``max_doc_terms`` entries ("hot" documents, e.g. one
 customer holding a third of all rows) never go through a single task: they
@@ -36,6 +39,7 @@ from pyspark.sql import types as T
 
 from ..functions.special import dirichlet_expectation_np, lgamma_np
 from .kernel import SparseAccumulator, infer, reduce_rows, seg_sum
+from .vectors import sum_vectors
 
 OUT_SCHEMA = T.StructType(
     [
@@ -121,18 +125,23 @@ def make_kernel(
     min_phi: float = 0.0,
     el_bc=None,
 ):
-    """Build the ``mapInArrow`` function. ``mode`` in {gamma, train, phi, bound}.
-    With ``eb_bc`` (broadcast) the bag holds (type_id, term_id, cnt); without
-    it the bag carries the ``eb`` vector of each entry (join strategy). Bound
-    mode also needs E[log beta] of lambda (``el_bc``, or ``el`` in the bag):
-    inference may run on other weights, and log(exp . exp) would underflow."""
+    """Build the function over batches of nested documents. ``mode`` in {gamma,
+    train, phi, bound}. The topic vectors come as broadcasts (``eb_bc``,
+    ``mapInArrow``); without them the function takes ``(batches, find, eb,
+    el)`` with ``find(type_ids, term_ids)`` giving rows of ``eb`` (a bucket of
+    :func:`cogroup`). Bound mode also needs E[log beta] of lambda (``el``):
+    inference may run on other weights, and log(exp . exp) would underflow. A
+    column ``gamma0`` starts the documents' weights, else they start at ones."""
     alpha = np.asarray(alpha, dtype=np.float64)
     k = len(alpha)
     max_entries = max(1, (32 << 20) // (8 * k))  # ~32 MB per working array
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        eb_all = eb_bc.value if eb_bc is not None else None
-        el_all = el_bc.value if el_bc is not None else None
+        eb = eb_bc.value
+        el = el_bc.value if el_bc is not None else None
+        yield from work(batches, lambda t, w: type_offsets[t] + w, eb, el)
+
+    def work(batches, find, eb_all, el_all) -> Iterator[pa.RecordBatch]:
         acc = SparseAccumulator(k) if mode == "train" else None
         elog_sum = np.zeros(k)
         n_docs = 0
@@ -147,24 +156,18 @@ def make_kernel(
             t_all = flat.field("type_id").to_numpy(zero_copy_only=False).astype(np.int64)
             w_all = flat.field("term_id").to_numpy(zero_copy_only=False).astype(np.int64)
             c_all = flat.field("cnt").to_numpy(zero_copy_only=False).astype(np.float64)
-            if eb_all is None:
-                ebf = flat.field("eb")
-                eb_flat = ebf.flatten().to_numpy(zero_copy_only=False)
-                eb_rows = eb_flat.reshape(-1, k) if len(eb_flat) else np.zeros((0, k))
-                if mode == "bound":
-                    el_flat = flat.field("el").flatten().to_numpy(zero_copy_only=False)
-                    el_rows = el_flat.reshape(-1, k) if len(el_flat) else np.zeros((0, k))
+            at = b.schema.get_field_index("gamma0")
+            gamma0 = _mat(b.column(at), k) if at >= 0 else None
             ends = np.cumsum(lengths)
             starts = ends - lengths
             for lo, hi in _sub_ranges(lengths, max_entries):
                 elo, ehi = int(starts[lo]), int(ends[hi - 1]) if hi > lo else int(starts[lo])
                 ln = lengths[lo:hi]
                 t, w, c = t_all[elo:ehi], w_all[elo:ehi], c_all[elo:ehi]
-                if eb_all is not None:
-                    eb = eb_all[type_offsets[t] + w] if len(t) else np.zeros((0, k))
-                else:
-                    eb = eb_rows[elo:ehi]
-                gamma, et, iters, conv, wgt = infer(ln, c, eb, alpha, num_types, iterations, threshold, eps)
+                row = find(t, w)
+                eb = eb_all[row] if len(t) else np.zeros((0, k))
+                start = gamma0[lo:hi] if gamma0 is not None else None
+                gamma, et, iters, conv, wgt = infer(ln, c, eb, alpha, num_types, iterations, threshold, eps, start)
                 ids = doc_ids[lo:hi]
                 if mode == "gamma":
                     yield _batch(GAMMA, len(ids), doc_id=ids, vec=gamma, iters=iters, conv=conv)
@@ -178,7 +181,7 @@ def make_kernel(
                         keys, vals = acc.drain()
                         yield _batch(SSTATS, len(keys), type_id=keys >> 32, term_id=keys & 0xFFFFFFFF, vec=vals)
                 elif mode == "bound":
-                    el = el_all[type_offsets[t] + w] if el_all is not None else el_rows[elo:ehi]
+                    el = el_all[row] if len(t) else np.zeros((0, k))
                     lse = log_mixture(dirichlet_expectation_np(gamma)[np.repeat(np.arange(len(ln)), ln)], el)
                     ll = seg_sum((c * lse)[:, None], ln)[:, 0]
                     yield _batch(BOUND, len(ids), doc_id=ids, vec=np.stack([ll, theta_part(gamma, alpha)], axis=1))
@@ -195,7 +198,7 @@ def make_kernel(
                 yield _batch(SSTATS, len(keys), type_id=keys >> 32, term_id=keys & 0xFFFFFFFF, vec=vals)
             yield _batch(STATS, 1, vec=elog_sum[None, :], n=[n_docs], m=[n_conv])
 
-    return fn
+    return fn if eb_bc is not None else work
 
 
 def log_mixture(elogtheta: np.ndarray, elogbeta: np.ndarray) -> np.ndarray:
@@ -219,15 +222,11 @@ def theta_part(gamma: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     )
 
 
-def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame | None = None, keys=("doc_id",),
-         sort_chunks: bool = False, hot_terms: DataFrame | None = None, broadcast_limit_bytes: int = 256 << 20) -> DataFrame:
-    """Entries -> one row per document with its bag. ``with_eb`` (join
-    strategy) attaches each entry's ``eb`` vector first. When ``docs`` is
+def nest(entries: DataFrame, docs: DataFrame | None = None, keys=("doc_id",), sort_chunks: bool = False) -> DataFrame:
+    """Entries -> one row per document with its bag. When ``docs`` is
     given, exactly its documents are returned, those without entries with
     an empty bag. ``keys`` may carry per-document columns such as
-    ``chunk_id`` along. ``hot_terms`` (join strategy): terms whose entries
-    are joined to a broadcast of their ``eb`` rows instead of the shuffle
-    join (:mod:`.skew`).
+    ``chunk_id`` along.
 
     One shuffle: the listed documents enter as marker rows of the same
     aggregation (no join). The explicit partition count on ``doc_id`` is
@@ -240,18 +239,7 @@ def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame |
     layout on chunk_id would skip whole files, but leaves a window with
     only a few tasks; measured 2x slower per window.)"""
     keys = list(keys)
-    e = entries.select(*keys, "type_id", "term_id", "cnt")
-    if with_eb is not None:
-        from .skew import split_join
-
-        vectors = [c for c in ("eb", "el") if c in with_eb.columns]
-        eb = with_eb.select("type_id", "term_id", *vectors)
-        row = F.lit(16) + F.size("eb") * F.lit(8 * len(vectors))
-        e = split_join(e, eb, ["type_id", "term_id"], hot_terms, row, broadcast_limit_bytes)
-        item = F.struct("type_id", "term_id", "cnt", *vectors)
-    else:
-        item = F.struct("type_id", "term_id", "cnt")
-    rows = e.select(*keys, item.alias("_i"), F.lit(False).alias("_d"))
+    rows = entries.select(*keys, F.struct("type_id", "term_id", "cnt").alias("_i"), F.lit(False).alias("_d"))
     if docs is not None:
         none = F.lit(None).cast(rows.schema["_i"].dataType)
         rows = rows.unionByName(docs.select(*keys, none.alias("_i"), F.lit(True).alias("_d")))
@@ -264,16 +252,57 @@ def nest(entries: DataFrame, docs: DataFrame | None = None, with_eb: DataFrame |
     return bag.sortWithinPartitions(*order) if sort_chunks else bag
 
 
+def _columns(docs: DataFrame) -> list[str]:
+    """What the kernel reads, so the scan below keeps its column pruning."""
+    return ["doc_id", "bag"] + [c for c in docs.columns if c == "gamma0"]
+
+
 def run(docs: DataFrame, fn) -> DataFrame:
-    """Apply the kernel. Only the two columns the kernel reads are passed,
-    so the scan below keeps its column pruning."""
-    return docs.select("doc_id", "bag").mapInArrow(fn, OUT_SCHEMA)
+    """Apply the kernel with broadcast topic vectors."""
+    return docs.select(*_columns(docs)).mapInArrow(fn, OUT_SCHEMA)
+
+
+#: bytes of topic vectors a bucket may hold at most, entries it should hold at least
+BUCKET_BYTES = 64 << 20
+BUCKET_ENTRIES = 20_000
+
+
+def bucket_count(entries: int, chunks: int, k: int, partitions: int) -> int:
+    """Buckets per chunk: as large as their vectors allow (terms repeat within a
+    bucket), but several per task slot while they hold enough entries."""
+    per = -(-entries // max(1, chunks))
+    return max(1, -(-per // max(1, BUCKET_BYTES // (8 * k))), min(4 * partitions, per // BUCKET_ENTRIES))
+
 
+def cogroup(docs: DataFrame, topics: DataFrame, per_chunk: int, work) -> DataFrame:
+    """Apply the kernel to nested ``docs`` (with ``chunk_id``) and the
+    ``topics`` rows ``(type_id, term_id, eb[, el])`` of their terms.
 
-def sum_vectors(df: DataFrame, keys: list[str], k: int, col: str = "vec", out: str = "vec") -> DataFrame:
-    """Element-wise sum of K-vectors per key: partial + final hash
-    aggregation of K scalar sums (JVM-side, no Python)."""
-    return df.groupBy(*keys).agg(F.array(*[F.sum(F.col(col)[i]) for i in range(k)]).alias(out))
+    The distinct (bucket, term) pairs meet the topic table in a join of ids; a
+    term is there at most once a bucket, so no term is hot. Both sides then go
+    to their bucket: the documents with ids and counts only."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.col("chunk_id") * F.lit(per_chunk) + F.pmod(F.xxhash64("doc_id"), F.lit(per_chunk))
+    docs = docs.select(bucket.cast("bigint").alias("bucket"), *_columns(docs))
+    named = docs.select("bucket", F.explode("bag").alias("e")).select("bucket", "e.type_id", "e.term_id").distinct()
+    vectors = [c for c in ("eb", "el") if c in topics.columns]
+    needed = named.join(topics.select("type_id", "term_id", *vectors), ["type_id", "term_id"])
+    needed = needed.select(F.col("bucket").alias("into"), "type_id", "term_id", *vectors)
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.combine_chunks()
+        t, w = (right.column(c).to_numpy().astype(np.int64) for c in ("type_id", "term_id"))
+        key = (t << 32) | w
+        order = np.argsort(key)
+        key = key[order]
+        eb, el = (_mat(right.column(c).combine_chunks(), -1)[order] if c in right.column_names and len(key) else None for c in ("eb", "el"))
+        rows = work(left.combine_chunks().to_batches(), lambda a, b: np.searchsorted(key, (a << 32) | b), eb, el)
+        return pa.Table.from_batches(list(rows), _ARROW_SCHEMA)
+
+    # explicit counts: AQE would merge the buckets' partitions by bytes, but the kernel's work is in the CPU
+    left = docs.repartition(n, "bucket").groupBy("bucket")
+    return left.cogroup(needed.repartition(n, "into").groupBy("into")).applyInArrow(one, OUT_SCHEMA)
 
 
 # ------------------------------------------------------------ hot documents
@@ -290,8 +319,9 @@ _G_SCHEMA = T.StructType(
 
 
 def _mat(col: pa.Array, k: int) -> np.ndarray:
+    """Rows of a list column as a matrix of ``k`` columns (-1: as long as they are)."""
     v = col.flatten().to_numpy(zero_copy_only=False)
-    return v.reshape(-1, k) if len(v) else np.zeros((0, k))
+    return v.reshape(-1, k if k > 0 else len(v) // len(col)) if len(v) else np.zeros((0, max(0, k)))
 
 
 def _entry_weights(b: pa.RecordBatch, k: int, eps: float):
@@ -303,14 +333,14 @@ def _entry_weights(b: pa.RecordBatch, k: int, eps: float):
 
 
 def hot_estep(entries_eb: DataFrame, hot_docs: DataFrame, alpha, num_types: int, iterations: int, threshold: float,
-              eps: float, mode: str, materialize, broadcast_rows: int = 1_000_000, min_phi: float = 0.0) -> DataFrame:
+              eps: float, mode: str, materialize, broadcast_rows: int = 1_000_000, min_phi: float = 0.0, start=None) -> DataFrame:
     """E step for documents too large for one task. ``entries_eb`` holds
     ``(doc_id, type_id, term_id, cnt, eb)`` of the hot documents only. Every
     round is one distributed aggregation: per entry ``cnt / phinorm * eb`` is
     summed per document (partial sums in every map task, so the work of one
     document spreads over the whole cluster); the small per-document table
     (gamma, expElogtheta) is updated and written to the checkpoint folder.
-    Returns kernel-union rows like :func:`make_kernel`."""
+    ``start``: column of the first gamma (else ones). Returns kernel-union rows like :func:`make_kernel`."""
     alpha = np.asarray(alpha, dtype=np.float64)
     k = len(alpha)
     inv_t = 1.0 / num_types
@@ -345,16 +375,17 @@ def hot_estep(entries_eb: DataFrame, hot_docs: DataFrame, alpha, num_types: int,
                 names=["doc_id", "gamma", "et", "iters", "done"],
             )
 
-    g0 = np.ones(k)
-    et0 = np.exp(dirichlet_expectation_np(g0))
-    G = hot_docs.select(
-        "doc_id",
-        F.array(*[F.lit(float(x)) for x in g0]).alias("gamma"),
-        F.array(*[F.lit(float(x)) for x in et0]).alias("et"),
-        F.lit(0).alias("iters"),
-        F.lit(False).alias("done"),
-    )
-    G = materialize(G, "hot-gamma")
+    def begin(batches):
+        for b in batches:
+            g = _mat(b.column(1), k)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), _vec_array(g), _vec_array(np.exp(dirichlet_expectation_np(g))), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool))],
+                names=["doc_id", "gamma", "et", "iters", "done"],
+            )
+
+    first = start if start is not None else F.array_repeat(F.lit(1.0), k)
+    G = materialize(hot_docs.select("doc_id", first.alias("gamma")).mapInArrow(begin, _G_SCHEMA), "hot-gamma")
     n_hot = G.count()
     bc = (lambda d: F.broadcast(d)) if n_hot <= broadcast_rows else (lambda d: d)
     for _ in range(iterations):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma_sql
+from .vectors import sum_vectors
 
 LAMBDA_SQL = "transform(s, x -> x + eta0)"
 
@@ -29,7 +30,7 @@ def lam(state: DataFrame) -> DataFrame:
 def topic_mass(lam_df: DataFrame, k: int, col: str = "lam") -> DataFrame:
     """Sum over the terms of a type of lambda, per topic: ``(type_id,
     mass ARRAY[K])`` -- T rows (partial + final aggregation)."""
-    return lam_df.groupBy("type_id").agg(F.array(*[F.sum(F.col(col)[i]) for i in range(k)]).alias("mass"))
+    return sum_vectors(lam_df, ["type_id"], k, col, "mass")
 
 
 def elogbeta(lam_df: DataFrame, k: int, col: str = "lam") -> DataFrame:
@@ -94,9 +95,8 @@ def merge_states(a: DataFrame, docs_a: int, b: DataFrame, docs_b: int, k: int) -
 def merge(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """A2: exact distributive sum of two states' statistics."""
     u = a.select("type_id", "term_id", "s", "eta0", "eta").unionByName(b.select("type_id", "term_id", "s", "eta0", "eta"))
-    return u.groupBy("type_id", "term_id").agg(
-        F.array(*[F.sum(F.col("s")[i]) for i in range(k)]).alias("s"), F.first("eta0").alias("eta0"), F.first("eta").alias("eta")
-    )
+    priors = u.groupBy("type_id", "term_id").agg(F.first("eta0").alias("eta0"), F.first("eta").alias("eta"))
+    return sum_vectors(u, ["type_id", "term_id"], k, "s", "s").join(priors, ["type_id", "term_id"])
 
 
 def scale(state: DataFrame, factor: float) -> DataFrame:
@@ -136,9 +136,10 @@ def assign_state(entries: DataFrame, vocab: DataFrame, k: int, eta0, rule: str =
     ``pmod(d, K)`` (rule 'mod') or ``pmod(d div K, K)`` (rule 'div');
     S[k, w] = sum of counts of w over the documents of topic k."""
     topic = F.pmod(F.col("doc_id"), F.lit(k)) if rule == "mod" else F.pmod(F.floor(F.col("doc_id") / F.lit(k)), F.lit(k))
-    agg = entries.withColumn("_k", topic).groupBy("type_id", "term_id").agg(
-        F.array(*[F.sum(F.when(F.col("_k") == i, F.col("cnt")).otherwise(F.lit(0.0))) for i in range(k)]).alias("_s")
-    )
+    # a term has a row per topic it occurs in, at most K
+    per = entries.groupBy("type_id", "term_id", topic.cast("int").alias("_k")).agg(F.sum("cnt").cast("double").alias("_c"))
+    agg = per.groupBy("type_id", "term_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_c"))).alias("_m"))
+    agg = agg.select("type_id", "term_id", F.expr(f"transform(sequence(0, {k - 1}), i -> coalesce(_m[i], 0D))").alias("_s"))
     base = _with_eta(vocab.select("type_id", "term_id"), eta0)
     return base.join(agg, ["type_id", "term_id"], "left").select(
         "type_id", "term_id", F.coalesce("_s", F.array_repeat(F.lit(0.0), k)).alias("s"), "eta0", "eta"
@@ -150,14 +151,19 @@ def random_state(vocab: DataFrame, k: int, eta0, seed: int = 0, shape: float = 1
     of the key (independent of partitioning; md5, so that any engine can
     repeat the draws). Draws use the Wilson-Hilferty transform of a Box-Muller
     normal built from two hashed uniforms (52 bits each)."""
+    base = _with_eta(vocab.select("type_id", "term_id"), eta0)
+    return base.select("type_id", "term_id", gamma_draws("type_id, term_id", k, seed, shape).alias("s"), "eta0", "eta")
+
+
+def gamma_draws(keys: str, k: int, seed: int = 0, shape: float = 100.0):
+    """K draws of Gamma(shape, 1/shape) per row, from hashes of (seed, keys, topic)."""
     u = lambda salt: (
-        f"((cast(conv(substring(md5(concat_ws(':', {int(seed)}, {salt}, type_id, term_id, i)), 1, 13), 16, 10) as double) + 0.5D) / 4503599627370496.0D)"
+        f"((cast(conv(substring(md5(concat_ws(':', {int(seed)}, {salt}, {keys}, i)), 1, 13), 16, 10) as double) + 0.5D) / 4503599627370496.0D)"
     )
     z = f"(sqrt(-2.0D * ln({u(1)})) * cos(6.283185307179586D * {u(2)}))"
     c = 1.0 / (9.0 * shape)
     g = f"greatest(1e-12D, power(1.0D - {c!r}D + {z} * {float(np.sqrt(c))!r}D, 3))"
-    base = _with_eta(vocab.select("type_id", "term_id"), eta0)
-    return base.select("type_id", "term_id", F.expr(f"transform(sequence(0, {k - 1}), i -> {g})").alias("s"), "eta0", "eta")
+    return F.expr(f"transform(sequence(0, {k - 1}), i -> {g})")
 
 
 def state_long(state: DataFrame, col: str = "s") -> DataFrame:

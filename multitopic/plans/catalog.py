@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state as S
+from ..operators.vectors import sum_vectors
 from ..session import materialize
 from ..sources import corpus as C
 from .model import FLOAT32_EPS, TopicModel
@@ -760,4 +761,25 @@ def q_estep_hot_docs(spark, sf):
     return _long(g, "gamma", "gamma", ["doc_id"], 4)
 
 
-QUERIES.update({"estep_text_join": q_estep_text_join, "estep_hot_docs": q_estep_hot_docs})
+def q_estep_gamma_random(spark, sf):
+    """D3: the E step with random starts of gamma, the same by co-groups (half
+    of the documents as hot ones) as from one broadcast."""
+    m = model_a(spark, sf).with_params(gamma_start="random", seed=3, strategy="join", max_doc_terms=60)
+    return _long(m.gamma(purchases(spark, sf).entries), "gamma", "gamma", ["doc_id"], 4)
+
+
+def q_merge_many_topics(spark, sf):
+    """A1 / A2 / A6 at K = 2000: vectors added up in blocks per term and per type."""
+    c = purchases(spark, sf)
+    a, b = (S.assign_state(c.entries, c.vocab, 2000, 1.0 / 2000, rule) for rule in ("mod", "div"))
+    return _long(sum_vectors(S.merge(a, b, 2000), ["type_id"], 2000, "s", "s"), "s", "s", ["type_id"], 5)
+
+
+QUERIES.update(
+    {
+        "estep_text_join": q_estep_text_join,
+        "estep_hot_docs": q_estep_hot_docs,
+        "estep_gamma_random": q_estep_gamma_random,
+        "merge_many_topics": q_merge_many_topics,
+    }
+)

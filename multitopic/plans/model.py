@@ -41,6 +41,7 @@ class Params:
     broadcast_limit_bytes: int = 256 << 20
     max_doc_terms: int | None = None  # None -> 64 MB of K-vectors per document
     track_topic_diff: bool = False
+    gamma_start: str = "ones"  # ones | random: Gamma(100, 1/100) by (seed, document, topic)
 
     def doc_limit(self) -> int:
         return self.max_doc_terms if self.max_doc_terms is not None else max(1000, (64 << 20) // (8 * self.k))
@@ -92,17 +93,18 @@ def init_eta(prior, k: int):
 class Prepared:
     entries: DataFrame  # (doc_id, type_id, term_id, cnt, chunk_id) of the normal documents
     docs: DataFrame | None  # (doc_id, chunk_id) of all normal documents, also empty ones
-    nested: DataFrame | None  # (doc_id, bag, chunk_id), broadcast strategy only
+    nested: DataFrame  # (doc_id, bag, chunk_id)
     hot: DataFrame | None  # (doc_id, chunk_id) of hot documents
     hot_entries: DataFrame | None
+    buckets: int = 1  # per chunk, join strategy
 
     def drop(self) -> None:
         """Delete the tables that were written for this corpus."""
         from ..session import drop_path, source_path
 
-        for t in (self.nested, self.hot, self.hot_entries, self.entries if self.nested is None else None):
+        for t in (self.nested, self.hot, self.hot_entries):
             path = source_path(t) if t is not None else None
-            if path and "/multitopic/" in path and path.rsplit("/", 1)[1].rsplit("-", 1)[0] in ("nested", "entries", "hot-docs", "hot-entries"):
+            if path and "/multitopic/" in path and path.rsplit("/", 1)[1].rsplit("-", 1)[0] in ("nested", "hot-docs", "hot-entries"):
                 drop_path(t.sparkSession, path)
 
 
@@ -267,12 +269,14 @@ class TopicModel:
     def prepare(self, entries: DataFrame, docs: DataFrame | None = None, chunks: DataFrame | None = None,
                 reuse: bool = True) -> "Prepared":
         """Split hot documents off, attach ``chunk_id`` (``chunks``:
-        ``(doc_id, chunk_id)``) and, for the broadcast strategy, nest the
-        documents once; everything is written to the checkpoint folder so
-        all later E steps reuse it (no re-shuffle of the corpus). A one-shot
-        E step (``reuse=False``: scoring, per-word topics, per-document
-        bound) nests on the fly straight into the kernel: no corpus write.
-        Hot documents are written either way (their E step iterates)."""
+        ``(doc_id, chunk_id)``) and nest the documents once; everything is
+        written to the checkpoint folder so all later E steps reuse it. A
+        one-shot E step (``reuse=False``: scoring, per-word topics,
+        per-document bound) with the broadcast strategy nests on the fly
+        straight into the kernel: no corpus write. The join strategy reads
+        the documents twice (their terms, then the kernel) and writes them
+        either way, with ids and counts only. Hot documents are written
+        either way (their E step iterates)."""
         e = entries.select("doc_id", "type_id", "term_id", "cnt")
         d = docs.select("doc_id") if docs is not None else None
 
@@ -298,20 +302,18 @@ class TopicModel:
             d = d.join(b(hot.select("doc_id")), "doc_id", "left_anti") if d is not None else None
         else:
             normal, hot_entries = in_chunks(e), None
-        nested = None
-        if not reuse:
-            if self.use_broadcast():
-                nested = E.nest(normal, d, keys=("doc_id", "chunk_id"))
-        elif self.use_broadcast():
-            # the nested table is the one written copy of the corpus; the
-            # entry view (token counts) reads it back, no second write
-            nested = materialize(E.nest(normal, d, keys=("doc_id", "chunk_id"), sort_chunks=True), "nested")
-            normal = nested.select("doc_id", "chunk_id", F.explode("bag").alias("_e")).select(
-                "doc_id", "_e.type_id", "_e.term_id", "_e.cnt", "chunk_id")
-        else:
-            # written sorted by chunk: a window's chunk filter skips row groups
-            normal = materialize(normal.sortWithinPartitions("chunk_id"), "entries")
-        return Prepared(normal, d, nested, hot, hot_entries)
+        keys, buckets = ("doc_id", "chunk_id"), 1
+        if not reuse and self.use_broadcast():
+            return Prepared(normal, d, E.nest(normal, d, keys=keys), hot, hot_entries)
+        # the nested table is the one written copy of the corpus; the
+        # entry view (token counts) reads it back, no second write
+        nested = materialize(E.nest(normal, d, keys=keys, sort_chunks=True), "nested")
+        normal = nested.select("doc_id", "chunk_id", F.explode("bag").alias("_e")).select("doc_id", "_e.type_id", "_e.term_id", "_e.cnt", "chunk_id")
+        if not self.use_broadcast():
+            size = nested.agg(F.sum(F.size("bag")).alias("n"), F.max("chunk_id").alias("c")).first()
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            buckets = E.bucket_count(int(size["n"] or 0), int(size["c"] or 0) + 1, self.k, parts)
+        return Prepared(normal, d, nested, hot, hot_entries, buckets)
 
     def hot_terms(self) -> DataFrame | None:
         """Terms in more documents than one reducer's share (join strategy
@@ -341,15 +343,16 @@ class TopicModel:
         def flt(df):
             return df if lo is None else df.where((F.col("chunk_id") >= lo) & (F.col("chunk_id") < hi))
 
+        nested = flt(prep.nested)
+        if self.gamma_draws() is not None:
+            nested = nested.withColumn("gamma0", self.gamma_draws())
         if self.use_broadcast():
             fn = E.make_kernel(mode, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon,
                                self.eb_broadcast(), self.type_offsets(), min_phi, self.el_broadcast() if mode == "bound" else None)
-            rows = E.run(flt(prep.nested), fn)
+            rows = E.run(nested, fn)
         else:
             fn = E.make_kernel(mode, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, min_phi=min_phi)
-            d = flt(prep.docs) if prep.docs is not None else None
-            rows = E.run(E.nest(flt(prep.entries), d, with_eb=self.topic_vectors(mode), keys=("doc_id", "chunk_id"),
-                                hot_terms=self.hot_terms(), broadcast_limit_bytes=p.broadcast_limit_bytes), fn)
+            rows = E.cogroup(nested, self.topic_vectors(mode), prep.buckets, fn)
         if prep.hot is not None:
             hot = flt(prep.hot).select("doc_id")
             if hot.limit(1).count():
@@ -365,10 +368,17 @@ class TopicModel:
                 he = materialize(he, "hot-entries-eb")
                 rows = rows.unionByName(
                     E.hot_estep(he, hot, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, mode,
-                                materialize, broadcast_rows=p.broadcast_limit_bytes // (16 * self.k + 16), min_phi=min_phi)
+                                materialize, broadcast_rows=p.broadcast_limit_bytes // (16 * self.k + 16), min_phi=min_phi,
+                                start=self.gamma_draws())
                 )
         return rows
 
+    def gamma_draws(self):
+        """D3: column of a document's first gamma; None: ones."""
+        if self.params.gamma_start not in ("ones", "random"):
+            raise ValueError(f"gamma_start: no rule named '{self.params.gamma_start}'")
+        return S.gamma_draws("'doc', doc_id", self.k, self.params.seed) if self.params.gamma_start == "random" else None
+
     def estep_rows(self, entries: DataFrame, mode: str, docs: DataFrame | None = None, min_phi: float = 0.0) -> DataFrame:
         return self.rows(self.prepare(entries, docs, reuse=False), mode, min_phi=min_phi)
 
@@ -386,11 +396,10 @@ class TopicModel:
         self._scratch.append(rows)
         ss = E.sum_vectors(rows.where(F.col("kind") == E.SSTATS), ["type_id", "term_id"], self.k)
         # per-task statistics summed on the cluster: one K-vector reaches the driver
-        st = rows.where(F.col("kind") == E.STATS).agg(
-            *[F.sum(F.col("vec")[i]).alias(f"e{i}") for i in range(self.k)],
-            F.sum("n").alias("n"), F.sum("m").alias("m"),
-        ).collect()[0]
-        elog = np.array([st[f"e{i}"] or 0.0 for i in range(self.k)])
+        stats = rows.where(F.col("kind") == E.STATS)
+        st = stats.agg(F.sum("n").alias("n"), F.sum("m").alias("m")).first()
+        elog = [r["vec"] for r in E.sum_vectors(stats, [], self.k).collect()]
+        elog = np.array([x or 0.0 for x in elog[0]]) if elog else np.zeros(self.k)
         return ss, elog, int(st["n"] or 0), int(st["m"] or 0)
 
     # ------------------------------------------------------------- scoring

@@ -111,10 +111,18 @@ def mstep_ctes(prev: str, new: str, sst: str, w_old, w_new) -> list[str]:
     ] + derive_ctes(new)
 
 
+def draw_sql(seed: int, keys: str) -> str:
+    """A draw of Gamma(100, 1/100) from hashes of (seed, keys)."""
+    u = [f"((('0x' || substring(md5(concat_ws(':', {seed}, {salt}, {keys})), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)" for salt in (1, 2)]
+    z = f"(sqrt(-2.0 * ln({u[0]})) * cos(2.0 * pi() * {u[1]}))"
+    return f"greatest(1e-12, pow(1.0 - 1.0 / 900.0 + {z} * sqrt(1.0 / 900.0), 3))"
+
+
 def estep_ctes(k: int, num_types: int, rounds: int, thr: float, eps: float, alpha=None, tag: str = "", eb: str = "eb",
-               entries: str = "entries", docs: str | None = None) -> list[str]:
+               entries: str = "entries", docs: str | None = None, seed: int | None = None) -> list[str]:
     """Unrolled E step; the last CTE ``{tag}g{rounds}`` holds (doc_id, topic,
-    gamma, et, done, iters); ``{tag}phf`` the final phinorm per entry."""
+    gamma, et, done, iters); ``{tag}phf`` the final phinorm per entry. Gamma
+    starts at ones, or at the draws of ``seed``."""
     alpha = np.full(k, 1.0 / k) if alpha is None else np.asarray(alpha, dtype=float)
     et0 = float(np.exp(digamma_np(1.0) - digamma_np(float(k))))
     vals = ", ".join(f"({i}, {float(a)!r}::DOUBLE)" for i, a in enumerate(alpha))
@@ -126,6 +134,12 @@ def estep_ctes(k: int, num_types: int, rounds: int, thr: float, eps: float, alph
         f"{t}g0 AS (SELECT d.doc_id, a.topic, 1.0::DOUBLE AS gamma, {et0!r}::DOUBLE AS et, false AS done, 0 AS iters "
         f"FROM {t}docs d CROSS JOIN {t}alpha a)",
     ]
+    if seed is not None:
+        c[-1:] = [
+            f"{t}d0 AS (SELECT d.doc_id, a.topic, {draw_sql(seed, f"'doc', d.doc_id, a.topic")} AS gamma FROM {t}docs d CROSS JOIN {t}alpha a)",
+            f"{t}g0 AS MATERIALIZED (SELECT doc_id, topic, gamma, exp({psi('gamma')} - {psi('gs')}) AS et, false AS done, 0 AS iters "
+            f"FROM (SELECT *, sum(gamma) OVER (PARTITION BY doc_id) AS gs FROM {t}d0))",
+        ]
     for r in range(1, rounds + 1):
         prev = f"{t}g{r - 1}"
         c += [
@@ -583,5 +597,13 @@ ORACLE.update(
             "WHERE p >= 0.01",
         ),
         "estep_hot_docs": ORACLE["estep_gamma"],
+        "estep_gamma_random": with_(
+            PM + estep_ctes(K, T, ITER, THR, EPS, seed=3), _long_sql("gf", "gamma", "gamma", "doc_id", 4)
+        ),
+        "merge_many_topics": with_(
+            PV + model_ctes(2000) + model_ctes(2000, rule="div", prefix="b_"),
+            f"SELECT type_id, topic, {rnd('sum(s)', 5)} AS s FROM (SELECT type_id, topic, s FROM st UNION ALL SELECT type_id, topic, s FROM b_st) "
+            "GROUP BY type_id, topic",
+        ),
     }
 )
