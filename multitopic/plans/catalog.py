@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import state as S
 from ..operators.vectors import sum_vectors
-from ..session import materialize
+from ..session import materialize, source_path
 from ..sources import corpus as C
 from .model import FLOAT32_EPS, TopicModel
 
@@ -716,8 +716,48 @@ def q_stream_user_days(spark, sf):
     return _long(m.state, "s", "s", ["type_id", "term_id"], 4)
 
 
+def q_stream_closed_days(spark, sf):
+    """ST5: events in three files in the order of time, cut anywhere in a day,
+    and a last row without terms that moves the watermark on: every user-day
+    leaves the state once and whole, so the stream's corpus is the table's."""
+    from ..session import scratch_path
+    from ..streaming.online import closed_user_days, events_stream
+
+    ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = ev.select(F.col("ts").cast("double").alias("s")).approxQuantile("s", [0.33, 0.66], 0.01) or [0.0, 0.0]
+    s, src = F.col("ts").cast("double"), scratch_path(spark, "stream-events")
+    for part in (ev.where(s <= cuts[0]), ev.where((s > cuts[0]) & (s <= cuts[1])), ev.where(s > cuts[1])):
+        part.coalesce(1).write.mode("append").parquet(src)
+    last = ev.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(
+        *[F.col("ts") if c == "ts" else F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in ev.columns]
+    )
+    last.coalesce(1).write.mode("append").parquet(src)
+    out = scratch_path(spark, "stream-closed")
+    closed = closed_user_days(events_stream(spark, src))
+    q = closed.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(closed.schema).parquet(out).select("doc_id", "type_id", "term", rnd("cnt").alias("cnt"))
+
+
+def q_stream_scores(spark, sf):
+    """ST4: a stream of nested documents through one kernel stage."""
+    from ..operators.estep import nest
+    from ..session import scratch_path
+    from ..streaming.online import score_nested
+
+    nested = materialize(nest(purchases(spark, sf).entries).repartition(3, "doc_id"), "stream-docs")
+    stream = spark.readStream.schema(nested.schema).option("maxFilesPerTrigger", 1).parquet(source_path(nested))
+    scored = score_nested(model_a(spark, sf), stream)
+    out = scratch_path(spark, "stream-scores")
+    q = scored.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(scored.schema).parquet(out).select("doc_id", "topic", rnd("p").alias("p"))
+
+
 QUERIES.update(
     {
+        "stream_closed_days": q_stream_closed_days,
+        "stream_scores": q_stream_scores,
         "vis_topic_term": q_vis_topic_term,
         "vis_doc_topic": q_vis_doc_topic,
         "doc_topic_dists_supplied": q_doc_topic_dists_supplied,

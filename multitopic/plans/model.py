@@ -175,6 +175,13 @@ class TopicModel:
         self._owned_state = False
         return replace(self, params=replace(self.params, **kw), metrics=list(self.metrics), _scratch=[], _eb=None, _eb_bc=None, _el_bc=None)
 
+    def adopt(self, other: "TopicModel") -> None:
+        """Take over another version of this model (state, priors, counts)."""
+        self._owned_state = False
+        self.new_version(other.state)
+        for name in ("alpha", "numdocs", "num_updates", "eb_from_s", "version", "metrics"):
+            setattr(self, name, getattr(other, name))
+
     # ------------------------------------------------------- derived tables
     def lam(self) -> DataFrame:
         return S.lam(self.state)

@@ -607,3 +607,5 @@ ORACLE.update(
         ),
     }
 )
+ORACLE["stream_closed_days"] = with_(_UD_TERMS, f"SELECT doc_id, type_id, term, {rnd('cnt')} AS cnt FROM terms")
+ORACLE["stream_scores"] = ORACLE["doc_topics"]

@@ -8,9 +8,10 @@ from that model and skips a replayed batch that it already holds, so every
 batch enters the model exactly once. Only a missing pointer means that
 nothing was committed; a storage error is raised.
 
-Documents are bags closed per micro-batch (e.g. user-day bags built from
-events); events of one document arriving in two batches become two updates
-of the same document id, as two ``update()`` calls would in the reference.
+A trainer takes the documents of a micro-batch as they are: events of one
+document that arrive in two batches would be two updates of the same document
+id. :func:`closed_documents` in front of it (event time, watermark) hands on
+every document once, when it is complete.
 """
 
 from __future__ import annotations
@@ -42,21 +43,38 @@ class StreamTrainer:
         if self.committed >= 0:
             self.model = model_io.load(model.spark, self.path)
         self.dropped = 0
+        self.own = False  # whether the model's state was written by this trainer
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.committed:
             return  # replayed batch: its update is already in the model
         # the batch's terms are read by several jobs (OOV count, sizes,
         # chunks, E step): written once instead of re-deriving from the source
+        spark = self.model.spark
         terms = materialize(self.to_terms(batch), "stream-terms")
         vocab = self.model.vocab
-        self.dropped += C.oov_report(terms, vocab).count()
-        entries = C.encode(terms, vocab, strict=False)
-        if entries.limit(1).count():
-            update(self.model, entries, **self.update_kw)
-        model_io.save(self.model, self.path, batch_id=batch_id)
+        # the update works on a copy: the batch counts when its model is saved,
+        # so a retry after a failure starts from the model before the batch
+        model = self.model.with_params()
+        before = source_path(self.model.state)
+        try:
+            unknown = C.oov_report(terms, vocab).count()
+            entries = C.encode(terms, vocab, strict=False)
+            if entries.limit(1).count():
+                update(model, entries, **self.update_kw)
+            model_io.save(model, self.path, batch_id=batch_id)
+        except BaseException:
+            if source_path(model.state) != before:
+                drop_path(spark, source_path(model.state) or "")
+            raise
+        finally:
+            drop_path(spark, source_path(terms) or "")
+        if self.own and before and before != source_path(model.state):
+            drop_path(spark, before)  # written by this trainer for an earlier batch
+        self.own = self.own or before != source_path(model.state)
+        self.model.adopt(model)
+        self.dropped += unknown
         self.committed = batch_id
-        drop_path(self.model.spark, source_path(terms) or "")
 
 
 def train_stream(model, stream: DataFrame, to_terms, model_path: str, checkpoint: str, trigger_once: bool = True, **update_kw):
@@ -118,18 +136,60 @@ def score_stream(model, stream: DataFrame, to_terms, sink_path: str, checkpoint:
     return q
 
 
+def score_nested(model, docs: DataFrame, minimum_probability: float | None = None) -> DataFrame:
+    """``(doc_id, topic, p)`` of documents that are nested already, ``(doc_id,
+    bag ARRAY<STRUCT<type_id, term_id, cnt>>)``: one stateless kernel stage, for
+    a table or a stream (which can be appended to any sink). The topic vectors
+    are broadcast, so their size is checked."""
+    from ..operators import estep as E
+
+    p = model.params
+    least = max(p.minimum_probability if minimum_probability is None else minimum_probability, 1e-8)
+    fn = E.make_kernel("gamma", model.alpha, model.num_types, p.iterations, p.gamma_threshold, p.epsilon, model.eb_broadcast(), model.type_offsets())
+    if model.gamma_draws() is not None:
+        docs = docs.withColumn("gamma0", model.gamma_draws())
+    theta = F.expr("transform(vec, x -> x / aggregate(vec, 0D, (a, y) -> a + y))")
+    return E.run(docs, fn).select("doc_id", F.posexplode(theta).alias("topic", "p")).where(F.col("p") >= least)
+
+
+def closed_documents(terms: DataFrame, watermark: str, window: str | None = "1 day", gap: str | None = None) -> DataFrame:
+    """Documents of an unbounded stream, each emitted once and whole.
+
+    ``terms`` streams ``(ts, key, type_id, term, cnt)``. A document is all that
+    a key has in one ``window`` of event time, or, with ``gap``, until nothing
+    came for that long. Its counts stay in the state until the watermark says
+    that no more of it can come; then all its rows ``(start, key, type_id, term,
+    cnt)`` leave in the same micro-batch and the state forgets them. So a
+    trainer behind this operator never sees half a document, however the
+    source's files or offsets cut it. Rows later than the watermark are dropped
+    by it, as everywhere in Structured Streaming."""
+    return _closed(terms.withWatermark("ts", watermark), window, gap)
+
+
+def _closed(late: DataFrame, window: str | None = "1 day", gap: str | None = None) -> DataFrame:
+    """The same behind a watermark on ``ts`` that is set already."""
+    if gap is None:
+        rows = late.groupBy(F.window("ts", window).alias("_w"), "key", "type_id", "term").agg(F.sum("cnt").alias("cnt"))
+    else:
+        # sessions are the document's, so its terms stay together in one state row
+        docs = late.groupBy(F.session_window("ts", gap).alias("_w"), "key").agg(F.collect_list(F.struct("type_id", "term", "cnt")).alias("_e"))
+        rows = docs.select("_w", "key", F.explode("_e").alias("_e")).select("_w", "key", "_e.*")
+    return rows.select(F.col("_w.start").alias("start"), "key", "type_id", "term", F.col("cnt").cast("double").alias("cnt"))
+
+
+def sum_terms(batch: DataFrame) -> DataFrame:
+    """One row per (document, term) of a micro-batch of closed documents."""
+    return batch.groupBy("doc_id", "type_id", "term").agg(F.sum("cnt").alias("cnt"))
+
+
 def closed_user_days(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Event counts per (user, day, term) emitted only once the day is closed
-    by the watermark (append mode): complete user-day documents for
-    training from an unbounded stream. Input ``ts`` must be TIMESTAMP."""
-    ev = events.withWatermark("ts", watermark)
+    """User-day documents ``(doc_id, type_id, term, cnt)`` of an event stream,
+    each emitted once its day is over: what feeds :func:`train_stream` from an
+    unbounded stream. Input ``ts`` must be TIMESTAMP."""
     bucket = F.concat(F.lit("v"), F.floor(F.col("value") / 100).cast("bigint").cast("string"))
-    terms = ev.select(
-        "ts", "user_id",
-        F.explode(F.array(F.struct(F.lit(0).alias("t"), F.col("event_type").alias("w")), F.struct(F.lit(1).alias("t"), bucket.alias("w")))).alias("x"),
-    ).where(F.col("x.w").isNotNull())
-    g = terms.groupBy(F.window("ts", "1 day"), "user_id", F.col("x.t").alias("type_id"), F.col("x.w").alias("term")).agg(
-        F.count("*").cast("double").alias("cnt")
-    )
-    day = F.datediff(F.to_date(F.col("window.start")), F.lit("1970-01-01").cast("date"))
-    return g.select((F.col("user_id") * F.lit(100000) + day).cast("bigint").alias("doc_id"), F.col("type_id").cast("int"), "term", "cnt")
+    items = F.array(F.struct(F.lit(0).alias("t"), F.col("event_type").alias("w")), F.struct(F.lit(1).alias("t"), bucket.alias("w")))
+    # the watermark stands before the filter: rows without terms move it too
+    ev = events.withWatermark("ts", watermark).select("ts", F.col("user_id").alias("key"), F.explode(items).alias("x"))
+    terms = ev.where(F.col("x.w").isNotNull()).select("ts", "key", F.col("x.t").alias("type_id"), F.col("x.w").alias("term"), F.lit(1.0).alias("cnt"))
+    day = F.datediff(F.to_date("start"), F.lit("1970-01-01").cast("date"))
+    return _closed(terms).select((F.col("key") * F.lit(100000) + day).cast("bigint").alias("doc_id"), F.col("type_id").cast("int"), "term", "cnt")
