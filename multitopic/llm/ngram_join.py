@@ -27,8 +27,9 @@ documents link when ``100 * intersection >= percent * union``.
    more than ``HOT`` sets are not joined by their signature but by longer keys
    that take the sizes of both sides into account. Every link
    thus has its ends in one component, and groups of near copies cost one row
-   a set. The star hubs differ by round. Between the rounds a few steps of label
-   propagation stand for the components, which are solved once at the end.
+   a set. The star hubs differ by round. Between the star rounds a few steps of
+   label propagation stand for the components, which are solved after the last
+   of them, and once more if the pairs joined then found links.
 6. Verification counts the intersection of whole sets.
 
 Defined results: null, empty and wordless texts have the empty set and link
@@ -316,7 +317,10 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
     drop_path(spark, source_path(every))
 
     comp = tested = links = None
+    solved = True  # whether comp holds the components of all links so far
     for turn in range(STARS + 1):
+        if turn == STARS and not solved:
+            comp, solved = materialize(connected_components(links), "comp"), True
         info = nodes.select("node", "n", F.col("bits").alias("w"), "wide")
         info = info.withColumn("comp", F.col("node")) if comp is None else info.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         at = sigs.join(info.select("node", "comp"), "node") if comp is not None else sigs.withColumn("comp", F.col("node"))
@@ -346,11 +350,12 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
         found = materialize(verified(pairs, sets, percent), "links")
         for done in (ends, sets):
             drop_path(spark, source_path(done))
-        links = found if links is None else links.unionByName(found)
-        if turn < STARS:
-            comp = _labels(links)
+        if not found.isEmpty():
+            links, solved = found if links is None else links.unionByName(found), False
+            if turn < STARS - 1:
+                comp = _labels(links)
     drop_path(spark, source_path(sigs))
-    if links is not None:
+    if not solved:
         comp = materialize(connected_components(links), "comp")
 
     out = rows.select("doc_id", "n", "d1", "d2").join(nodes.select("d1", "d2", "n", "node"), ["d1", "d2", "n"], "left")
@@ -363,7 +368,7 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
 def _labels(links: DataFrame) -> DataFrame:
     """``(node, comp)`` by a few steps towards the smallest node that links
     reach: nodes of one label are in one component (but not the reverse), which
-    is enough to leave out pairs. The components are solved once, at the end."""
+    is enough to choose hubs. The last round, which joins pairs, needs components."""
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = materialize(ends.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp")), "labels")
     for _ in range(JUMPS):
