@@ -33,11 +33,28 @@ def test_gapped_notices(spark):
 
 
 def test_empty_null_and_repeats(spark):
+    """Every row by its own text: shared and null ids mix nothing, equal rows stay."""
     schema = "doc_id bigint, text string"
     assert L.license_scan(spark.createDataFrame([], schema)).count() == 0
-    rows = [(None, "cc by"), (1, "cc by"), (1, "cc by"), (2, None)]
-    got = sorted((str(r.doc_id), r.n_words, r.n_base, r.score) for r in L.license_scan(spark.createDataFrame(rows, schema)).collect())
-    assert got == [("1", 2, 1, 1.0), ("2", 0, 0, 0.0), ("None", 2, 1, 1.0)]
+    rows = [(None, "cc by"), (1, "cc by"), (1, "cc by"), (2, None), (2, ""), (7, "all rights x"), (7, "y rights reserved"), (None, "all rights x"), (None, "y rights reserved"), (None, "cc by")]
+    got = sorted((str(r.doc_id), r.n_words, r.n_base, r.labels, r.score) for r in L.license_scan(spark.createDataFrame(rows, schema)).collect())
+    by = [(2, 1, "cc-by", 1.0)] * 2
+    assert got == sorted([("1", *x) for x in by] + [("None", *x) for x in by] + [("2", 0, 0, "", 0.0)] * 2 + [(i, 3, 0, "", 0.0) for i in ("7", "7", "None", "None")])
+
+
+def test_spans_are_verified(spark):
+    """Words of a notice strewn over a text, or in another order, are no notice."""
+    texts = [
+        "licensed under foo under the bar the apache baz apache license qux license version quux version 2",
+        "version 2 license version apache license the apache under the licensed under",
+        "x licensed under the apache license version 2 0 y",
+        "licensed under the one apache license two version 2 0",
+        "licensed under the apache license version 2 0 and once more licensed under the apache license version 2 0",
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got[0] == ("", 0.0) and got[1] == ("", 0.0)
+    assert got[2] == ("apache-2.0", 1.0) and got[4] == ("apache-2.0", 1.0)
+    assert got[3][0] == ("apache-2.0" if got[3][1] >= L.SHARE else "")
 
 
 def test_no_python_in_the_plan(spark):
