@@ -11,16 +11,17 @@ phrases): from every chunk on, and back from every chunk, the fewest whole
 chunks of at least that many bytes make a window. Every repeated run of chunks
 that is long enough is the union of its windows, whatever single chunks of it
 stand elsewhere. Windows are compared by 128-bit digests. Of the places of a
-digest the first one, by (id, offset), stays; the others, joined where they
+digest the first one, by (id, text, offset), stays; the others, joined where they
 touch and lie at the same distance from their first places, make the spans.
 Spans with first places in different texts can overlap. Counting and the
 search for the first place are partially aggregated, and the join back splits
 by size, so a window that a third of all texts hold is no burden.
 
 Defined results: null, empty and shorter texts have no windows; repeats within a text
-count; equal texts repeat each other whole; a null id ranks first, its spans
-are reported too; rows that share an id are places of one document (the same
-offset of the same id is one place); an empty table gives an empty result;
+count; equal texts repeat each other whole; every row is a document of its own,
+whatever ids are shared or null (of rows equal in id and text one is the first,
+the others repeat it whole); a null id ranks first, its spans are
+reported too; an empty table gives an empty result;
 further columns are ignored (or kept, by ``cut_repeats``).
 """
 
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .text import NON_SPACE, Slice, as_long, mix, slices
 
 CUT_BITS = 5
@@ -123,13 +125,14 @@ def windows(start: np.ndarray, end: np.ndarray, row: np.ndarray, least: int) ->
 
 
 def window_rows(docs: DataFrame, text: str, id_col: str, least: int) -> DataFrame:
-    """``(d1, d2, id, start, len, word, words)`` of every window; ``words`` counts
-    the words that start in it, ``word`` those before it."""
+    """``(d1, d2, id, h, start, len, word, words)`` of every window; ``h`` is a
+    hash of the text, ``words`` counts the words that start in the window,
+    ``word`` those before it."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).cast(pa.int64())
-            for s in slices(b.column(1)):
+            for s in slices(b.column(2)):
                 n = len(s.data)
                 if not n:
                     continue
@@ -146,6 +149,8 @@ def window_rows(docs: DataFrame, text: str, id_col: str, least: int) -> DataFram
                 inside = NON_SPACE[s.data]
                 first = inside.copy()
                 first[1:] &= ~inside[:-1]
+                edge = s.offs[:-1][s.offs[:-1] < n]
+                first[edge] = inside[edge]  # a text's first word starts with it, whatever stands before in the slice
                 count = np.concatenate([[0], np.cumsum(first)])
                 digests = []
                 with np.errstate(over="ignore"):
@@ -154,52 +159,75 @@ def window_rows(docs: DataFrame, text: str, id_col: str, least: int) -> DataFram
                         np.cumsum(table[s.data] * up[:n], out=cum[1:])
                         digests.append(as_long(mix((cum[end] - cum[start]) * down[start] + (end - start).astype(np.uint64))))
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, digests), ids.take(pa.array(row)), pa.array(start - base), pa.array((end - start).astype(np.int32)), pa.array((count[start] - count[base]).astype(np.int32)), pa.array((count[end] - count[start]).astype(np.int32))],
-                    names=["d1", "d2", "id", "start", "len", "word", "words"],
+                    [*map(pa.array, digests), *(c.take(pa.array(row)) for c in (ids, b.column(1))), pa.array(start - base), pa.array((end - start).astype(np.int32)), pa.array((count[start] - count[base]).astype(np.int32)), pa.array((count[end] - count[start]).astype(np.int32))],
+                    names=["d1", "d2", "id", "h", "start", "len", "word", "words"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text)).mapInArrow(chunks, "d1 bigint, d2 bigint, id bigint, start bigint, len int, word int, words int")
+    return docs.select(id_col, F.xxhash64(text), text).mapInArrow(chunks, "d1 bigint, d2 bigint, id bigint, h bigint, start bigint, len int, word int, words int")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_span: int = MIN_SPAN) -> DataFrame:
     """``(id, start_byte, end_byte, n_words, first_id, first_byte)``: spans that
     stood before, in document ``first_id`` from byte ``first_byte`` on."""
+    spans = _spans(docs, text, id_col, min_span)
+    # the spans of the second and further equal rows, as often as there are such rows; in two steps, so that no array grows with them
+    parts = spans.withColumn("_part", F.explode(F.expr("sequence(0, (rows - 1) div 65536)")))
+    each = parts.withColumn("_row", F.explode(F.expr("sequence(1, least(65536, rows - 65536 * _part))")))
+    return each.select(F.col("id").alias(id_col), "start_byte", "end_byte", "n_words", F.col("first.id").alias("first_id"), "first_byte")
+
+
+def _spans(docs: DataFrame, text: str, id_col: str, min_span: int) -> DataFrame:
+    """Spans ``(id, h, later, rows, start_byte, end_byte, n_words, first,
+    first_byte)``. Equal rows give equal windows, which are counted, not kept:
+    the first of them (``later`` 0) repeats what stands elsewhere before, the
+    others (``later`` 1, ``rows`` of them) repeat it whole."""
     places = window_rows(docs, text, id_col, min_span)
-    first = places.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("c"))
+    place = F.struct("id", "h", "start")
+    first = places.groupBy("d1", "d2").agg(F.min(place).alias("f"), F.count("*").alias("c"))
     first = first.where("c >= 2").select("d1", "d2", "f")
-    again = places.join(first, ["d1", "d2"]).where(~F.struct("id", "start").eqNullSafe(F.col("f")))
-    again = again.select("id", "start", (F.col("start") + F.col("len")).alias("end"), "word", (F.col("word") + F.col("words")).alias("word_end"), F.col("f.id").alias("first_id"), (F.col("f.start") - F.col("start")).alias("away")).distinct()
-    per = Window.partitionBy("id", "first_id", "away").orderBy("start", "end")
+    again = places.join(first, ["d1", "d2"]).select(
+        "id", "h", "start", (F.col("start") + F.col("len")).alias("end"), "word", (F.col("word") + F.col("words")).alias("word_end"),
+        F.struct("f.id", "f.h").alias("first"), (F.col("f.start") - F.col("start")).alias("away"), place.eqNullSafe(F.col("f")).alias("own"),
+    )
+    again = again.groupBy(*again.columns).agg(F.count("*").alias("rows")).where("NOT own OR rows > 1")
+    again = again.withColumn("later", F.explode(F.expr("filter(array(IF(own, -1, 0), IF(rows > 1, 1, -1)), x -> x >= 0)")))
+    again = again.withColumn("rows", F.expr("IF(later = 1, rows - 1, 1)"))
+    span = ["id", "h", "later", "rows", "first", "away"]
+    per = Window.partitionBy(*span).orderBy("start", "end")
     reach = F.max("end").over(per.rowsBetween(Window.unboundedPreceding, -1))
     spans = again.withColumn("_new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("_span", F.sum("_new").over(per.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("id", "first_id", "away", "_span").agg(
+    return spans.groupBy(*span, "_span").agg(
         F.min("start").alias("start_byte"), F.max("end").alias("end_byte"), (F.max("word_end") - F.min("word")).cast("long").alias("n_words"),
     ).withColumn("first_byte", F.col("start_byte") + F.col("away"))
-    return spans.select(F.col("id").alias(id_col), "start_byte", "end_byte", "n_words", "first_id", "first_byte")
 
 
 def cut_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_span: int = MIN_SPAN) -> DataFrame:
     """``docs`` without its repeated spans (only the column ``text`` changes)."""
-    spans = repeated_spans(docs, text, id_col, min_span).groupBy(F.col(id_col).alias("_id")).agg(
-        F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans")
-    )
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]), "left").drop(spans["_id"])
-    at, last = docs.columns.index(text), len(docs.columns)
+    rows = docs.select(F.col(id_col).cast("long").alias("_i"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"), F.struct("*").alias("_r"))
+    rows = materialize(rows.withColumn("_at", F.monotonically_increasing_id()), "rows")
+    key = F.xxhash64("_i", "_h")
+    spans = _spans(rows, "_t", "_i", min_span).groupBy("id", "h", "later").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_s"))
+    spans = spans.groupBy(F.col("id").alias("_id"), F.col("h").alias("_hash")).agg(*(F.max(F.when(F.col("later") == k, F.col("_s"))).alias(f"_s{k}") for k in (0, 1)))
+    spans = spans.withColumn("_key", F.xxhash64("_id", "_hash"))
+    lowest = rows.select("_i", "_h", "_at").withColumn("_key", key).groupBy("_key").agg(F.min("_at").alias("_lowest"))
+    spans = spans.join(lowest, "_key")
+    mine = F.when(F.col("_at") == F.col("_lowest"), F.col("_s0")).otherwise(F.col("_s1"))
+    joined = rows.withColumn("_key", key).join(spans, "_key", "left").select("_r.*", mine.alias("_spans"))
+    names, at = docs.columns, docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column(at).to_pylist()
-            for i, ranges in enumerate(b.column(last).to_pylist()):
+            for i, ranges in enumerate(b.column(len(names)).to_pylist()):
                 if ranges and values[i]:
                     data, out, pos = values[i].encode(), [], 0
                     for r in ranges:
                         out.append(data[pos : r["start_byte"]])
                         pos = max(pos, r["end_byte"])
                     values[i] = b"".join([*out, data[pos:]]).decode()
-            columns = [pa.array(values, b.column(at).type) if k == at else b.column(k) for k in range(last)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+            columns = [pa.array(values, b.column(at).type) if k == at else b.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs_names = docs.columns
     return joined.mapInArrow(cut, docs.schema)
 
 

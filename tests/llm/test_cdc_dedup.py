@@ -86,3 +86,24 @@ def test_repeats_do_not_depend_on_unrelated_texts(spark):
     assert set(range(begin + 60, begin + len(passage) - 60)) <= covered[101]
     left = {r.doc_id: (r.text or "").encode() for r in C.cut_repeats(df).collect()}
     assert all(left[i] == bytes(x for k, x in enumerate(t) if k not in covered[i]) for i, t in texts.items())
+
+
+def test_rows_are_told_apart(spark):
+    """Null ids, shared ids with different texts, and equal rows."""
+    rng = random.Random(31)
+    text = " ".join(messy.sentence(rng, 60))
+    other = " ".join(messy.sentence(rng, 60))
+    rows = [(None, text)] * 5 + [(2, "é" * 400), (2, text), (2, "short"), (3, other), (3, other), (3, other), (4, "x " + other)]
+    df = messy.frame(spark, rows)
+    size = len(text.encode())
+    got = [(r.doc_id, r.start_byte, r.end_byte) for r in C.repeated_spans(df).collect()]
+    assert sum(i is None and (a, e) == (0, size) for i, a, e in got) == 4
+    assert got.count((2, 0, size)) == 1 and got.count((3, 0, len(other.encode()))) == 2
+    assert any(i == 4 for i, _, _ in got)
+    left = sorted((str(r.doc_id), r.text) for r in C.cut_repeats(df).collect())
+    assert [t for i, t in left if i == "None"].count(text) == 1 and [t for i, t in left if i == "None"].count("") == 4
+    shared = [t for i, t in left if i == "2"]
+    assert "short" in shared and "" in shared and max(map(len, shared)) > 0
+    assert len(left) == len(rows) and [t for i, t in left if i == "3"].count(other) == 1
+    accents = next(t for t in shared if t and t.startswith("é"))
+    assert set(accents) == {"é"}
