@@ -6,7 +6,7 @@ names of its SQL twin (:mod:`multitopic.plans.oracle`, SQL in
 Shared setting of the checked queries (deterministic, see D3): the
 purchases corpus (customers; product class, supplier nation, event type),
 K = 5, symmetric priors (1/K), 'assign' start, gamma starting at ones,
-``iterations`` = 10, ``gamma_threshold`` = 1e-3, epsilon = float32 eps.
+``iterations`` = 50 (the default), ``gamma_threshold`` = 1e-3, epsilon = float32 eps.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..sources import corpus as C
 from .model import FLOAT32_EPS, TopicModel
 
 K = 5
-ITER = 10
+ITER = 50
 THR = 1e-3
 EPS = FLOAT32_EPS
 CHUNK = 500
@@ -808,6 +808,23 @@ def q_estep_gamma_random(spark, sf):
     return _long(m.gamma(purchases(spark, sf).entries), "gamma", "gamma", ["doc_id"], 4)
 
 
+def q_estimator_pipeline(spark, sf):
+    """The model as an estimator in a pipeline that is fitted in
+    batch mode, saved, loaded and applied: lambda's topic mixtures per document."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from ..session import scratch_path
+    from .estimator import TopicEstimator
+
+    rows = purchases_terms(spark, sf).groupBy("doc_id").agg(F.collect_list(F.struct("type_id", "term", "cnt")).alias("terms"))
+    rows = materialize(rows, "ml-documents")
+    est = TopicEstimator(k=K, init="assign", iterations=ITER, gammaThreshold=THR, updateEvery=0)
+    path = scratch_path(spark, "ml-pipeline")
+    Pipeline(stages=[est]).fit(rows).write().save(path)
+    out = PipelineModel.load(path).transform(rows)
+    return out.select("doc_id", F.posexplode("topics").alias("topic", "p")).select("doc_id", "topic", rnd("p", 4).alias("p"))
+
+
 def q_merge_many_topics(spark, sf):
     """A1 / A2 / A6 at K = 2000: vectors added up in blocks per term and per type."""
     c = purchases(spark, sf)
@@ -821,5 +838,6 @@ QUERIES.update(
         "estep_hot_docs": q_estep_hot_docs,
         "estep_gamma_random": q_estep_gamma_random,
         "merge_many_topics": q_merge_many_topics,
+        "estimator_pipeline": q_estimator_pipeline,
     }
 )

@@ -175,7 +175,7 @@ __all__ = ["with_", "rnd", "psi", "lgamma_sql", "trigamma_sql", "purchases_terms
 
 # ============================================================ query texts
 K = 5
-ITER = 10
+ITER = 50
 THR = 1e-3
 EPS = 1.1920928955078125e-07
 CHUNK = 500
@@ -609,3 +609,7 @@ ORACLE.update(
 )
 ORACLE["stream_closed_days"] = with_(_UD_TERMS, f"SELECT doc_id, type_id, term, {rnd('cnt')} AS cnt FROM terms")
 ORACLE["stream_scores"] = ORACLE["doc_topics"]
+ORACLE["estimator_pipeline"] = with_(
+    PE + mstep_ctes("", "m1_", "sst", 0.0, 1.0) + estep_ctes(K, T, ITER, THR, EPS, tag="b_", eb="m1_eb"),
+    f"SELECT doc_id, topic, {rnd('gamma / sum(gamma) OVER (PARTITION BY doc_id)', 4)} AS p FROM b_gf",
+)
