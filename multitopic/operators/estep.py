@@ -9,7 +9,7 @@ one tagged union of rows, so the kernel runs once per document:
     kind 1  sstats partial   type_id, term_id, vec (summed inside the task)
     kind 2  task statistics  vec = sum of E[log theta], n = docs, m = converged
     kind 3  word-phi row     doc_id, type_id, term_id, vec = n * phi
-    kind 4  bound row        doc_id, vec = [likelihood part, theta part]
+    kind 4  bound row        doc_id, vec = [likelihood part, theta part], n = chunk
 
 Two strategies for exp E[log beta] (``eb``), same results:
 
@@ -158,6 +158,8 @@ def make_kernel(
             c_all = flat.field("cnt").to_numpy(zero_copy_only=False).astype(np.float64)
             at = b.schema.get_field_index("gamma0")
             gamma0 = _mat(b.column(at), k) if at >= 0 else None
+            at = b.schema.get_field_index("chunk_id")
+            chunk = b.column(at).to_numpy(zero_copy_only=False) if at >= 0 else None
             ends = np.cumsum(lengths)
             starts = ends - lengths
             for lo, hi in _sub_ranges(lengths, max_entries):
@@ -184,7 +186,8 @@ def make_kernel(
                     el = el_all[row] if len(t) else np.zeros((0, k))
                     lse = log_mixture(dirichlet_expectation_np(gamma)[np.repeat(np.arange(len(ln)), ln)], el)
                     ll = seg_sum((c * lse)[:, None], ln)[:, 0]
-                    yield _batch(BOUND, len(ids), doc_id=ids, vec=np.stack([ll, theta_part(gamma, alpha)], axis=1))
+                    part = np.stack([ll, theta_part(gamma, alpha)], axis=1)
+                    yield _batch(BOUND, len(ids), doc_id=ids, vec=part, n=chunk[lo:hi] if chunk is not None else None)
                 elif mode == "phi":
                     yield _batch(GAMMA, len(ids), doc_id=ids, vec=gamma, iters=iters, conv=conv)
                     nphi = et[np.repeat(np.arange(len(ln)), ln)] * wgt[:, None] * eb
@@ -254,7 +257,7 @@ def nest(entries: DataFrame, docs: DataFrame | None = None, keys=("doc_id",), so
 
 def _columns(docs: DataFrame) -> list[str]:
     """What the kernel reads, so the scan below keeps its column pruning."""
-    return ["doc_id", "bag"] + [c for c in docs.columns if c == "gamma0"]
+    return ["doc_id", "bag"] + [c for c in docs.columns if c in ("gamma0", "chunk_id")]
 
 
 def run(docs: DataFrame, fn) -> DataFrame:

@@ -342,13 +342,15 @@ class TopicModel:
             return None
         return materialize(hot, "hot-docs")
 
-    def rows(self, prep: "Prepared", mode: str, lo: int | None = None, hi: int | None = None, min_phi: float = 0.0) -> DataFrame:
+    def rows(self, prep: "Prepared", mode: str, lo: int | None = None, hi: int | None = None, min_phi: float = 0.0, chunks=None) -> DataFrame:
         """Kernel-union rows (see :mod:`operators.estep`) for the documents of
-        ``prep`` whose chunk lies in ``[lo, hi)`` (all when ``lo`` is None)."""
+        ``prep`` whose chunk lies in ``[lo, hi)`` (all when ``lo`` is None) and
+        fulfils the condition ``chunks`` on ``chunk_id``, if given."""
         p = self.params
 
         def flt(df):
-            return df if lo is None else df.where((F.col("chunk_id") >= lo) & (F.col("chunk_id") < hi))
+            df = df if lo is None else df.where((F.col("chunk_id") >= lo) & (F.col("chunk_id") < hi))
+            return df if chunks is None else df.where(chunks)
 
         nested = flt(prep.nested)
         if self.gamma_draws() is not None:
