@@ -82,7 +82,11 @@ def word_topics(model, entries: DataFrame, minimum_phi_value: float | None = Non
     from .estep import PHI
 
     mphi = max(model.params.minimum_phi_value if minimum_phi_value is None else minimum_phi_value, 1e-8)
-    rows = model.estep_rows(entries, "phi", min_phi=mphi).where(F.col("kind") == PHI)
+    return ranked_topics(model.estep_rows(entries, "phi", min_phi=mphi).where(F.col("kind") == PHI), mphi)
+
+
+def ranked_topics(rows: DataFrame, mphi: float) -> DataFrame:
+    """The same of the kernel's rows of n*phi vectors."""
     # the kernel returns one vector per (doc, term): sorted in the row, no shuffle
     kept = F.filter(F.transform("vec", lambda x, i: F.struct(x.alias("v"), i.alias("topic"))), lambda e: e["v"] >= mphi)
     ranked = rows.select("doc_id", "type_id", "term_id", F.posexplode(F.reverse(F.array_sort(kept))).alias("_r", "_e"))

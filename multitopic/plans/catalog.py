@@ -825,6 +825,12 @@ def q_estimator_pipeline(spark, sf):
     return out.select("doc_id", F.posexplode("topics").alias("topic", "p")).select("doc_id", "topic", rnd("p", 4).alias("p"))
 
 
+def q_scored_words(spark, sf):
+    """One scoring pass for document topics and every word's topics."""
+    _, words, _ = model_a(spark, sf).topics_of(purchases(spark, sf).entries, per_word_topics=True)
+    return words
+
+
 def q_merge_many_topics(spark, sf):
     """A1 / A2 / A6 at K = 2000: vectors added up in blocks per term and per type."""
     c = purchases(spark, sf)
@@ -839,5 +845,6 @@ QUERIES.update(
         "estep_gamma_random": q_estep_gamma_random,
         "merge_many_topics": q_merge_many_topics,
         "estimator_pipeline": q_estimator_pipeline,
+        "scored_words": q_scored_words,
     }
 )

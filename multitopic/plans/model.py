@@ -431,14 +431,29 @@ class TopicModel:
         r = self.estep_rows(entries, "phi", min_phi=mphi).where(F.col("kind") == E.PHI)
         return r.select("doc_id", "type_id", "term_id", F.posexplode("vec").alias("topic", "nphi")).where(F.col("nphi") >= F.lit(mphi))
 
-    def __getitem__(self, entries: DataFrame):
-        """Document topics with the model's own thresholds; with the
-        parameter ``per_word_topics`` also the sorted topics of every word and
-        their n*phi values: ``(document_topics, word_topics, word_phi)``."""
-        from ..operators.topics import word_topics
+    def topics_of(self, entries: DataFrame, minimum_probability: float | None = None, minimum_phi_value: float | None = None,
+                  per_word_topics: bool | None = None):
+        """Document topics; with ``per_word_topics`` also the sorted topics of
+        every word and their n*phi values: ``(document_topics, word_topics,
+        word_phi)``, all three read from one written pass of the kernel.
+        What is not given is the model's own."""
+        from ..operators.topics import ranked_topics
+
+        p = self.params
+        if not (p.per_word_topics if per_word_topics is None else per_word_topics):
+            return self.document_topics(entries, minimum_probability)
+        least = max(p.minimum_probability if minimum_probability is None else minimum_probability, 1e-8)
+        mphi = max(p.minimum_phi_value if minimum_phi_value is None else minimum_phi_value, 1e-8)
+        rows = materialize(self.estep_rows(entries, "phi", min_phi=mphi), "word-topics")
+        theta = F.expr("transform(vec, x -> x / aggregate(vec, 0D, (a, y) -> a + y))")
+        docs = rows.where(F.col("kind") == E.GAMMA).select("doc_id", F.posexplode(theta).alias("topic", "p")).where(F.col("p") >= least)
+        words = rows.where(F.col("kind") == E.PHI)
+        phi = words.select("doc_id", "type_id", "term_id", F.posexplode("vec").alias("topic", "nphi")).where(F.col("nphi") >= mphi)
+        return docs, ranked_topics(words, mphi), phi
 
-        found = self.document_topics(entries)
-        return (found, word_topics(self, entries), self.word_phi(entries)) if self.params.per_word_topics else found
+    def __getitem__(self, entries: DataFrame):
+        """C3 with the model's own thresholds."""
+        return self.topics_of(entries)
 
     def bound_docs(self, entries: DataFrame) -> DataFrame:
         """A15/A16 document part per document: ``(doc_id, score)``."""

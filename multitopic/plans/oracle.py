@@ -613,3 +613,4 @@ ORACLE["estimator_pipeline"] = with_(
     PE + mstep_ctes("", "m1_", "sst", 0.0, 1.0) + estep_ctes(K, T, ITER, THR, EPS, tag="b_", eb="m1_eb"),
     f"SELECT doc_id, topic, {rnd('gamma / sum(gamma) OVER (PARTITION BY doc_id)', 4)} AS p FROM b_gf",
 )
+ORACLE["scored_words"] = ORACLE["word_topics"]

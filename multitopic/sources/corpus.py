@@ -207,7 +207,7 @@ def num_terms(vocab: DataFrame, num_types: int | None = None) -> list[int]:
     t = num_types if num_types is not None else (max(got) + 1 if got else 0)
     sizes = [int(got.get(i, 0)) for i in range(t)]
     if not sizes or any(s == 0 for s in sizes):
-        raise ValueError("cannot compute a topic model over an empty collection (a type has no terms)")
+        raise ValueError("every type needs at least one term in the vocabulary")
     return sizes
 
 

@@ -204,7 +204,9 @@ def test_states_with_document_counts(corpus):
 def test_scoring_by_index(corpus):
     m = TopicModel.create(corpus, k=3, init="assign", iterations=5, per_word_topics=True, minimum_phi_value=0.2)
     topics, words, values = m[corpus.entries]
-    assert topics.collect() == m.document_topics(corpus.entries).collect()
+    assert sorted(topics.collect()) == sorted(m.document_topics(corpus.entries).collect())
+    loose = m.topics_of(corpus.entries, minimum_probability=0.2, minimum_phi_value=0.05)
+    assert min(r.p for r in loose[0].collect()) >= 0.2 and loose[2].count() > values.count()
     kept = values.collect()
     assert kept and min(r.nphi for r in kept) >= 0.2 and words.count() == len(kept)
     assert m.with_params(per_word_topics=False)[corpus.entries].columns == ["doc_id", "topic", "p"]

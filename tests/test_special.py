@@ -9,6 +9,9 @@ from multitopic.functions import special as S
 def test_numpy_values():
     assert abs(S.digamma_np(1.0) + 0.5772156649015329) < 1e-12
     assert abs(S.trigamma_np(1.0) - math.pi ** 2 / 6) < 1e-12
+    # published values, outside of this library
+    for x, d, t in ((0.5, -1.9635100260214235, math.pi**2 / 2), (2.0, 0.42278433509846714, math.pi**2 / 6 - 1), (10.0, 2.251752589066721, 0.10516633568168575), (0.25, -4.2274535333762654, 17.19732915450711)):
+        assert abs(S.digamma_np(x) - d) < 1e-11 and abs(S.trigamma_np(x) - t) < 1e-9
     xs = np.array([1e-4, 0.01, 0.3, 1.0, 2.5, 7.0, 30.0, 1e3, 1e6])
     ref = np.array([math.lgamma(v) for v in xs])
     assert np.max(np.abs(S.lgamma_np(xs) - ref) / np.maximum(1.0, np.abs(ref))) < 1e-12
