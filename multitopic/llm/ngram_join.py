@@ -334,7 +334,8 @@ def link_components(docs: DataFrame, size: int = 4, percent: int = 85, rare: int
             pairs = materialize(_may_link(pairs, info, percent), "pairs")
         else:
             members = materialize(at.join(groups.select("sig", "held"), "sig"), "members")
-            few = members.where(F.col("held") <= HOT).select(F.col("sig").alias("key"), F.lit(2).alias("side"), "node")
+            none = F.lit(None).cast("array<bigint>").alias("earlier")
+            few = members.where(F.col("held") <= HOT).select(F.col("sig").alias("key"), F.lit(2).alias("side"), "node", none)
             pairs = _across(few, info, percent)
             hot = materialize(members.where(F.col("held") > HOT).select("node").distinct(), "hot")
             if not hot.isEmpty():
@@ -388,17 +389,19 @@ def _may_link(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 def _across(members: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """Pairs of a key's sets in different components that the bounds allow; sets
-    of side 0 meet those of side 1, sets of side 2 each other."""
+    of side 0 meet those of side 1, sets of side 2 each other. Sets that share
+    one of their ``earlier`` tokens have met there."""
     m = members.join(info, "node")
     left, right = m.alias("x"), m.alias("y")
     sides = "(x.side = 0 AND y.side = 1) OR (x.side = 2 AND x.node < y.node)"
-    on = F.expr(f"x.key = y.key AND ({sides}) AND x.comp <> y.comp AND {_bitmap_allows('x', 'y', percent)}")
+    new = "coalesce(NOT arrays_overlap(x.earlier, y.earlier), true)"
+    on = F.expr(f"x.key = y.key AND ({sides}) AND x.comp <> y.comp AND {new} AND {_bitmap_allows('x', 'y', percent)}")
     near = left.join(right, on).where(_wide_allows("x", "y", percent))
     return near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _prefix_keys(hot: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """``(key, side, node)``: keys that the linked ones among ``hot`` sets share.
+    """``(key, side, node, earlier)``: keys that the linked ones among ``hot`` sets share.
 
     For the sets of a crowded signature the sizes of both sides count. Sets x
     and y within the threshold share at least p (|x| + |y|) / (100 + p) tokens,
@@ -407,7 +410,9 @@ def _prefix_keys(hot: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int
     key is a pair of bands, the set's own and another's (the lower one is side 0,
     the upper one side 1; 2 if they are the same), and a token that low in the
     set. Texts of one template with more words of their own than the threshold
-    allows have only these words so low and share no key."""
+    allows have only these words so low and share no key. Two sets that share
+    many low tokens need to meet at the first of them only, so every row carries
+    the set's tokens before its own (at most the set's possible misses)."""
     own = rows.select("doc_id", "d1", "d2", "n", "region").join(nodes.select(F.col("node").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi")
     own = own.join(hot.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     band = F.floor(F.log("n") / NARROW)
@@ -416,12 +421,15 @@ def _prefix_keys(hot: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int
     token = token.where(100 * F.col("at") <= (100 - percent) * F.col("n"))
     token = materialize(token, "crowd-tokens")
     common = token.groupBy("token").agg(F.count("*").alias("held")).where("held >= 2").select("token")
-    other = token.join(common, "token").withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
+    lists = token.join(common, "token").groupBy("node", "n", "band").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("_list"))
+    each = lists.select("node", "n", "band", "_list", F.posexplode("_list").alias("_pos", "_one"))
+    each = each.select("node", "n", "band", "_one.at", "_one.token", F.expr("slice(_list.token, 1, _pos)").alias("earlier"))
+    other = each.withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
     least = F.exp(F.col("other") * NARROW)  # a set of that band has at least so many tokens
     low = (100 + percent) * F.col("at") <= (100 + percent) * F.col("n") - percent * (F.col("n") + least) + 1
     key = F.xxhash64(F.least("band", "other"), F.greatest("band", "other"), "token").alias("key")
     side = F.when(F.col("band") < F.col("other"), 0).when(F.col("band") > F.col("other"), 1).otherwise(2).alias("side")
-    held = materialize(other.where(low).select(key, side, "node").distinct(), "crowd-keys")
+    held = materialize(other.where(low).select(key, side, "node", "earlier"), "crowd-keys")
     meet = held.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("n > 1 AND (lo = 2 OR lo < hi)")
     return held.join(meet.select("key"), "key", "left_semi")
 
