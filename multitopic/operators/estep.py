@@ -225,7 +225,11 @@ def theta_part(gamma: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     )
 
 
-def nest(entries: DataFrame, docs: DataFrame | None = None, keys=("doc_id",), sort_chunks: bool = False) -> DataFrame:
+#: entries per partition of nested documents
+NEST_ENTRIES = 400_000
+
+
+def nest(entries: DataFrame, docs: DataFrame | None = None, keys=("doc_id",), sort_chunks: bool = False, size: int = 0) -> DataFrame:
     """Entries -> one row per document with its bag. When ``docs`` is
     given, exactly its documents are returned, those without entries with
     an empty bag. ``keys`` may carry per-document columns such as
@@ -234,7 +238,8 @@ def nest(entries: DataFrame, docs: DataFrame | None = None, keys=("doc_id",), so
     One shuffle: the listed documents enter as marker rows of the same
     aggregation (no join). The explicit partition count on ``doc_id`` is
     left alone by AQE, so the CPU-heavy kernel gets equal tasks instead of
-    a few coalesced ones. ``sort_chunks`` (a table written once and filtered
+    a few coalesced ones; it grows with the number of entries (``size``, if
+    known), so that a task's sort and its Arrow batches do not. ``sort_chunks`` (a table written once and filtered
     by chunk range many times) sorts every partition by ``(chunk_id,
     doc_id)``: a window's ``chunk_id`` filter, pushed to the Parquet scan,
     skips the row groups of other windows, while every window still spans
@@ -246,7 +251,7 @@ def nest(entries: DataFrame, docs: DataFrame | None = None, keys=("doc_id",), so
     if docs is not None:
         none = F.lit(None).cast(rows.schema["_i"].dataType)
         rows = rows.unionByName(docs.select(*keys, none.alias("_i"), F.lit(True).alias("_d")))
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // NEST_ENTRIES))
     bag = rows.repartition(n, "doc_id").groupBy(*keys).agg(F.collect_list("_i").alias("bag"), F.max("_d").alias("_d"))
     if docs is not None:
         bag = bag.where(F.col("_d"))
@@ -309,16 +314,11 @@ def cogroup(docs: DataFrame, topics: DataFrame, per_chunk: int, work) -> DataFra
 
 
 # ------------------------------------------------------------ hot documents
-_CONTRIB_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
-_G_SCHEMA = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("gamma", T.ArrayType(T.DoubleType())),
-        T.StructField("et", T.ArrayType(T.DoubleType())),
-        T.StructField("iters", T.IntegerType()),
-        T.StructField("done", T.BooleanType()),
-    ]
-)
+_G_SCHEMA = "doc_id bigint, parts int, gamma array<double>, iters int, done boolean"
+#: bytes of a part's packed entries
+PART_BYTES = 16 << 10
+#: entries per partition of the packed parts
+PART_ENTRIES = 500_000
 
 
 def _mat(col: pa.Array, k: int) -> np.ndarray:
@@ -327,117 +327,179 @@ def _mat(col: pa.Array, k: int) -> np.ndarray:
     return v.reshape(-1, k if k > 0 else len(v) // len(col)) if len(v) else np.zeros((0, max(0, k)))
 
 
-def _entry_weights(b: pa.RecordBatch, k: int, eps: float):
-    et = _mat(b.column(b.schema.get_field_index("et")), k)
-    eb = _mat(b.column(b.schema.get_field_index("eb")), k)
-    cnt = b.column(b.schema.get_field_index("cnt")).to_numpy(zero_copy_only=False).astype(np.float64)
-    w = cnt / (np.einsum("nk,nk->n", et, eb) + eps)
-    return et, eb, w
+def part_limit(max_doc_terms: int, k: int, vectors: int) -> int:
+    """Entries a part of a hot document holds on average, ``vectors`` K-vectors each."""
+    return max(1, min(max_doc_terms, PART_BYTES // (16 + 8 * k * vectors)))
+
+
+def _entry_type(k: int, vectors: list[str]) -> np.dtype:
+    return np.dtype([("t", "i4"), ("w", "i4"), ("c", "f8"), *((v, "f8", (k,)) for v in vectors)])
+
+
+def _packer(entry: np.dtype, vectors: list[str], k: int):
+    """Neighbouring rows of a (document, part) as one row with the packed entries."""
 
+    def rows(keys: np.ndarray, rec: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        ends = np.append(at[1:], len(keys))
+        blobs = pa.array([rec[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(keys[at, 0]), pa.array(keys[at, 1].astype(np.int32)), blobs], names=["doc_id", "part", "packed"])
 
-def hot_estep(entries_eb: DataFrame, hot_docs: DataFrame, alpha, num_types: int, iterations: int, threshold: float,
-              eps: float, mode: str, materialize, broadcast_rows: int = 1_000_000, min_phi: float = 0.0, start=None) -> DataFrame:
-    """E step for documents too large for one task. ``entries_eb`` holds
-    ``(doc_id, type_id, term_id, cnt, eb)`` of the hot documents only. Every
-    round is one distributed aggregation: per entry ``cnt / phinorm * eb`` is
-    summed per document (partial sums in every map task, so the work of one
-    document spreads over the whole cluster); the small per-document table
-    (gamma, expElogtheta) is updated and written to the checkpoint folder.
-    ``start``: column of the first gamma (else ones). Returns kernel-union rows like :func:`make_kernel`."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rec = np.zeros((0, 2), np.int64), np.zeros(0, entry)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            more = np.empty(b.num_rows, entry)
+            for field, name in (("t", "type_id"), ("w", "term_id"), ("c", "cnt")):
+                more[field] = col[name].to_numpy(zero_copy_only=False)
+            for v in vectors:
+                more[v] = _mat(col[v], k)
+            key = np.stack([col[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "part")], axis=1)
+            keys, rec = np.concatenate([keys, key]), np.concatenate([rec, more])
+            last = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+            if last:
+                yield rows(keys[:last], rec[:last])
+                keys, rec = keys[last:], rec[last:]  # may go on in the next batch
+        if len(keys):
+            yield rows(keys, rec)
+
+    return pack
+
+
+def hot_estep(entries: DataFrame, hot_docs: DataFrame, alpha, num_types: int, iterations: int, threshold: float, eps: float,
+              mode: str, materialize, min_phi: float = 0.0, start=None, eb_bc=None, el_bc=None, type_offsets=None) -> DataFrame:
+    """E step for documents too large for one task. ``entries`` holds
+    ``(doc_id, parts, type_id, term_id, cnt)`` of the hot documents only, with
+    their topic vectors ``eb[, el]`` unless these come as broadcasts; ``hot_docs``
+    ``(doc_id, parts)``, the number of parts a document's entries are dealt into.
+
+    The parts are packed once and stay where they are, partitioned and sorted
+    by (document, part). Every round sends each part its document's gamma, sums
+    ``cnt / phinorm * eb`` per document (the work of one document spreads over
+    the whole cluster), updates gamma and writes the documents of the round to
+    the checkpoint folder; converged ones take no further part. Nothing passes
+    through the driver. ``start``: column of the first gamma (else ones).
+    Returns kernel-union rows like :func:`make_kernel`."""
     alpha = np.asarray(alpha, dtype=np.float64)
     k = len(alpha)
     inv_t = 1.0 / num_types
+    spark = entries.sparkSession
+    vectors = [] if eb_bc is not None else ["eb", "el"] if mode == "bound" else ["eb"]
+    entry = _entry_type(k, vectors)
+    max_entries = max(1, (32 << 20) // (8 * k))  # ~32 MB per working array
+
+    part = F.pmod(F.xxhash64("type_id", "term_id"), F.col("parts")).cast("int").alias("part")
+    dealt = entries.select("doc_id", part, "type_id", "term_id", "cnt", *vectors)
+    size = dealt.count()
+    slots = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(slots, -(-size // PART_ENTRIES))
+    by = ("doc_id", "part")
+    packed = dealt.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(_packer(entry, vectors, k), "doc_id bigint, part int, packed binary")
+    packed = materialize(packed, "hot-parts")
+    placed = packed.repartition(n, *by).sortWithinPartitions(*by).persist()
+
+    def sent(docs: DataFrame, parts: DataFrame) -> DataFrame:
+        fan = docs.select("doc_id", "parts", "gamma", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+        return fan.join(parts.hint("merge"), list(by), "left").select("doc_id", "part", "parts", "gamma", "packed")
+
+    def unpacked(b: pa.RecordBatch):
+        """Pieces of a batch: rows ``lo:hi``, their gamma, entries per row, entries and their eb."""
+        gamma = _mat(b.column(3), k)
+        blobs = b.column(4).fill_null(b"")
+        offs = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+        data = blobs.buffers()[2]
+        rec = np.frombuffer(data, entry, (offs[-1] - offs[0]) // entry.itemsize, offs[0]) if offs[-1] > offs[0] else np.zeros(0, entry)
+        ends = (offs - offs[0]) // entry.itemsize
+        for lo, hi in _sub_ranges(np.diff(ends), max_entries):
+            some = rec[ends[lo] : ends[hi]]
+            yield lo, hi, gamma[lo:hi], np.diff(ends[lo : hi + 1]), some, looked_up(some, "eb", eb_bc)
+
+    def looked_up(rec: np.ndarray, name: str, bc) -> np.ndarray:
+        return rec[name] if bc is None else bc.value[type_offsets[rec["t"].astype(np.int64)] + rec["w"]]
+
+    def weights(gamma, ln, rec, eb):
+        et = np.exp(dirichlet_expectation_np(gamma))[np.repeat(np.arange(len(ln)), ln)]
+        return et, rec["c"] / (np.einsum("nk,nk->n", et, eb) + eps)
 
     def contrib(batches):
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            _, eb, w = _entry_weights(b, k, eps)
-            ids = b.column(b.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-            keys, vals = reduce_rows(ids.astype(np.int64), w[:, None] * eb)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _vec_array(vals)], names=["doc_id", "vec"])
+            first = b.column(1).to_numpy(zero_copy_only=False) == 0
+            parts = b.column(2).to_numpy(zero_copy_only=False)
+            for lo, hi, gamma, ln, rec, eb in unpacked(b):
+                _, w = weights(gamma, ln, rec, eb)
+                once = first[lo:hi, None]  # a document's gamma and parts enter its sum with its first part
+                vec = np.concatenate([seg_sum(w[:, None] * eb, ln), gamma * once, parts[lo:hi, None] * once], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _vec_array(vec)], names=["doc_id", "vec"])
+
+    def updater(turn: int):
+        def update(batches):
+            for b in batches:
+                if b.num_rows == 0:
+                    continue
+                v = _mat(b.column(1), 2 * k + 1)
+                g = v[:, k : 2 * k]
+                g_new = alpha + np.exp(dirichlet_expectation_np(g)) * v[:, :k] * inv_t
+                done = np.mean(np.abs(g_new - g), axis=1) < threshold
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(np.rint(v[:, 2 * k]).astype(np.int32)), _vec_array(g_new), pa.array(np.full(b.num_rows, turn, np.int32)), pa.array(done)],
+                    names=["doc_id", "parts", "gamma", "iters", "done"],
+                )
 
-    def update(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            g = _mat(b.column(b.schema.get_field_index("gamma")), k)
-            et = _mat(b.column(b.schema.get_field_index("et")), k)
-            s_col = b.column(b.schema.get_field_index("s"))
-            s = np.zeros((b.num_rows, k))
-            valid = ~np.asarray(s_col.is_null().to_numpy(zero_copy_only=False))
-            if valid.any():
-                s[valid] = _mat(s_col.filter(pa.array(valid)), k)
-            g_new = alpha + et * s * inv_t
-            e_new = np.exp(dirichlet_expectation_np(g_new))
-            done = np.mean(np.abs(g_new - g), axis=1) < threshold
-            iters = b.column(b.schema.get_field_index("iters")).to_numpy(zero_copy_only=False) + 1
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), _vec_array(g_new), _vec_array(e_new),
-                 pa.array(iters.astype(np.int32)), pa.array(done)],
-                names=["doc_id", "gamma", "et", "iters", "done"],
-            )
-
-    def begin(batches):
-        for b in batches:
-            g = _mat(b.column(1), k)
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), _vec_array(g), _vec_array(np.exp(dirichlet_expectation_np(g))), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool))],
-                names=["doc_id", "gamma", "et", "iters", "done"],
-            )
+        return update
 
     first = start if start is not None else F.array_repeat(F.lit(1.0), k)
-    G = materialize(hot_docs.select("doc_id", first.alias("gamma")).mapInArrow(begin, _G_SCHEMA), "hot-gamma")
-    n_hot = G.count()
-    bc = (lambda d: F.broadcast(d)) if n_hot <= broadcast_rows else (lambda d: d)
-    for _ in range(iterations):
-        active = G.where(~F.col("done"))
-        if active.limit(1).count() == 0:
+    active = hot_docs.select("doc_id", "parts", first.alias("gamma"), F.lit(0).alias("iters"), F.lit(False).alias("done"))
+    active = materialize(active, "hot-gamma")
+    finished = []
+    for turn in range(1, iterations + 1):
+        s = sum_vectors(sent(active, placed).mapInArrow(contrib, "doc_id bigint, vec array<double>"), ["doc_id"], 2 * k + 1)
+        after = materialize(s.select("doc_id", "vec").mapInArrow(updater(turn), _G_SCHEMA), "hot-gamma")
+        finished.append(after.where("done"))
+        active = after.where("NOT done")
+        if active.isEmpty():
             break
-        j = entries_eb.join(bc(active.select("doc_id", "et")), "doc_id")
-        s = sum_vectors(j.select("doc_id", "cnt", "eb", "et").mapInArrow(contrib, _CONTRIB_SCHEMA), ["doc_id"], k, out="s")
-        upd = active.join(s, "doc_id", "left").select("doc_id", "gamma", "et", "iters", "s").mapInArrow(update, _G_SCHEMA)
-        G = materialize(G.where(F.col("done")).unionByName(upd), "hot-gamma")
+    placed.unpersist()
+    G = active
+    for some in finished:
+        G = G.unionByName(some)
+    if len(finished) > 1:
+        G = materialize(G, "hot-gamma")
     conv = F.col("done")
+    gam = G.select(
+        F.lit(GAMMA).alias("kind"), "doc_id", F.lit(None).cast("int").alias("type_id"), F.lit(None).cast("int").alias("term_id"),
+        F.col("gamma").alias("vec"), "iters", conv.alias("converged"), F.lit(None).cast("bigint").alias("n"),
+        F.lit(None).cast("bigint").alias("m"),
+    )
     if mode == "gamma":
-        return G.select(
-            F.lit(GAMMA).alias("kind"), "doc_id", F.lit(None).cast("int").alias("type_id"), F.lit(None).cast("int").alias("term_id"),
-            F.col("gamma").alias("vec"), "iters", conv.alias("converged"), F.lit(None).cast("bigint").alias("n"),
-            F.lit(None).cast("bigint").alias("m"),
-        )
+        return gam
 
     def final(batches):
         for b in batches:
             if b.num_rows == 0:
                 continue
-            et, eb, w = _entry_weights(b, k, eps)
-            part = et * w[:, None] * eb
-            t = b.column(b.schema.get_field_index("type_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-            tm = b.column(b.schema.get_field_index("term_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-            if mode == "train":
-                keys, vals = reduce_rows((t << 32) | tm, part)
-                yield _batch(SSTATS, len(keys), type_id=keys >> 32, term_id=keys & 0xFFFFFFFF, vec=vals)
-            elif mode == "bound":
-                ids = b.column(b.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-                cnt = b.column(b.schema.get_field_index("cnt")).to_numpy(zero_copy_only=False).astype(np.float64)
-                gam = _mat(b.column(b.schema.get_field_index("gamma")), k)
-                ll = cnt * log_mixture(dirichlet_expectation_np(gam), _mat(b.column(b.schema.get_field_index("el")), k))
-                keys, vals = reduce_rows(ids, np.stack([ll, np.zeros_like(ll)], axis=1))
-                yield _batch(BOUND, len(keys), doc_id=keys, vec=vals)
-            else:
-                ids = b.column(b.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-                keep = (part >= min_phi).any(axis=1) if min_phi > 0 else np.ones(len(t), dtype=bool)
-                yield _batch(PHI, int(keep.sum()), doc_id=ids[keep], type_id=t[keep], term_id=tm[keep], vec=part[keep])
+            doc = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi, gamma, ln, rec, eb in unpacked(b):
+                if not len(rec):
+                    continue
+                ids = np.repeat(doc[lo:hi], ln)
+                t, tm = rec["t"].astype(np.int64), rec["w"].astype(np.int64)
+                if mode == "bound":
+                    ll = rec["c"] * log_mixture(dirichlet_expectation_np(gamma)[np.repeat(np.arange(len(ln)), ln)], looked_up(rec, "el", el_bc))
+                    keys, vals = reduce_rows(ids, np.stack([ll, np.zeros_like(ll)], axis=1))
+                    yield _batch(BOUND, len(keys), doc_id=keys, vec=vals)
+                    continue
+                et, w = weights(gamma, ln, rec, eb)
+                nphi = et * w[:, None] * eb
+                if mode == "train":
+                    keys, vals = reduce_rows((t << 32) | tm, nphi)
+                    yield _batch(SSTATS, len(keys), type_id=keys >> 32, term_id=keys & 0xFFFFFFFF, vec=vals)
+                else:
+                    keep = (nphi >= min_phi).any(axis=1) if min_phi > 0 else np.ones(len(t), dtype=bool)
+                    yield _batch(PHI, int(keep.sum()), doc_id=ids[keep], type_id=t[keep], term_id=tm[keep], vec=nphi[keep])
 
-    more = ["gamma", "el"] if mode == "bound" else []
-    j = entries_eb.join(bc(G.select("doc_id", "et", *more[:1])), "doc_id").select("doc_id", "type_id", "term_id", "cnt", "eb", "et", *more)
-    rows = j.mapInArrow(final, OUT_SCHEMA)
-    gam = G.select(
-        F.lit(GAMMA).alias("kind"), "doc_id", F.lit(None).cast("int").alias("type_id"), F.lit(None).cast("int").alias("term_id"),
-        F.col("gamma").alias("vec"), "iters", conv.alias("converged"), F.lit(None).cast("bigint").alias("n"),
-        F.lit(None).cast("bigint").alias("m"),
-    )
+    rows = sent(G, packed).mapInArrow(final, OUT_SCHEMA)
     if mode == "phi":
         return rows.unionByName(gam)
     if mode == "bound":

@@ -19,6 +19,8 @@ log = logging.getLogger(__name__)
 
 # Fixed value: machine epsilon of float32, the reference's default dtype.
 FLOAT32_EPS = 1.1920928955078125e-07
+#: bytes of hot documents' ids up to which they are broadcast
+HOT_ID_BYTES = 4 << 20
 
 
 @dataclass
@@ -296,25 +298,25 @@ class TopicModel:
             return df.join(c if ids is None else ids(c), "doc_id")
 
         # hot documents leave before anything is shuffled by document
-        hot = self.hot_docs(e)
+        hot, size = self.hot_docs(e)
         d = in_chunks(d)
         if hot is not None:
             # at most total_entries / limit ids; broadcast only when their
             # counted size fits the limit, else a shuffle join
-            small = hot.count() * 16 <= self.params.broadcast_limit_bytes
+            small = hot.count() * 16 <= min(HOT_ID_BYTES, self.params.broadcast_limit_bytes)
             b = F.broadcast if small else (lambda x: x)
             normal = in_chunks(e.join(b(hot), "doc_id", "left_anti"))
             hot_entries = materialize(in_chunks(e.join(b(hot), "doc_id"), lambda c: b(c.join(b(hot), "doc_id", "left_semi"))), "hot-entries")
-            hot = materialize(hot_entries.select("doc_id", "chunk_id").distinct(), "hot-docs")
+            hot = materialize(hot_entries.select("doc_id", "parts", "chunk_id").distinct(), "hot-docs")
             d = d.join(b(hot.select("doc_id")), "doc_id", "left_anti") if d is not None else None
         else:
             normal, hot_entries = in_chunks(e), None
         keys, buckets = ("doc_id", "chunk_id"), 1
         if not reuse and self.use_broadcast():
-            return Prepared(normal, d, E.nest(normal, d, keys=keys), hot, hot_entries)
+            return Prepared(normal, d, E.nest(normal, d, keys=keys, size=size), hot, hot_entries)
         # the nested table is the one written copy of the corpus; the
         # entry view (token counts) reads it back, no second write
-        nested = materialize(E.nest(normal, d, keys=keys, sort_chunks=True), "nested")
+        nested = materialize(E.nest(normal, d, keys=keys, sort_chunks=True, size=size), "nested")
         normal = nested.select("doc_id", "chunk_id", F.explode("bag").alias("_e")).select("doc_id", "_e.type_id", "_e.term_id", "_e.cnt", "chunk_id")
         if not self.use_broadcast():
             size = nested.agg(F.sum(F.size("bag")).alias("n"), F.max("chunk_id").alias("c")).first()
@@ -333,14 +335,18 @@ class TopicModel:
             self._hot_terms = materialize(h, "hot-terms") if h is not None else None
         return self._hot_terms
 
-    def hot_docs(self, entries: DataFrame) -> DataFrame | None:
-        """Documents with more entries than one task should hold; at most
-        total_entries / limit of them, so the id list has a proven bound."""
+    def hot_docs(self, entries: DataFrame) -> tuple[DataFrame | None, int]:
+        """Documents with more entries than one task should hold, and the parts
+        these are dealt into; at most total_entries / limit documents, so the
+        id list has a proven bound. Also the number of all other entries."""
         lim = self.params.doc_limit()
-        hot = entries.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > lim).select("doc_id")
-        if hot.limit(1).count() == 0:
-            return None
-        return materialize(hot, "hot-docs")
+        sizes = entries.groupBy("doc_id").agg(F.count("*").alias("_n"))
+        rest, most = sizes.agg(F.sum(F.when(F.col("_n") <= lim, F.col("_n"))), F.max("_n")).first()
+        if (most or 0) <= lim:
+            return None, int(rest or 0)
+        size = E.part_limit(lim, self.k, 0 if self.use_broadcast() else 2)
+        parts = F.ceil(F.col("_n") / F.lit(size)).cast("int").alias("parts")
+        return materialize(sizes.where(F.col("_n") > lim).select("doc_id", parts), "hot-docs"), int(rest or 0)
 
     def rows(self, prep: "Prepared", mode: str, lo: int | None = None, hi: int | None = None, min_phi: float = 0.0, chunks=None) -> DataFrame:
         """Kernel-union rows (see :mod:`operators.estep`) for the documents of
@@ -363,22 +369,20 @@ class TopicModel:
             fn = E.make_kernel(mode, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, min_phi=min_phi)
             rows = E.cogroup(nested, self.topic_vectors(mode), prep.buckets, fn)
         if prep.hot is not None:
-            hot = flt(prep.hot).select("doc_id")
+            hot = flt(prep.hot).select("doc_id", "parts")
             if hot.limit(1).count():
-                eb = self.topic_vectors(mode)
                 he = flt(prep.hot_entries)
+                given = {}
                 if self.use_broadcast():
-                    he = he.join(F.broadcast(eb), ["type_id", "term_id"])
+                    given = {"eb_bc": self.eb_broadcast(), "el_bc": self.el_broadcast() if mode == "bound" else None, "type_offsets": self.type_offsets()}
                 else:
                     from ..operators.skew import split_join
 
                     row = F.lit(16) + F.size("eb") * F.lit(16)
-                    he = split_join(he, eb, ["type_id", "term_id"], self.hot_terms(), row, p.broadcast_limit_bytes)
-                he = materialize(he, "hot-entries-eb")
+                    he = materialize(split_join(he, self.topic_vectors(mode), ["type_id", "term_id"], self.hot_terms(), row, p.broadcast_limit_bytes), "hot-entries-eb")
                 rows = rows.unionByName(
                     E.hot_estep(he, hot, self.alpha, self.num_types, p.iterations, p.gamma_threshold, p.epsilon, mode,
-                                materialize, broadcast_rows=p.broadcast_limit_bytes // (16 * self.k + 16), min_phi=min_phi,
-                                start=self.gamma_draws())
+                                materialize, min_phi=min_phi, start=self.gamma_draws(), **given)
                 )
         return rows
 
