@@ -58,6 +58,8 @@ def union_types(*parts: DataFrame) -> DataFrame:
 
 
 SPREAD_BYTES = 1 << 30
+#: line items per task of the join with the orders
+JOIN_ROWS = 250_000
 
 
 def tokens(text: Column) -> Column:
@@ -105,11 +107,17 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one pass over lineitem: each line item yields its product term and its
     # supplier-nation term; (left joins: a missing part or supplier drops only
     # that term, as two separate inner joins would)
-    lo = (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
+    named = (
+        li.join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
         .join(sn, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        .select("l_orderkey", "l_quantity", "product", "n_name")
     )
+    # bounded numbers of line items: the last join's sorts and the partial sums
+    # behind it share a task, and AQE cuts tasks by shuffled bytes alone
+    n = -(-li.count() // JOIN_ROWS)
+    if n > spark.sparkContext.defaultParallelism:
+        named, o = named.repartition(n, "l_orderkey"), o.repartition(n, "o_orderkey")
+    lo = named.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     items = lo.select(
         F.col("o_custkey").alias("doc"),
         F.explode(
