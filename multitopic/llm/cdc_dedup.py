@@ -19,7 +19,8 @@ by size, so a window that a third of all texts hold is no burden.
 
 Defined results: null, empty and shorter texts have no windows; repeats within a text
 count; equal texts repeat each other whole; every row is a document of its own,
-whatever ids are shared or null (of rows equal in id and text one is the first,
+whatever ids are shared or null (a window of a shared id carries a hash of its
+text; of rows equal in id and text one is the first,
 the others repeat it whole); a null id ranks first, its spans are
 reported too; an empty table gives an empty result;
 further columns are ignored (or kept, by ``cut_repeats``).
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -41,6 +42,8 @@ CUT_BITS = 5
 MIN_CHUNK = 16
 MAX_CHUNK = 1024
 MIN_SPAN = 100
+#: bits of the filter of shared ids
+FILTER_BITS = 1 << 24
 
 _GEAR = np.random.default_rng(77).integers(0, 1 << 16, 256).astype(np.uint16)
 _SEEDS = [np.random.default_rng(k).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1) for k in (78, 79)]
@@ -124,14 +127,36 @@ def windows(start: np.ndarray, end: np.ndarray, row: np.ndarray, least: int) ->
     return pairs // max(1, len(end)), pairs % max(1, len(end))
 
 
-def window_rows(docs: DataFrame, text: str, id_col: str, least: int) -> DataFrame:
+def _slot(key) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def shared_ids(docs: DataFrame, id_col: str) -> np.ndarray:
+    """Bits of a filter of fixed size: those of the ids (null too) that several rows hold."""
+    several = docs.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1")
+    bits = several.select(_slot("_id").alias("_s")).groupBy(F.floor(F.col("_s") / 64).cast("int").alias("w"))
+    rows = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(_s % 64 as int))")).alias("v")).toArrow()  # at most FILTER_BITS / 64 rows
+    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    table[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
+    return table
+
+
+def window_rows(docs: DataFrame, text: str, id_col: str, least: int, shared: np.ndarray | None = None) -> DataFrame:
     """``(d1, d2, id, h, start, len, word, words)`` of every window; ``h`` is a
-    hash of the text, ``words`` counts the words that start in the window,
+    hash of the text, or 0 where the filter ``shared`` has no bit of the id (such
+    an id tells its text, and a hash in every window does not compress); all rows
+    of an id are treated alike. ``words`` counts the words that start in the window,
     ``word`` those before it."""
 
+    known = docs.sparkSession.sparkContext.broadcast(shared) if shared is not None else None
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).cast(pa.int64())
+            ids, marks = b.column(0), b.column(1)
+            if known is not None:
+                at = b.column(3).to_numpy(zero_copy_only=False)
+                hit = (known.value[at // 64].view(np.uint64) >> (at % 64).astype(np.uint64)) & np.uint64(1)
+                marks = pa.array(np.where(hit.astype(bool), marks.to_numpy(zero_copy_only=False), 0))
             for s in slices(b.column(2)):
                 n = len(s.data)
                 if not n:
@@ -159,29 +184,30 @@ def window_rows(docs: DataFrame, text: str, id_col: str, least: int) -> DataFram
                         np.cumsum(table[s.data] * up[:n], out=cum[1:])
                         digests.append(as_long(mix((cum[end] - cum[start]) * down[start] + (end - start).astype(np.uint64))))
                 yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, digests), *(c.take(pa.array(row)) for c in (ids, b.column(1))), pa.array(start - base), pa.array((end - start).astype(np.int32)), pa.array((count[start] - count[base]).astype(np.int32)), pa.array((count[end] - count[start]).astype(np.int32))],
+                    [*map(pa.array, digests), *(c.take(pa.array(row)) for c in (ids, marks)), pa.array(start - base), pa.array((end - start).astype(np.int32)), pa.array((count[start] - count[base]).astype(np.int32)), pa.array((count[end] - count[start]).astype(np.int32))],
                     names=["d1", "d2", "id", "h", "start", "len", "word", "words"],
                 )
 
-    return docs.select(id_col, F.xxhash64(text), text).mapInArrow(chunks, "d1 bigint, d2 bigint, id bigint, h bigint, start bigint, len int, word int, words int")
+    key = F.col(id_col).cast("long")
+    return docs.select(key.alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_t"), _slot(key).alias("_s")).mapInArrow(chunks, "d1 bigint, d2 bigint, id bigint, h bigint, start bigint, len int, word int, words int")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_span: int = MIN_SPAN) -> DataFrame:
     """``(id, start_byte, end_byte, n_words, first_id, first_byte)``: spans that
     stood before, in document ``first_id`` from byte ``first_byte`` on."""
-    spans = _spans(docs, text, id_col, min_span)
+    spans = _spans(docs, text, id_col, min_span, shared_ids(docs, id_col))
     # the spans of the second and further equal rows, as often as there are such rows; in two steps, so that no array grows with them
     parts = spans.withColumn("_part", F.explode(F.expr("sequence(0, (rows - 1) div 65536)")))
     each = parts.withColumn("_row", F.explode(F.expr("sequence(1, least(65536, rows - 65536 * _part))")))
     return each.select(F.col("id").alias(id_col), "start_byte", "end_byte", "n_words", F.col("first.id").alias("first_id"), "first_byte")
 
 
-def _spans(docs: DataFrame, text: str, id_col: str, min_span: int) -> DataFrame:
+def _spans(docs: DataFrame, text: str, id_col: str, min_span: int, shared: np.ndarray | None = None) -> DataFrame:
     """Spans ``(id, h, later, rows, start_byte, end_byte, n_words, first,
     first_byte)``. Equal rows give equal windows, which are counted, not kept:
     the first of them (``later`` 0) repeats what stands elsewhere before, the
     others (``later`` 1, ``rows`` of them) repeat it whole."""
-    places = window_rows(docs, text, id_col, min_span)
+    places = window_rows(docs, text, id_col, min_span, shared)
     place = F.struct("id", "h", "start")
     first = places.groupBy("d1", "d2").agg(F.min(place).alias("f"), F.count("*").alias("c"))
     first = first.where("c >= 2").select("d1", "d2", "f")

@@ -107,3 +107,21 @@ def test_rows_are_told_apart(spark):
     assert len(left) == len(rows) and [t for i, t in left if i == "3"].count(other) == 1
     accents = next(t for t in shared if t and t.startswith("é"))
     assert set(accents) == {"é"}
+
+
+def test_windows_carry_a_text_hash_only_where_ids_are_shared(spark):
+    """An id of one row tells its text: no hash, which would not compress, in
+    each of its windows; the spans are the same as with hashes everywhere."""
+    rng = random.Random(47)
+    passage = " ".join(messy.sentence(rng, 55))
+    rows = [(k, " ".join([*messy.sentence(rng, 40), passage])) for k in range(20)]
+    rows += [(5, "other " + passage), (None, "one " + passage), (None, "two " + passage), (21, rows[3][1]), (22, rows[4][1]), (22, rows[4][1])]
+    df = messy.frame(spark, rows)
+    shared = C.shared_ids(df, "doc_id")
+    marks = {(r.id, r.h) for r in C.window_rows(df, "text", "doc_id", C.MIN_SPAN, shared).select("id", "h").distinct().collect()}
+    assert {i for i, h in marks if h} == {5, 22, None} and {i for i, h in marks if not h} == {*range(22)} - {5, 20}
+    assert len([1 for i, h in marks if i in (5, None)]) == 4
+    columns = ["id", "later", "rows", "start_byte", "end_byte", "n_words", "first.id", "first_byte"]
+    assert C.repeated_spans(df).count() > 20
+    plain = [(r[0], *r[3:]) for r in C._spans(df, "text", "doc_id", C.MIN_SPAN).selectExpr(*columns, "explode(sequence(1, rows))").drop("col").collect()]
+    assert sorted(map(str, plain)) == sorted(str(tuple(r)) for r in C.repeated_spans(df).collect())
