@@ -409,7 +409,7 @@ def _prefix_keys(hot: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int
     many tokens before it in x, and so in y. Sizes are taken in narrow bands; a
     key is a pair of bands, the set's own and another's (the lower one is side 0,
     the upper one side 1; 2 if they are the same), and a token that low in the
-    set. Texts of one template with more words of their own than the threshold
+    set. Only bands that hold another set with the token make a key. Texts of one template with more words of their own than the threshold
     allows have only these words so low and share no key. Two sets that share
     many low tokens need to meet at the first of them only, so every row carries
     the set's tokens before its own (at most the set's possible misses)."""
@@ -420,16 +420,21 @@ def _prefix_keys(hot: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int
     token = own.select(F.col("doc_id").alias("node"), "n", band.alias("band"), F.posexplode("region").alias("at", "token"))
     token = token.where(100 * F.col("at") <= (100 - percent) * F.col("n"))
     token = materialize(token, "crowd-tokens")
-    common = token.groupBy("token").agg(F.count("*").alias("held")).where("held >= 2").select("token")
-    lists = token.join(common, "token").groupBy("node", "n", "band").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("_list"))
-    each = lists.select("node", "n", "band", "_list", F.posexplode("_list").alias("_pos", "_one"))
-    each = each.select("node", "n", "band", "_one.at", "_one.token", F.expr("slice(_list.token, 1, _pos)").alias("earlier"))
-    other = each.withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
-    least = F.exp(F.col("other") * NARROW)  # a set of that band has at least so many tokens
-    low = (100 + percent) * F.col("at") <= (100 + percent) * F.col("n") - percent * (F.col("n") + least) + 1
+    bands = token.groupBy("token", "band").agg(F.count("*").alias("held")).groupBy("token")  # of a token: as many as size bands at most
+    bands = bands.agg(F.collect_list(F.struct("band", "held")).alias("_bands"), F.sum("held").alias("_held")).where("_held >= 2").drop("_held")
+
+    def meets(x):
+        least = F.exp(x["band"] * NARROW)  # a set of that band has at least so many tokens
+        low = (100 + percent) * F.col("at") <= (100 + percent) * F.col("n") - percent * (F.col("n") + least) + 1
+        return (F.abs(x["band"] - F.col("band")) <= reach) & ((x["band"] != F.col("band")) | (x["held"] > 1)) & low
+
+    others = F.transform(F.filter("_bands", meets), lambda x: x["band"]).alias("others")
+    lists = token.join(bands, "token").select("node", "band", "at", "token", others).groupBy("node", "band").agg(F.sort_array(F.collect_list(F.struct("at", "token", "others"))).alias("_list"))
+    each = lists.select("node", "band", F.col("_list.token").alias("_tokens"), F.posexplode("_list").alias("_pos", "_one"))
+    other = each.select("node", "band", "_one.token", F.expr("slice(_tokens, 1, _pos)").alias("earlier"), F.explode("_one.others").alias("other"))
     key = F.xxhash64(F.least("band", "other"), F.greatest("band", "other"), "token").alias("key")
     side = F.when(F.col("band") < F.col("other"), 0).when(F.col("band") > F.col("other"), 1).otherwise(2).alias("side")
-    held = materialize(other.where(low).select(key, side, "node", "earlier"), "crowd-keys")
+    held = materialize(other.select(key, side, "node", "earlier"), "crowd-keys")
     meet = held.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("n > 1 AND (lo = 2 OR lo < hi)")
     return held.join(meet.select("key"), "key", "left_semi")
 

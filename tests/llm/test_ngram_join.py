@@ -110,3 +110,29 @@ def test_texts_of_one_template_share_no_crowded_key(spark, monkeypatch):
     got = J.link_components(spark.createDataFrame(rows, "doc_id bigint, text string"), rare=16).collect()
     assert all(r.component_id == r.doc_id and r.n_shingles == 452 for r in got)
     assert len(crowds) == 1 and crowds[0].count() == 0
+
+
+def test_crowded_tokens_make_keys_of_occupied_bands_only(spark, monkeypatch):
+    """A token's key needs another set with the token in the other size band."""
+    rng = random.Random(77)
+    shared = [f"t{k}" for k in range(30)]
+    rows = [(k, " ".join([*shared, *(f"w{rng.random()}" for _ in range(30 + 40 * (k % 8)))])) for k in range(160)]
+    twins = [(1000 + k, t + " more") for k, t in rows[::4]]
+    monkeypatch.setattr(J, "HOT", 1)
+    made, kept, write, keys = [], [], J.materialize, J._prefix_keys
+
+    def noted(df, name="table"):
+        out = write(df, name)
+        if name == "crowd-keys":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", noted)
+    monkeypatch.setattr(J, "_prefix_keys", lambda *a: kept.append(keys(*a)) or kept[-1])
+    sets = spark.createDataFrame(rows + twins, "doc_id bigint, text string")
+    regions = write(J.prefix_regions(sets, 4, 85, spark.sparkContext.broadcast(J.heavy_tokens(sets, 4))), "regions")
+    nodes = regions.selectExpr("doc_id AS node", "d1", "d2", "n")
+    J._prefix_keys(nodes.select("node"), regions, nodes, 85)
+    assert kept[0].count() and made[0] <= 3 * kept[0].count()
+    got = {r.doc_id: r.component_id for r in J.link_components(sets).collect()}
+    assert all(got[1000 + k] == got[k] for k, _ in rows[::4])
