@@ -30,6 +30,22 @@ def hot_keys(vocab: DataFrame, keys: list[str], partitions: int) -> DataFrame |
     return hot if hot.limit(1).count() else None
 
 
+def frequent_keys(vocab: DataFrame, keys: list[str], row_bytes: Column, limit_bytes: int) -> DataFrame | None:
+    """The most frequent keys, by powers of two of ``doc_freq``, that take at
+    most ``limit_bytes`` together; None when there are none."""
+    if "doc_freq" not in vocab.columns:
+        return None
+    power = F.floor(F.log2("doc_freq")).cast("int")
+    sizes = vocab.groupBy(power.alias("p")).agg(F.sum(row_bytes).alias("b")).collect()  # at most 63 rows
+    least, size = None, 0
+    for p, b in sorted(map(tuple, sizes), reverse=True):
+        size += b
+        if size > limit_bytes:
+            break
+        least = p
+    return vocab.where(power >= least).select(*keys) if least is not None else None
+
+
 def split_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, row_bytes: Column,
                limit_bytes: int) -> DataFrame:
     """Inner join ``big`` ⋈ ``small`` on ``keys`` (``small`` unique per key)
